@@ -3,7 +3,7 @@
 A byte goes if a string of ``length`` bytes that covers it also starts in a document with a smaller
 id. Strings are ranked as in prefix doubling: a rank of 2n bytes comes from the pair of ranks at
 offsets 0 and n, and ranks that are unique to a document leave early. Ranks are fingerprints, so
-they are the same in all tasks.
+they are the same in all tasks; what is compared has 96 bits (a and b below).
 
 Three things keep the pairs few and lose no match:
 
@@ -141,11 +141,11 @@ def _round_one(docs: DataFrame, length: int, sample: int) -> DataFrame:
             key = np.concatenate([d, doc[left]])
             fake = _pair(ids[d].astype(np.uint64), s.astype(np.uint64))  # spreads settled rows
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, n[left]]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).view(np.int64))],
+                [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, n[left]]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).astype(np.uint32).view(np.int32))],
                 ["doc_id", "tag", "start", "n", "settled", "a", "b"],
             )
 
-    return docs.select("bytes", "doc_id", "tag").mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b long")
+    return docs.select("bytes", "doc_id", "tag").mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b int")
 
 
 def _round_three(joined: DataFrame, length: int) -> DataFrame:
@@ -169,11 +169,11 @@ def _round_three(joined: DataFrame, length: int) -> DataFrame:
             key = np.concatenate([d, doc[left]])
             fake = _pair(ids[d].astype(np.uint64), s.astype(np.uint64))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, np.ones(left.sum(), np.int64)]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).view(np.int64))],
+                [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, np.ones(left.sum(), np.int64)]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).astype(np.uint32).view(np.int32))],
                 ["doc_id", "tag", "start", "n", "settled", "a", "b"],
             )
 
-    return joined.mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b long")
+    return joined.mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b int")
 
 
 def _gathered(rows: DataFrame, name: str) -> DataFrame:
@@ -204,6 +204,8 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     scratch = Scratch(df.sparkSession)
     bytes_ = F.coalesce(F.col(text), F.lit("")).cast("binary")
     docs = df.select(F.col(key).cast("long").alias("doc_id"), bytes_.alias("bytes")).withColumn("tag", F.hash("bytes"))
+    if docs.groupBy("doc_id").count().where("count > 1").isEmpty():
+        docs = docs.withColumn("tag", F.lit(0))  # ids tell all rows apart
     named = docs.where(F.col("doc_id").isNotNull() & (F.octet_length("bytes") >= length))
     gone = _gathered(repeated_spans(named, scratch, length, sample), "gone")
     joined = docs.join(gone, ["doc_id", "tag"], "left").select("bytes", "gone", "doc_id")
