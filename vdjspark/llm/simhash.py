@@ -3,10 +3,12 @@
 Two fingerprints that differ in at most r bits both lie within r/2 bits of some third value. So
 each fingerprint emits every variant within half the radius, variants are shuffled, and
 fingerprints that meet on one are verified. In its plain form (``parts=1``) that is 2,081 variants
-of 64 bits at r = 4. By default the bits fall into two parts: one of them has at most half the
-differences, so the balls are those of half the radius in 32 bits, 66 variants in all, and no link
-is lost. A bucket with more than ``most`` fingerprints takes the plain form, in which all that
-meet are within r bits of each other, so a star of links stands for all pairs.
+of 64 bits at r = 4, and all that meet are within r bits of each other, so a star of links stands
+for all pairs. By default the bits fall into two halves, one of which has at most half the
+differences: the balls are those of half the radius in 32 bits, 66 variants in all, and no link is
+lost. Halves that meet lead to the fingerprints that have them, which are verified; where these
+are many (more than ``most`` pairs), they meet once more on variants of their other halves within
+what is left of the radius, where a star again stands for all pairs.
 
 Defined results: null and empty texts have no word and fingerprint zero, and are linked like any
 other. Repeated rows share fingerprint and component. Rows with a null id keep a fingerprint and
@@ -21,7 +23,7 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import Scratch
 from .graph import connected_components
@@ -54,7 +56,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = Non
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            fp = np.array([fingerprint(t, words) for t in b.column(0).to_pylist()], "<u8").view("<i8")
+            fp = np.array([fingerprint(t.as_py(), words) for t in b.column(0)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], [*b.schema.names[1:], "fp"])
 
     return df.select(F.col(text).alias("_text"), *keep).mapInArrow(work, T.StructType([*df.select(*keep).schema.fields, T.StructField("fp", T.LongType())]))
@@ -66,39 +68,62 @@ def ball(bits: range, radius: int) -> list[int]:
     return [m - (1 << 64) if m >> 63 else m for m in masks]
 
 
-def _variants(fps: DataFrame, radius: int, parts: int) -> DataFrame:
-    """fp and key (part, value) of each variant of each fingerprint."""
-    edges = [64 * k // parts for k in range(parts + 1)]
-    half = (radius // parts + 1) // 2
-    balls = [ball(range(a, b), half) for a, b in zip(edges, edges[1:])]
-    if parts == 1:
-        return fps.select("fp", F.lit(0).alias("part"), F.explode(F.lit(balls[0])).alias("mask")).select("fp", "part", F.col("fp").bitwiseXOR(F.col("mask")).alias("value"))
-    each = F.explode(F.array(*(F.struct(F.lit(k).alias("part"), F.lit(_all(a, b)).alias("own"), F.lit(balls[k]).alias("masks")) for k, (a, b) in enumerate(zip(edges, edges[1:])))))
-    out = fps.select("fp", each.alias("p")).select("fp", "p.part", F.col("fp").bitwiseAND(F.col("p.own")).alias("value"), F.explode("p.masks").alias("mask"))
-    return out.select("fp", "part", F.col("value").bitwiseXOR(F.col("mask")).alias("value"))
+def longs(values: list[int]) -> Column:
+    """An array literal; long ones take a while as single literals."""
+    return F.expr("array(" + ",".join(f"{v}L" for v in values) + ")")
 
 
-def _all(a: int, b: int) -> int:
+def _mask(a: int, b: int) -> int:
+    """Bits a to b - 1, as a signed long."""
     mask = (1 << b) - (1 << a)
     return mask - (1 << 64) if mask >> 63 else mask
 
 
-def near_links(fps: DataFrame, scratch: Scratch, radius: int = 4, parts: int = 2, most: int = 32) -> DataFrame:
+def _stars(rows: DataFrame, on: list[str]) -> DataFrame:
+    """u, v: links of all ``fp`` that meet on ``on`` with the smallest of them."""
+    low = rows.groupBy(on).agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
+    return rows.join(low, on).where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct()
+
+
+def near_links(fps: DataFrame, scratch: Scratch, radius: int = 4, parts: int = 2, most: int = 1024) -> DataFrame:
     """u, v: links that join all fingerprints (``fp``, distinct) within ``radius`` bits, even, into their components."""
-    if radius % 2 or radius < 0:
-        raise ValueError("the radius is even, so that half of it is a whole number")
-    variants = _variants(fps, radius, parts)
-    crowd = variants.groupBy("part", "value").agg(F.count("*").alias("n")).where("n > 1")
-    met = scratch.put(variants.join(crowd, ["part", "value"]))
-    small = met.where(F.col("n") <= most).groupBy("part", "value").agg(F.collect_list("fp").alias("fps"))
-    pairs = small.select(F.explode("fps").alias("u"), "fps").select("u", F.explode("fps").alias("v")).where((F.col("u") < F.col("v")) & (F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= radius)).distinct()
-    large = _variants(met.where(F.col("n") > most).select("fp").distinct(), radius, 1)
-    low = large.groupBy("value").agg(F.min("fp").alias("low"), F.count("*").alias("n")).where("n > 1").drop("n")
-    stars = large.join(low, "value").where("fp <> low").select(F.col("low").alias("u"), F.col("fp").alias("v")).distinct()
-    return pairs.unionByName(stars)
-
-
-def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int = 2, most: int = 32, words: int = WORDS) -> DataFrame:
+    if radius % 2 or radius < 0 or parts not in (1, 2):
+        raise ValueError("the radius is even, so that half of it is a whole number; parts are 1 or 2")
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    if parts == 1:
+        spread = fps.repartition(tasks, "fp")
+        return _stars(spread.select("fp", F.explode(longs(ball(range(64), radius // 2))).alias("mask")).select("fp", F.col("fp").bitwiseXOR(F.col("mask")).alias("value")), ["value"])
+
+    inner, half = [F.lit(_mask(0, 32)), F.lit(_mask(32, 64))], (radius // 2 + 1) // 2
+    of = lambda x: F.when(F.col("part") == 0, x[0]).otherwise(x[1])
+    own = fps.select("fp", F.explode(F.lit([0, 1])).alias("part")).withColumn("a", F.col("fp").bitwiseAND(of(inner)))
+    sizes = scratch.put(own.groupBy("part", "a").agg(F.count("*").alias("n")))
+    # halves that meet on a variant; a variant has as many as a ball at most
+    balls = [longs(ball(range(0, 32), half)), longs(ball(range(32, 64), half))]
+    met = sizes.select("part", "a").repartition(tasks, "a").select("part", "a", F.explode(of(balls)).alias("mask")).select("part", F.col("a").bitwiseXOR(F.col("mask")).alias("value"), "a")
+    met = met.groupBy("part", "value").agg(F.collect_list("a").alias("all")).where(F.size("all") > 1)
+    apart = lambda x, y: F.bit_count(F.col(x).bitwiseXOR(F.col(y)))
+    halves = met.select("part", F.explode("all").alias("a"), "all").select("part", "a", F.explode("all").alias("a2")).where((F.col("a") < F.col("a2")) & (apart("a", "a2") <= radius // 2)).distinct()
+    halves = halves.unionByName(sizes.where("n > 1").select("part", "a", F.col("a").alias("a2")))
+    n1, n2 = sizes.withColumnRenamed("n", "n1"), sizes.select("part", F.col("a").alias("a2"), F.col("n").alias("n2"))
+    halves = scratch.put(halves.join(n1, ["part", "a"]).join(n2, ["part", "a2"]).withColumn("large", F.col("n1") * F.col("n2") > most))
+
+    left, right = own.withColumnRenamed("fp", "u"), own.select("part", F.col("a").alias("a2"), F.col("fp").alias("v"))
+    small = halves.where("not large").join(left, ["part", "a"]).join(right, ["part", "a2"])
+    pairs = small.where((F.col("u") != F.col("v")) & (apart("u", "v") <= radius)).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+    # large sets meet on variants of their other halves, within what the halves leave of the radius
+    large = halves.where("large").withColumn("d", apart("a", "a2"))
+    sides = large.join(left.withColumnRenamed("u", "fp"), ["part", "a"]).withColumn("reach", F.expr(f"{radius // 2} - d div 2")).select("part", "a", "a2", "fp", "reach")
+    sides = sides.unionByName(large.where("a <> a2").join(right.withColumnRenamed("v", "fp"), ["part", "a2"]).withColumn("reach", F.expr(f"{radius // 2} - (d + 1) div 2")).select("part", "a", "a2", "fp", "reach"))
+    choice = F.lit(None).cast("array<bigint>")
+    for k, bits in ((0, range(32, 64)), (1, range(0, 32))):
+        for reach in range(radius // 2 + 1):
+            choice = F.when((F.col("part") == k) & (F.col("reach") == reach), longs(ball(bits, reach))).otherwise(choice)
+    rows = sides.select("part", "a", "a2", "fp", F.explode(choice).alias("mask")).withColumn("value", F.col("fp").bitwiseAND(of(inner[::-1])).bitwiseXOR(F.col("mask"))).drop("mask")
+    return pairs.unionByName(_stars(rows, ["part", "a", "a2", "value"]))
+
+
+def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int = 2, most: int = 1024, words: int = WORDS) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id, the smallest key that links reach, of each row."""
     scratch = Scratch(df.sparkSession)
     docs = scratch.put(fingerprints(df.select(F.col(text).alias("text"), F.col(key).alias("key")), keep=["key"], words=words))
