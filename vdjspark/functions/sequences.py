@@ -62,7 +62,8 @@ def hamming_at_most(a: Column, b: Column, most: Column | int) -> Column:
 def edit_rate_at_most(a: Column, b: Column, rate: float) -> Column:
     """Levenshtein distance over the longer length; the length difference is asked first."""
     longer = F.greatest(F.length(a), F.length(b))
-    return (F.abs(F.length(a) - F.length(b)) <= F.floor(longer * rate)) & (F.levenshtein(a, b) <= longer * rate)
+    most = F.floor(longer * rate).cast("int")
+    return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)  # -1: more than most
 
 
 def error_rate(score: Column, length: Column) -> Column:
