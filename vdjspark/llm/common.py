@@ -114,6 +114,13 @@ def mix32(h: np.ndarray) -> np.ndarray:
     return h
 
 
+def slices(batches, rows: int = 256):
+    """Arrow batches in slices, so that few texts at once are Python objects."""
+    for b in batches:
+        for i in range(0, b.num_rows, rows):
+            yield b.slice(i, rows)
+
+
 def in_chunks(texts: list[str], most: int):
     """Slices of a list of texts that hold ``most`` characters, or one text that is longer."""
     begin = size = 0
