@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import codes_of, in_chunks, mix32, scripts
+from .common import codes_of, in_chunks, mix32, scripts, slices
 
 BUCKETS = 1 << 16
-CHUNK = 1 << 20  # characters whose arrays are in memory at once
+CHUNK = 1 << 18  # characters whose arrays are in memory at once
 PENALTY = 12.0
 FAR = -1e3  # a word's score in a language that doesn't use its script
 SPAN = T.StructType([T.StructField("lang", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())])
@@ -60,7 +60,7 @@ def train_language_model(df: DataFrame, text: str = "text", lang: str = "lang")
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
-        for b in batches:
+        for b in slices(batches):
             by: dict[str, list[str]] = {}
             for t, k in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
                 by.setdefault(k, []).append(t.lower())
@@ -171,7 +171,7 @@ def identify_languages(df: DataFrame, model: LanguageModel, text: str = "text",
     source = df.select(F.col(text).alias("_text"), *keep)
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             found = _judge(model, b.column(0).to_pylist(), penalty, spans)
             arrays = [pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())]
             if spans:

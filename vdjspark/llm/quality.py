@@ -18,10 +18,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F, types as T
 
-from .common import codes_of, in_chunks, mix32
+from .common import codes_of, in_chunks, mix32, slices
 
 WORDS = 1 << 16  # buckets of words; as many follow for character trigrams
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 SAMPLE = 6000  # most labelled documents that the model is fitted on
 DIM, EPOCHS, RATE = 8, 12, 0.5
 
@@ -97,7 +97,7 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
     )
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             ids, ys, found = b.column(0).to_pylist(), b.column(2).to_pylist(), []
             for t in b.column(1).to_pylist():
                 bucket, _ = features([t])
@@ -121,7 +121,7 @@ def score_quality(df: DataFrame, model: QualityModel, text: str = "text", thresh
         raise ValueError(f"columns exist already: {sorted(clash)}")
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             texts = [t or "" for t in b.column(0).to_pylist()]
             mean = np.zeros(len(texts))
             for i, j in in_chunks(texts, CHUNK):

@@ -25,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Scratch
+from .common import Scratch, slices
 from .graph import connected_components
 
 SEED = 42
@@ -55,7 +55,7 @@ def fingerprints(df: DataFrame, text: str = "text", keep: list[str] | None = Non
     keep = df.columns if keep is None else keep
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             fp = np.array([fingerprint(t.as_py(), words) for t in b.column(0)], "<u8").view("<i8")
             yield pa.RecordBatch.from_arrays([*b.columns[1:], pa.array(fp)], [*b.schema.names[1:], "fp"])
 
