@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import math
 import re
+import unicodedata
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
@@ -27,39 +28,66 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 from tokenizers import Tokenizer
 
+from .common import slices
+
 CAPACITY = 2048
 OPEN_BINS = 8192
 GROUP = 8192  # documents whose pieces are packed together, about
-WORDS = 200_000  # words whose ids a worker remembers
-#: The splitting pattern of byte-level BPE vocabularies of this kind; a fixed value.
-PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+WORDS = 1_000_000  # words whose ids a worker remembers
 #: Texts of these characters are split alike by any version of Unicode's tables.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-€]*")
 
 
+def _plain(kind: str) -> str:
+    """The plain characters of a Unicode category, for a character class."""
+    return "".join(c for c in map(chr, range(0x20AD)) if PLAIN.fullmatch(c) and unicodedata.category(c)[0] == kind)
+
+
+#: The splitting pattern of byte-level BPE vocabularies of this kind, a fixed value, with letters and numbers spelt out.
+_L, _N = _plain("L"), _plain("N")
+PATTERN = rf"'s|'t|'re|'ve|'m|'ll|'d| ?[{_L}]+| ?[{_N}]+| ?[^\s{_L}{_N}]+|\s+(?!\S)|\s+"
+
+
 class Encoder:
-    """Ids of texts by a tokenizer file. Splits common texts into words itself and asks once for each word."""
+    """Ids of texts by a tokenizer file. Splits common texts into words itself and asks for each word once."""
 
     def __init__(self, path: str):
-        import regex
-
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.split, self.known = regex.compile(PATTERN).findall, {}
+        self.split, self.known = re.compile(PATTERN).findall, {}
+        # a token of these can't lie inside a word that begins with its only blank
+        self.opens = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        for token, i in self.tokenizer.get_vocab().items():
+            self.opens[i] = token.startswith("\u0120")
 
     def whole(self, text: str) -> np.ndarray:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4")
 
-    def __call__(self, text: str) -> np.ndarray:
-        if not PLAIN.fullmatch(text):
-            return self.whole(text)
-        words, known = self.split(text), self.known
-        if len(known) > WORDS:
-            known.clear()
-        if new := [w for w in set(words) if w not in known]:
-            for w, x in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-                known[w] = np.array(x.ids, "<u4").tobytes()
-        return np.frombuffer(b"".join(map(known.__getitem__, words)), "<u4")
+    def _learn(self, words: list[str]) -> None:
+        """Ids of new words; those of a blank and letters are encoded as one text, whose tokens tell where each begins."""
+        known = self.known
+        blank = [w for w in words if w[0] == " " and w[1:].isalpha()]
+        rest = [w for w in words if not (w[0] == " " and w[1:].isalpha())]
+        for i in range(0, len(blank), 4096):
+            part = blank[i : i + 4096]
+            ids = self.whole("".join(part))
+            starts = np.flatnonzero(self.opens[ids])
+            if len(starts) != len(part):
+                rest += part
+                continue
+            at, blob = [*(4 * starts).tolist(), 4 * len(ids)], ids.tobytes()
+            known.update((w, blob[a:b]) for w, a, b in zip(part, at, at[1:]))
+        for w, x in zip(rest, self.tokenizer.encode_batch_fast(rest, add_special_tokens=False) if rest else ()):
+            known[w] = np.array(x.ids, "<u4").tobytes()
+
+    def __call__(self, texts: list[str]) -> list[np.ndarray]:
+        plain = [bool(PLAIN.fullmatch(t)) for t in texts]
+        words = [self.split(t) if p else [] for t, p in zip(texts, plain)]
+        if len(self.known) > WORDS:
+            self.known.clear()
+        self._learn(list(set().union(*words).difference(self.known)))
+        get = self.known.__getitem__
+        return [np.frombuffer(b"".join(map(get, w)), "<u4") if p else self.whole(t) for t, p, w in zip(texts, plain, words)]
 
 
 @lru_cache(maxsize=2)
@@ -116,10 +144,10 @@ def pieces_of(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
-        for b in batches:
+        for b in slices(batches, 1024):
             out: list[list] = [[], [], [], [], [], []]
-            for row, t in enumerate(b.column(0).to_pylist()):
-                tokens = np.append(enc(t or ""), np.array([eot], "<u4"))
+            for row, found in enumerate(enc([t or "" for t in b.column(0).to_pylist()])):
+                tokens = np.append(found, np.array([eot], "<u4"))
                 for k, (start, n) in enumerate(cut(len(tokens), capacity)):
                     part = tokens[start : start + n]
                     for column, x in zip(out, (row, k, start, n, zlib.crc32(part.tobytes()), part.tolist() if ids else None)):
