@@ -22,7 +22,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from .vectors import BLOCK, GROUP, finite, search
 
-LINES, NEEDED, SHARE = 80, 0.6, 0.2
+LINES, NEEDED, SHARE = 80, 0.6, 0.26
 FIRST, STEP = 0.6, 1.06  # half a window's first width, against the vectors' length, and its growth
 TOGETHER = 64  # queries whose counters are in memory at once
 
