@@ -14,6 +14,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 Match = tuple[int, int, int, int]  # score, columns, read place of the motif, errors
+Traced = tuple[Match, list[tuple[int, int]]]  # and the columns: read place, segment place; -1 at a gap
 
 
 def semi_global(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
@@ -29,6 +30,39 @@ def semi_global(pattern: str, text: str, most: int) -> list[tuple[int, int]]:
 
 
 def overlap(read: str, segment: str, diagonal: int, band: int, side: str, motif: int) -> Match | None:
+    """The figures of ``traced``."""
+    found = traced(read, segment, diagonal, band, side, motif)
+    return found[0] if found else None
+
+
+def outer_errors(read: str, segment: str, columns: list[tuple[int, int]], side: str, motif: int) -> tuple[int, tuple[int, ...]]:
+    """Columns outside of the CDR3, and the places of the errors there.
+
+    V: up to the motif's last base, which is 0, those before it negative. J: from the motif's first
+    base, which isn't asked itself; the next is 1. A gap in the segment has the place of its next base.
+    """
+    here, out, n = next((s for _, s in columns if s >= 0), 0), [], 0
+    for r, s in columns:
+        here = s if s >= 0 else here
+        if here < motif + 3 if side == "V" else here >= motif:
+            n += 1
+            wrong = r < 0 or s < 0 or read[r] != segment[s]
+            if wrong and side == "V":
+                out.append(here - motif - 2)
+            elif wrong and n > 1:
+                out.append(here - motif)
+        here += s >= 0
+    return n, tuple(out)
+
+
+def printed(read: str, segment: str, columns: list[tuple[int, int]]) -> tuple[str, str, str]:
+    """An alignment as three lines: the read, a bar at each match, the segment."""
+    above = "".join(read[r] if r >= 0 else "-" for r, _ in columns)
+    below = "".join(segment[s] if s >= 0 else "-" for _, s in columns)
+    return above, "".join("|" if a == b else " " for a, b in zip(above, below)), below
+
+
+def traced(read: str, segment: str, diagonal: int, band: int, side: str, motif: int) -> Traced | None:
     """Banded overlap alignment. V: free heads, the segment's end is aligned; J: its begin is, with free ends.
 
     ``diagonal``: where the segment's first base would fall in the read. ``motif``: the segment's
@@ -58,19 +92,25 @@ def overlap(read: str, segment: str, diagonal: int, band: int, side: str, motif:
     top = max(ends)
     if top[0] <= bad:
         return None
-    i, j, columns, place = top[2], top[3], 0, -1
+    i, j, columns, place = top[2], top[3], [], -1
     while back[i][j] not in ("s", ""):
         step = back[i][j]
-        columns += 1
         i, j = i - (step in "du"), j - (step in "dl")
+        columns.append((j if step in "dl" else -1, i if step in "du" else -1))
         if i == motif and step in "du":
             place = j
-    return (top[0], columns, place, (columns - top[0]) // 2) if columns and place >= 0 else None
+    n = len(columns)
+    return ((top[0], n, place, (n - top[0]) // 2), columns[::-1]) if n and place >= 0 else None
 
 
-def best_matches(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, allowed: set[int] | None = None) -> list[tuple[int, Match]]:
-    """Best segments of a read, ties kept: fragments by semi-global search, then overlap alignment."""
-    best: list[tuple[int, Match]] = []
+def best_matches(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, allowed: set[int] | None = None) -> list[tuple[int, Match, int, tuple[int, ...]]]:
+    """Best segments of a read with figures, outer length and error places, ties kept: fragments by semi-global search, then overlap alignment."""
+    return [(s, t[0], *outer_errors(read, part, t[1], side, at)) for s, t, part, at in best_alignments(read, fragments, segments, side, errors, max_rate, core_offset, allowed)]
+
+
+def best_alignments(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, allowed: set[int] | None = None) -> list[tuple[int, Traced, str, int]]:
+    """Segment, alignment, the part of the segment that was aligned and its motif's place, of the best segments of a read."""
+    best: list[tuple[int, Traced, str, int]] = []
     for scf, start, segs in fragments:
         for begin, end in semi_global(scf, read, errors):
             for s in segs:
@@ -84,18 +124,18 @@ def best_matches(read: str, fragments: list[tuple[str, int, list[int]]], segment
                     cut = motif + min(core_offset, 0)
                     part, at = seq[cut:], motif - cut
                     diagonal, band = begin - (start - min(core_offset, 0)), min(len(read) - begin, math.ceil((len(read) - begin) * max_rate) + 1)
-                found = overlap(read, part, diagonal, band, side, at)
-                if found is None or (found[1] - found[0]) / 2 / found[1] > max_rate:
+                found = traced(read, part, diagonal, band, side, at)
+                if found is None or (found[0][1] - found[0][0]) / 2 / found[0][1] > max_rate:
                     continue
-                if not best or found[0] > best[0][1][0]:
-                    best = [(s, found)]
-                elif found[0] == best[0][1][0] and (s, found) not in best:
-                    best.append((s, found))
+                if not best or found[0][0] > best[0][1][0][0]:
+                    best = [(s, found, part, at)]
+                elif found[0][0] == best[0][1][0][0] and (s, found, part, at) not in best:
+                    best.append((s, found, part, at))
     return best
 
 
-def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side: str, errors: int, max_rate: float, core_offset: int = 0, most_segments: int = 20_000) -> DataFrame:
-    """seq, seg_idx, score, aln_len, n_err, motif_at. Segments are a reference of bounded size; more than ``most_segments`` are an error."""
+def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side: str, errors: int, max_rate: float, core_offset: int = 0, most_segments: int = 20_000, lines: bool = False) -> DataFrame:
+    """seq, seg_idx, score, aln_len, n_err, motif_at, outer_len, err_pos, and with ``lines`` the alignment printed. Segments are a reference of bounded size; more than ``most_segments`` are an error."""
     table = segments.where(F.col("seg_type") == side).select("seg_idx", "seq", "motif_pos").limit(most_segments + 1).collect()
     if len(table) > most_segments:
         raise ValueError(f"more than {most_segments} segments")
@@ -106,10 +146,16 @@ def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side:
     def work(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         segs, frags = shared.value
         for b in batches:
-            rows = [(r, s, *m) for r in b["seq"] for s, m in best_matches(r, frags, segs, side, errors, max_rate, core_offset)]
-            yield pd.DataFrame(rows, columns=["seq", "seg_idx", "score", "aln_len", "motif_at", "n_err"])
-
-    return reads.select("seq").distinct().mapInPandas(work, "seq string, seg_idx int, score int, aln_len int, motif_at int, n_err int")
+            rows = []
+            for r in b["seq"]:
+                for s, (figures, columns), part, at in best_alignments(r, frags, segs, side, errors, max_rate, core_offset):
+                    n, places = outer_errors(r, part, columns, side, at)
+                    rows.append((r, s, *figures, n, list(places), "\n".join(printed(r, part, columns)) if lines else None))
+            yield pd.DataFrame(rows, columns=["seq", "seg_idx", "score", "aln_len", "motif_at", "n_err", "outer_len", "err_pos", "lines"])
+
+    schema = "seq string, seg_idx int, score int, aln_len int, motif_at int, n_err int, outer_len int, err_pos array<int>, lines string"
+    out = reads.select("seq").distinct().mapInPandas(work, schema)
+    return out if lines else out.drop("lines").distinct()
 
 
 @lru_cache(maxsize=100_000)

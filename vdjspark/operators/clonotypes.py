@@ -20,33 +20,25 @@ def group_clonotypes(analysed: DataFrame) -> DataFrame:
 
 
 def _merge(df: DataFrame) -> DataFrame:
-    counts = df.groupBy(*KEY).agg(F.sum("count").alias("count"))
-    if "bcs" not in df.columns:
-        return counts
-    codes = df.select(*KEY, F.explode("bcs").alias("bc")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("bc")).alias("bcs"))
-    return counts.join(codes, KEY, "left").withColumn("bcs", F.coalesce("bcs", F.array().cast("array<string>")))
+    """One row a key: summed counts, all barcodes, and mean qualities weighted by the counts."""
+    out = df.groupBy(*KEY).agg(F.sum("count").alias("count"))
+    if "bcs" in df.columns:
+        codes = df.select(*KEY, F.explode("bcs").alias("bc")).distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("bc")).alias("bcs"))
+        out = out.join(codes, KEY, "left").withColumn("bcs", F.coalesce("bcs", F.array().cast("array<string>")))
+    if "avg_qvals" in df.columns:
+        by = df.select(*KEY, "count", F.posexplode("avg_qvals").alias("pos", "q")).groupBy(*KEY, "pos").agg((F.sum(F.col("q") * F.col("count")) / F.sum("count")).alias("m"))
+        means = by.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qvals"))
+        out = out.join(means, KEY, "left")
+    return out
 
 
 def clone_qualities(analysed: DataFrame, qualities: DataFrame) -> DataFrame:
     """Clonotype key, qual (mean over the CDR3): weighted means at each position, of qualities cut to whole numbers."""
-    cut = analysed.where("reject is null").join(qualities.select("seq", "avg_qual"), "seq").select("v_ids", F.col("cdr3_nt").alias("cdr3"), "j_ids", "n_reads", F.posexplode(F.slice("avg_qual", F.col("cdr_begin") + 1, F.col("cdr_end") - F.col("cdr_begin"))).alias("pos", "q"))
+    cut = analysed.where("reject is null").join(qualities, [c for c in ("fw_seq", "seq") if c in qualities.columns]).select("v_ids", F.col("cdr3_nt").alias("cdr3"), "j_ids", "n_reads", F.posexplode(F.slice("avg_qual", F.col("cdr_begin") + 1, F.col("cdr_end") - F.col("cdr_begin"))).alias("pos", "q"))
     by = cut.groupBy(*KEY, "pos").agg((F.sum(F.floor("q") * F.col("n_reads")) / F.sum("n_reads")).alias("m"))
     return by.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qvals"))
 
 
-def merged_qualities(quals: DataFrame, first: DataFrame | None) -> DataFrame:
-    """Qualities by the clonotype after its alleles are dropped (``first``): the mean over those that merge."""
-    if first is None:
-        return quals
-    out = quals
-    for c in ("v_ids", "j_ids"):
-        rest = [x for x in KEY if x != c]
-        mapped = out.select(c).distinct().select(c, F.explode(c).alias("seg_idx")).join(first, "seg_idx").groupBy(c).agg(F.array_sort(F.collect_set("first_idx")).alias("_new"))
-        out = out.join(mapped, c).select(*rest, F.col("_new").alias(c), "avg_qvals")
-    by = out.select(*KEY, F.posexplode("avg_qvals").alias("pos", "q")).groupBy(*KEY, "pos").agg(F.avg("q").alias("m"))
-    return by.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qvals"))
-
-
 def drop_low_quality(clones: DataFrame, least: float) -> DataFrame:
     """Clonotypes whose mean quality is at least ``least``; 0 turns it off."""
     return clones if least <= 0 else clones.where(S.mean(F.col("avg_qvals")) >= least)
@@ -116,23 +108,40 @@ def redistribution(pairs: DataFrame, key: list[str], n: str, weight: str, order:
     return out.withColumn("_rest", rest).withColumn("_k", F.row_number().over(all_.orderBy(*order))).withColumn("given", F.col("given") + F.when(F.col("_k") <= F.col("_rest"), 1).otherwise(0)).drop("_rest", "_k")
 
 
+TAKEN = "array<struct<v_ids:array<int>,cdr3:string,j_ids:array<int>>>"
+
+
+def with_barcodes(folded: DataFrame, clones: DataFrame) -> DataFrame:
+    """Replaces ``taken``, the clonotypes that went into each, itself too, by the barcodes of all of them, if ``clones`` have any."""
+    if "bcs" not in clones.columns:
+        return folded.drop("taken")
+    source = clones.select(F.struct(*KEY).alias("_from"), F.explode("bcs").alias("bc"))
+    codes = folded.select(*KEY, F.explode("taken").alias("_from")).join(source, "_from").select(*KEY, "bc").distinct().groupBy(*KEY).agg(F.array_sort(F.collect_list("bc")).alias("bcs"))
+    return folded.drop("taken").join(codes, KEY, "left").withColumn("bcs", F.coalesce("bcs", F.array().cast("array<string>")))
+
+
 def resolve_ambiguity(clones: DataFrame) -> DataFrame:
     """Within a CDR3, a clonotype whose V and J segments hold those of others is shared out among them, largest sets first.
 
-    Shares follow the counts at that moment. CDR3s with a single clonotype don't leave the JVM.
+    Shares follow the counts at that moment; the barcodes go to all that get a share. CDR3s with a
+    single clonotype don't leave the JVM.
     """
+    carried = ["bcs"] * ("bcs" in clones.columns)
     size = clones.groupBy("cdr3").agg(F.count("*").alias("_n"))
-    marked = clones.select(*KEY, "count").join(size, "cdr3")
+    marked = clones.select(*KEY, "count", *carried).join(size, "cdr3")
 
     def fold(pdf: pd.DataFrame) -> pd.DataFrame:
         live = {(tuple(v), tuple(j)): int(c) for v, j, c in zip(pdf["v_ids"], pdf["j_ids"], pdf["count"])}
+        taken, cdr3 = {k: {k} for k in live}, pdf["cdr3"].iloc[0]
         for k in sorted(live, key=lambda k: (-len(k[0]) - len(k[1]), k)):
             inner = [x for x in sorted(live) if x != k and set(x[0]) <= set(k[0]) and set(x[1]) <= set(k[1])]
             if inner:
                 for x, n in zip(inner, shares(live[k], [live[x] for x in inner])):
                     live[x] += n
+                    taken[x] |= taken[k]
                 del live[k]
-        return pd.DataFrame({"v_ids": [list(k[0]) for k in live], "cdr3": pdf["cdr3"].iloc[0], "j_ids": [list(k[1]) for k in live], "count": list(live.values())})
+        whole = [[{"v_ids": list(v), "cdr3": cdr3, "j_ids": list(j)} for v, j in sorted(taken[k])] for k in live]
+        return pd.DataFrame({"v_ids": [list(k[0]) for k in live], "cdr3": cdr3, "j_ids": [list(k[1]) for k in live], "count": list(live.values()), "taken": whole})
 
-    several = marked.where("_n > 1").drop("_n").groupBy("cdr3").applyInPandas(fold, "v_ids array<int>, cdr3 string, j_ids array<int>, count long")
-    return marked.where("_n = 1").select(*KEY, "count").unionByName(several)
+    several = marked.where("_n > 1").select(*KEY, "count").groupBy("cdr3").applyInPandas(fold, f"v_ids array<int>, cdr3 string, j_ids array<int>, count long, taken {TAKEN}")
+    return marked.where("_n = 1").select(*KEY, "count", *carried).unionByName(with_barcodes(several, clones))

@@ -12,7 +12,8 @@ from pyspark.sql import DataFrame, functions as F
 
 from ..functions import sequences as S
 from ..options import Options
-from .clonotypes import KEY, shares
+from .checkpoints import checkpoint
+from .clonotypes import KEY, TAKEN, shares, with_barcodes
 from .fuzzy import pieces
 
 
@@ -37,8 +38,6 @@ def accepted_pairs(pairs: DataFrame, opts: Options) -> DataFrame:
 
 def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
     """node, comp of all clonotypes in pairs; by the smallest label of the neighbours, until nothing changes."""
-    from .checkpoints import checkpoint
-
     a, b = F.struct(*KEY), F.struct(*[F.col(f"{c}_to").alias(c) for c in KEY])
     name = lambda s: F.to_json(s)
     edges = checkpoint(pairs.select(name(a).alias("x"), name(b).alias("y")).distinct())
@@ -56,41 +55,55 @@ def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
 
 
 def cluster(clones: DataFrame, opts: Options) -> DataFrame:
-    """Clonotypes after clustering: v_ids, cdr3, j_ids, count.
+    """Clonotypes after clustering: v_ids, cdr3, j_ids, count, and ``bcs`` and ``avg_qvals`` if they are there.
 
     Rare ones are taken by their first count, ascending; each goes to its accepted partners with
-    the most mismatches, in proportion to their counts at that moment, and is gone. Groups that no
-    pair joins are independent, so each is folded on its own.
+    the most mismatches, in proportion to their counts at that moment, and is gone. All its barcodes
+    go to each of them; its qualities count by the share, but for the mismatches. Groups that no
+    pair joins are independent, so each is folded on its own; barcodes are joined afterwards.
     """
+    columns = [*KEY, "count", *[c for c in ("bcs", "avg_qvals") if c in clones.columns]]
+    clones = clones.select(columns)
     if not opts.cluster_errors:
-        return clones.select(*KEY, "count")
+        return clones
     pairs = candidate_pairs(clones, opts.cluster_errors, opts.cluster_ratio)
     if opts.cluster_quality:
         pairs = pairs.join(clones.select(*KEY, "avg_qvals"), KEY)
     pairs = accepted_pairs(pairs, opts).select(*KEY, "count", *[f"{c}_to" for c in (*KEY, "count")], "n_err")
-    if pairs.isEmpty():
-        return clones.select(*KEY, "count")
-    most = pairs.join(pairs.groupBy(*KEY).agg(F.max("n_err").alias("_m")), KEY).where("n_err = _m")
+    most = checkpoint(pairs.join(pairs.groupBy(*KEY).agg(F.max("n_err").alias("_m")), KEY).where("n_err = _m"))
+    if most.isEmpty():
+        return clones
     comps = components(most)
-    rows = most.withColumn("node", F.to_json(F.struct(*KEY))).join(comps, "node").drop("node")
-
-    def fold(pdf: pd.DataFrame) -> pd.DataFrame:
+    named = F.to_json(F.struct(*KEY))
+    rows = most.withColumn("node", named).join(comps, "node").drop("node")
+    rows = rows.select(*[F.col(c).alias(c) for c in rows.columns])  # else both sides of the cogroup have the same attributes
+    nodes = clones.drop("bcs").withColumn("node", named).join(comps, "node").drop("node")
+    if "avg_qvals" not in columns:
+        nodes = nodes.withColumn("avg_qvals", F.lit(None).cast("array<double>"))
+
+    def fold(nodes: pd.DataFrame, links: pd.DataFrame) -> pd.DataFrame:
         k = lambda r, s="": (tuple(r["j_ids" + s]), tuple(r["v_ids" + s]), r["cdr3" + s])
-        live, first, targets = {}, {}, {}
-        for r in pdf.to_dict("records"):
-            a, b = k(r), k(r, "_to")
-            live[a] = first[a] = int(r["count"])
-            live[b] = first[b] = int(r["count_to"])
-            targets.setdefault(a, set()).add(b)
+        live, qualities, taken, targets = {}, {}, {}, {}
+        for r in nodes.to_dict("records"):
+            live[k(r)], qualities[k(r)], taken[k(r)] = int(r["count"]), r["avg_qvals"], {k(r)}
+        first = dict(live)
+        for r in links.to_dict("records"):
+            targets.setdefault(k(r), set()).add(k(r, "_to"))
         for a in sorted(targets, key=lambda a: (first[a], a)):
             majors = sorted((b for b in targets[a] if b in live), key=lambda b: (-first[b], b))
             if majors:
                 for b, n in zip(majors, shares(live[a], [live[b] for b in majors])):
+                    if qualities[a] is not None and qualities[b] is not None:
+                        qualities[b] = [q if x != y else (live[b] * q + n * p) / (live[b] + n) for q, p, x, y in zip(qualities[b], qualities[a], b[2], a[2])]
                     live[b] += n
+                    taken[b] |= taken[a]
                 del live[a]
         out = sorted(live)
-        return pd.DataFrame({"v_ids": [list(x[1]) for x in out], "cdr3": [x[2] for x in out], "j_ids": [list(x[0]) for x in out], "count": [live[x] for x in out]})
+        whole = [[{"v_ids": list(x[1]), "cdr3": x[2], "j_ids": list(x[0])} for x in sorted(taken[y])] for y in out]
+        quals = [None if qualities[x] is None else list(qualities[x]) for x in out]
+        return pd.DataFrame({"v_ids": [list(x[1]) for x in out], "cdr3": [x[2] for x in out], "j_ids": [list(x[0]) for x in out], "count": [live[x] for x in out], "taken": whole, "avg_qvals": quals})
 
-    folded = rows.groupBy("comp").applyInPandas(fold, "v_ids array<int>, cdr3 string, j_ids array<int>, count long")
+    schema = f"v_ids array<int>, cdr3 string, j_ids array<int>, count long, taken {TAKEN}, avg_qvals array<double>"
+    folded = with_barcodes(nodes.groupBy("comp").cogroup(rows.groupBy("comp")).applyInPandas(fold, schema), clones)
     touched = most.select(*KEY).unionByName(most.select(*[F.col(f"{c}_to").alias(c) for c in KEY])).distinct()
-    return clones.select(*KEY, "count").join(touched, KEY, "left_anti").unionByName(folded)
+    return clones.join(touched, KEY, "left_anti").unionByName(folded.select(columns))

@@ -98,6 +98,18 @@ def mean_qualities(judged: DataFrame, qual: str = "qual") -> DataFrame:
     return means.groupBy(*key).agg(F.max("n").alias("n_reads"), by_place.alias("p")).select(*key, "n_reads", F.transform("p", lambda x: x["m"]).alias("avg_qual"))
 
 
+def sequence_qualities(qualities: DataFrame, surviving: DataFrame) -> DataFrame:
+    """Sequence and ``avg_qual`` over its barcodes, weighted by their reads after correction.
+
+    Only surviving reads have a say: what joined one of them adds to its weight, not to its qualities.
+    """
+    key = _key(surviving)
+    rows = surviving.select(*key, "n_reads").join(qualities.select(*key, "avg_qual"), key).drop("bc_seq").select("*", F.posexplode("avg_qual").alias("pos", "q"))
+    key = [c for c in key if c != "bc_seq"]
+    means = rows.groupBy(*key, "pos").agg((F.sum(F.col("q") * F.col("n_reads")) / F.sum("n_reads")).alias("m"))
+    return means.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qual"))
+
+
 def barcode_stats(unique: DataFrame) -> DataFrame:
     return unique.groupBy("bc_seq").agg(F.sum("n_reads").alias("n_reads"), F.count("*").alias("n_unique"))
 

@@ -40,7 +40,11 @@ def seed_hits(reads: DataFrame, scfs: DataFrame, length: int, errors: int) -> Da
 
 
 def ungapped_matches(reads: DataFrame, segments: DataFrame, side: str, length: int, errors: int, max_rate: float, offset: int = 0) -> DataFrame:
-    """seq, seg_idx, score, aln_len, n_err, motif_at of the best segments of each read, ties kept; substitutions only."""
+    """seq, seg_idx, score, aln_len, n_err, motif_at, outer_len, err_pos of the best segments of each read, ties kept; substitutions only.
+
+    ``err_pos``: errors outside of the CDR3, against the last base of V's motif (0, -1, ...) or the
+    first base of J's (1, 2, ...; that base itself isn't asked). ``outer_len``: the bases there.
+    """
     scfs = core_fragments(segments, side, length, offset)
     hits = seed_hits(reads, scfs, length, errors).where(S.mismatches(F.col("scf"), F.substr("seq", F.col("begin") + 1, F.lit(length))) <= errors)
     where = hits.join(scfs, "scf").select("seq", (F.col("begin") - F.col("scf_start")).alias("motif_at"), F.explode("segs").alias("seg_idx")).distinct()
@@ -55,16 +59,23 @@ def ungapped_matches(reads: DataFrame, segments: DataFrame, side: str, length: i
         segment = F.substr("seg", F.col("motif_pos") + 1, n)
     scored = whole.withColumn("aln_len", n).withColumn("n_err", S.mismatches(segment, F.substr("seq", first + 1, n))).withColumn("score", F.col("aln_len") - 2 * F.col("n_err"))
     scored = scored.where(F.col("n_err") <= max_rate * F.col("aln_len"))
+    wrong = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & (F.substr(segment, i + 1, F.lit(1)) != F.substr("seq", first + i + 1, F.lit(1))))
+    scored = scored.withColumn("outer_len", n).withColumn("err_pos", F.transform(wrong, lambda i: (i - n + 1).cast("int")) if side == "V" else F.filter(wrong, lambda i: i > 0))
     best = scored.withColumn("rank", F.rank().over(Window.partitionBy("seq").orderBy(F.desc("score")))).where("rank = 1")
-    return best.select("seq", "seg_idx", "score", "aln_len", "n_err", "motif_at").distinct()
+    return best.select("seq", "seg_idx", "score", "aln_len", "n_err", "motif_at", "outer_len", "err_pos").distinct()
 
 
 def ties(matches: DataFrame, side: str) -> DataFrame:
-    """One row a read: sorted segment ids, and the motif's place, null where ties disagree."""
+    """One row a read: sorted segment ids; the motif's place, the errors' number and places, each null where ties disagree."""
     s = side.lower()
     same = F.when(F.min("motif_at") == F.max("motif_at"), F.min("motif_at"))
     errors = F.when(F.min("n_err") == F.max("n_err"), F.min("n_err"))
-    return matches.groupBy("seq").agg(F.array_sort(F.collect_set("seg_idx")).alias(f"{s}_ids"), same.alias(f"{s}_motif"), errors.alias(f"{s}_err"), F.max("aln_len").alias(f"{s}_len"))
+    agreed = F.min("err_pos") == F.max("err_pos")
+    places, outer = F.when(agreed, F.min("err_pos")), F.when(agreed, F.min_by("outer_len", "seg_idx"))
+    return matches.groupBy("seq").agg(
+        F.array_sort(F.collect_set("seg_idx")).alias(f"{s}_ids"), same.alias(f"{s}_motif"), errors.alias(f"{s}_err"), F.max("aln_len").alias(f"{s}_len"),
+        places.alias(f"{s}_err_pos"), outer.alias(f"{s}_outer_len"),
+    )
 
 
 def cdr3(reads: DataFrame, v: DataFrame, j: DataFrame, min_length: int = 5) -> DataFrame:

@@ -1,44 +1,91 @@
-"""Correction of molecular barcodes: rare reads join a similar, more abundant one."""
+"""Correction of molecular barcodes: rare reads join a similar, more abundant one.
+
+Reads are keyed by ``bc_seq`` and ``seq``, pairs by ``fw_seq`` too; both mates of a pair have to be
+similar. A read that joins another gives its count and loses its barcode.
+"""
 
 from __future__ import annotations
 
 import math
 
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequences as S
 from .fuzzy import pieces
 
 
+def _key(unique: DataFrame) -> list[str]:
+    return [c for c in ("bc_seq", "fw_seq", "seq") if c in unique.columns]
+
+
+def _to(key: list[str]) -> list[str]:
+    return [c.replace("_seq", "") + "_to" for c in key]
+
+
+def _blocks(bc: Column, errors: int) -> Column:
+    """Keys of a barcode; two within ``errors`` mismatches share one. For one error: each base left out in turn."""
+    if errors != 1:
+        return pieces(bc, errors)
+    left_out = lambda i: F.struct(i.alias("k"), F.concat(F.substr(bc, F.lit(1), i), F.substr(bc, i + 2)).alias("piece"))
+    return F.transform(F.sequence(F.lit(0), F.greatest(F.length(bc), F.lit(1)) - 1), left_out)
+
+
+def near_barcodes(unique: DataFrame, errors: int) -> DataFrame:
+    """bc_seq, bc_to: different barcodes, and each with itself, of one length and at most ``errors`` mismatches."""
+    keyed = unique.select("bc_seq").distinct().select("bc_seq", F.length("bc_seq").alias("_n"), F.inline(_blocks(F.col("bc_seq"), errors)))
+    pairs = keyed.join(keyed.withColumnRenamed("bc_seq", "bc_to"), ["_n", "k", "piece"])
+    return pairs.where(S.hamming_at_most(F.col("bc_seq"), F.col("bc_to"), errors)).select("bc_seq", "bc_to").distinct()
+
+
 def merge_pairs(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: float = 0.05) -> DataFrame:
-    """bc_seq, seq of a read and bc_to, seq_to of the read it joins.
+    """The key of a read and that of the read it joins: bc_to, seq_to, and fw_to of pairs.
 
     That is the most abundant one, ties by barcode and sequence, of those with at most ``errors``
     mismatches in the barcode, an edit rate of the sequences of at most ``rate``, and a ratio of
     the reads' counts of at most ``ratio``. All counts are those before any merge.
     """
-    keyed = unique.select("bc_seq", "seq", "n_reads", F.length("bc_seq").alias("_n"), F.explode(pieces(F.col("bc_seq"), errors)).alias("p")).select("*", "p.k", "p.piece").drop("p")
-    to = keyed.select("_n", "k", "piece", F.col("bc_seq").alias("bc_to"), F.col("seq").alias("seq_to"), F.col("n_reads").alias("n_to"))
-    near = keyed.join(to, ["_n", "k", "piece"]).where((F.col("n_reads") <= ratio * F.col("n_to")) & ((F.col("bc_seq") != F.col("bc_to")) | (F.col("seq") != F.col("seq_to"))))
+    key = _key(unique)
+    other = unique.select(*[F.col(c).alias(t) for c, t in zip(key, _to(key))], F.col("n_reads").alias("n_to"))
+    near = unique.select(*key, "n_reads").join(near_barcodes(unique, errors), "bc_seq").join(other, "bc_to")
+    here, there = F.struct(*key), F.struct(*[F.col(t).alias(c) for c, t in zip(key, _to(key))])
+    near = near.where((F.col("n_reads") <= ratio * F.col("n_to")) & (here != there))
     if ratio >= 1:
-        near = near.where("n_reads < n_to or (bc_seq, seq) > (bc_to, seq_to)")
-    near = near.where(S.hamming_at_most(F.col("bc_seq"), F.col("bc_to"), errors)).select("bc_seq", "seq", "n_reads", "bc_to", "seq_to", "n_to").distinct()
-    near = near.where(S.edit_rate_at_most(F.col("seq"), F.col("seq_to"), rate))
-    first = Window.partitionBy("bc_seq", "seq").orderBy(F.desc("n_to"), "bc_to", "seq_to")
-    return near.withColumn("_r", F.row_number().over(first)).where("_r = 1").drop("_r")
+        near = near.where((F.col("n_reads") < F.col("n_to")) | (here > there))
+    for c, t in zip(key[1:], _to(key)[1:]):
+        near = near.where(S.edit_rate_at_most(F.col(c), F.col(t), rate))
+    first = Window.partitionBy(*key).orderBy(F.desc("n_to"), *_to(key))
+    return near.withColumn("_r", F.row_number().over(first)).where("_r = 1").select(*key, "n_reads", *_to(key), "n_to")
 
 
-def corrected(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: float = 0.05) -> DataFrame:
-    """Surviving reads with the counts of all that joined them, over chains of merges.
+def assigned(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: float = 0.05) -> DataFrame:
+    """Each read with its count, and the surviving read that it ends in (bc_to, seq_to, and fw_to of pairs), over chains of merges.
 
     Each merge raises the count by 1 / ratio at least, so chains are as long as the logarithm of the
     largest count; pointers double, so the joins are as many as that length's logarithm.
     """
-    parents = merge_pairs(unique, errors, ratio, rate).select("bc_seq", "seq", "bc_to", "seq_to")
-    all_ = unique.join(parents, ["bc_seq", "seq"], "left").select("bc_seq", "seq", "n_reads", F.coalesce("bc_to", "bc_seq").alias("bc_to"), F.coalesce("seq_to", "seq").alias("seq_to"))
+    key = _key(unique)
+    to = _to(key)
+    parents = merge_pairs(unique, errors, ratio, rate).select(*key, *to)
+    all_ = unique.join(parents, key, "left").select(*key, "n_reads", *[F.coalesce(t, c).alias(t) for c, t in zip(key, to)])
     largest = unique.agg(F.max("n_reads")).first()[0] or 1
     depth = math.ceil(math.log(max(2, largest)) / math.log(1 / ratio)) + 1 if ratio < 1 else 64
     for _ in range(max(1, math.ceil(math.log2(depth)))):
-        up = all_.select(F.col("bc_seq").alias("bc_to"), F.col("seq").alias("seq_to"), F.col("bc_to").alias("bc_up"), F.col("seq_to").alias("seq_up"))
-        all_ = all_.join(up, ["bc_to", "seq_to"]).select("bc_seq", "seq", "n_reads", F.col("bc_up").alias("bc_to"), F.col("seq_up").alias("seq_to"))
-    return all_.groupBy(F.col("bc_to").alias("bc_seq"), F.col("seq_to").alias("seq")).agg(F.sum("n_reads").alias("n_reads"))
+        up = all_.select(*[F.col(c).alias(t) for c, t in zip(key, to)], *[F.col(t).alias(f"_{t}") for t in to])
+        all_ = all_.join(up, to).select(*key, "n_reads", *[F.col(f"_{t}").alias(t) for t in to])
+    return all_
+
+
+def survivors(assigned: DataFrame) -> DataFrame:
+    """Surviving reads with the counts of all that joined them."""
+    key = _key(assigned)
+    return assigned.groupBy(*[F.col(t).alias(c) for c, t in zip(key, _to(key))]).agg(F.sum("n_reads").alias("n_reads"))
+
+
+def corrected(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: float = 0.05) -> DataFrame:
+    return survivors(assigned(unique, errors, ratio, rate))
+
+
+def surviving_ids(ids: DataFrame, assigned: DataFrame) -> DataFrame:
+    """Read ids (with the key of each) under the key of the surviving read."""
+    key = _key(ids)
+    return ids.join(assigned, key).select(*[F.col(t).alias(c) for c, t in zip(key, _to(key))], "id").distinct()

@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..operators import align, clonotypes as C, cluster as K, reads as R, segments as G, umi as U
 from ..operators.checkpoints import checkpoint
 from ..options import Options
+from ..sources import sinks
 
 
 @dataclass
@@ -30,13 +31,35 @@ class ClonotypeJob:
     def unique(self) -> DataFrame:
         return R.unique_reads(self.judged)
 
+    @cached_property
+    def assigned(self) -> DataFrame | None:
+        """The surviving read of each unique read, if reads have barcodes."""
+        o = self.options
+        return checkpoint(U.assigned(self.unique, o.barcode_errors, o.barcode_ratio, o.barcode_seq_rate)) if o.barcode_length else None
+
+    @cached_property
+    def surviving(self) -> DataFrame:
+        return self.unique if self.assigned is None else U.survivors(self.assigned)
+
+    @cached_property
+    def ids(self) -> DataFrame:
+        """Ids of all reads that passed, under the sequence that they count for."""
+        ids = R.read_ids(self.judged)
+        return (ids if self.assigned is None else U.surviving_ids(ids, self.assigned)).drop("bc_seq").distinct()
+
+    @cached_property
+    def rejects(self) -> DataFrame:
+        """id, reason: reads rejected before the analysis and in it."""
+        key = [c for c in ("fw_seq", "seq") if c in self.ids.columns]
+        return sinks.reject_log(self.judged, self.analysed.where("reject is not null").select(*key, "reject").join(self.ids, key))
+
+    def read_table(self, with_sequence: bool = False) -> DataFrame:
+        return sinks.read_table(self.analysed, self.ids, self.segments, with_sequence, not self.options.keep_alleles)
+
     @cached_property
     def sequences(self) -> DataFrame:
-        """Sequences with counts and barcodes, after correction if reads have barcodes. Pairs keep their V read."""
-        u, o = self.unique, self.options
-        if o.barcode_length and "fw_seq" not in u.columns:
-            u = U.corrected(u, o.barcode_errors, o.barcode_ratio, o.barcode_seq_rate)
-        return checkpoint(R.drop_barcode(u))
+        """Sequences with counts and the barcodes that survive; pairs keep their V read."""
+        return checkpoint(R.drop_barcode(self.surviving))
 
     @cached_property
     def v_core_length(self) -> int:
@@ -46,7 +69,8 @@ class ClonotypeJob:
         motif = self.segments.where("seg_type = 'V'").agg(F.min("motif_pos")).first()[0]
         return G.auto_v_core_length(shortest or 0, motif if motif is not None else 58)
 
-    def matches(self, side: str) -> DataFrame:
+    def matches(self, side: str, lines: bool = False) -> DataFrame:
+        """Best segments of each sequence; ``lines`` adds printed alignments, which only gapped ones have."""
         o = self.options
         length, offset = (self.v_core_length, o.v_core_offset) if side == "V" else (o.j_core_length, o.j_core_offset)
         rate = o.max_err_v if side == "V" else o.max_err_j
@@ -54,7 +78,7 @@ class ClonotypeJob:
         errors = math.ceil(rate * length) if errors is None else errors
         reads = self.sequences.select("seq").distinct()
         if self.gapped:
-            return align.gapped_matches(reads, self.segments, G.core_fragments(self.segments, side, length, offset), side, errors, rate, offset)
+            return align.gapped_matches(reads, self.segments, G.core_fragments(self.segments, side, length, offset), side, errors, rate, offset, lines=lines)
         return G.ungapped_matches(reads, self.segments, side, length, errors, rate, offset)
 
     @cached_property
@@ -76,19 +100,15 @@ class ClonotypeJob:
         """Nucleotide clonotypes after alleles, clustering, quality and ambiguity."""
         o = self.options
         clones = C.group_clonotypes(self.analysed)
-        quals = None
-        if o.min_clone_quality > 0 or o.cluster_quality:
-            by_seq = R.mean_qualities(self.judged).groupBy("seq").agg(F.max_by("avg_qual", "n_reads").alias("avg_qual"))
-            quals = C.clone_qualities(self.analysed, by_seq)
+        rated = o.min_clone_quality > 0 or o.cluster_quality
+        if rated:
+            by_seq = R.sequence_qualities(R.mean_qualities(self.judged), self.surviving)
+            clones = clones.join(C.clone_qualities(self.analysed, by_seq), C.KEY, "left")
         if not o.keep_alleles:
             clones = C.drop_alleles(clones, G.first_alleles(self.segments))
-        if quals is not None:
-            quals = C.merged_qualities(quals, None if o.keep_alleles else G.first_alleles(self.segments))
-            clones = clones.join(quals, C.KEY, "left")
-        if o.cluster_errors:
-            clones = K.cluster(clones, o).join(clones.drop("count"), C.KEY, "left")
-        clones = C.drop_low_quality(clones, o.min_clone_quality) if quals is not None else clones
-        return C.resolve_ambiguity(clones).join(clones.select(*C.KEY, "bcs"), C.KEY, "left") if o.merge_ambiguous else clones
+        clones = K.cluster(checkpoint(clones), o) if o.cluster_errors else clones
+        clones = C.drop_low_quality(clones, o.min_clone_quality) if rated else clones
+        return C.resolve_ambiguity(clones) if o.merge_ambiguous else clones
 
     @cached_property
     def amino_clonotypes(self) -> DataFrame:

@@ -61,15 +61,15 @@ MATCHED = f"""{JUDGED}, {X.segments(True)},
 v_hits AS (SELECT r.seq, s.seg_idx, o.off + 37 AS motif_at, s.motif_pos, s.seq AS seg FROM seqs r, (SELECT *, substr(seq, motif_pos + 4 - 40, 40) AS scf FROM segments WHERE seg_type = 'V') s, (SELECT unnest(range(0, 119)) AS off) o
   WHERE o.off + 40 <= length(r.seq) AND CASE WHEN o.off + 40 <= length(r.seq) THEN hamming(substr(r.seq, o.off + 1, 40), s.scf) <= 2 ELSE FALSE END),
 v_cut AS (SELECT *, greatest(0, motif_at - motif_pos) AS first, motif_at + 3 - greatest(0, motif_at - motif_pos) AS n FROM v_hits),
-v_all AS (SELECT seq, seg_idx, motif_at, n, hamming(substr(seg, motif_pos - motif_at + first + 1, n), substr(seq, first + 1, n)) AS n_err FROM v_cut),
+v_all AS (SELECT seq, seg_idx, motif_at, n, list_transform(list_filter(range(0, n::BIGINT), lambda i: substr(seg, (motif_pos - motif_at + first + 1 + i)::BIGINT, 1) <> substr(seq, (first + 1 + i)::BIGINT, 1)), lambda i: i - n + 1) AS err_pos, hamming(substr(seg, motif_pos - motif_at + first + 1, n), substr(seq, first + 1, n)) AS n_err FROM v_cut),
 v_best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY seq ORDER BY n - 2 * n_err DESC) AS r FROM v_all WHERE n_err <= 0.05::DOUBLE * n) WHERE r = 1),
 j_hits AS (SELECT r.seq, s.seg_idx, o.off AS motif_at, s.motif_pos, s.seq AS seg FROM seqs r, (SELECT *, substr(seq, motif_pos + 1, 12) AS scf FROM segments WHERE seg_type = 'J') s, (SELECT unnest(range(0, 147)) AS off) o
   WHERE CASE WHEN o.off + 12 <= length(r.seq) THEN hamming(substr(r.seq, o.off + 1, 12), s.scf) <= 2 ELSE FALSE END),
 j_cut AS (SELECT *, least(length(seg) - motif_pos, length(seq) - motif_at) AS n FROM j_hits),
-j_all AS (SELECT seq, seg_idx, motif_at, n, hamming(substr(seg, motif_pos + 1, n), substr(seq, motif_at + 1, n)) AS n_err FROM j_cut),
+j_all AS (SELECT seq, seg_idx, motif_at, n, list_filter(range(1, n::BIGINT), lambda i: substr(seg, (motif_pos + 1 + i)::BIGINT, 1) <> substr(seq, (motif_at + 1 + i)::BIGINT, 1)) AS err_pos, hamming(substr(seg, motif_pos + 1, n), substr(seq, motif_at + 1, n)) AS n_err FROM j_cut),
 j_best AS (SELECT * FROM (SELECT *, rank() OVER (PARTITION BY seq ORDER BY n - 2 * n_err DESC) AS r FROM j_all WHERE n_err <= 0.15::DOUBLE * n) WHERE r = 1),
-v_ties AS (SELECT seq, list_sort(list(DISTINCT seg_idx)) AS v_ids, CASE WHEN min(motif_at) = max(motif_at) THEN min(motif_at) END AS v_motif, CASE WHEN min(n_err) = max(n_err) THEN min(n_err) END AS v_err, max(n) AS v_len FROM v_best GROUP BY 1),
-j_ties AS (SELECT seq, list_sort(list(DISTINCT seg_idx)) AS j_ids, CASE WHEN min(motif_at) = max(motif_at) THEN min(motif_at) END AS j_motif, CASE WHEN min(n_err) = max(n_err) THEN min(n_err) END AS j_err, max(n) AS j_len FROM j_best GROUP BY 1)"""
+v_ties AS (SELECT seq, list_sort(list(DISTINCT seg_idx)) AS v_ids, CASE WHEN min(motif_at) = max(motif_at) THEN min(motif_at) END AS v_motif, CASE WHEN min(n_err) = max(n_err) THEN min(n_err) END AS v_err, max(n) AS v_len, min(err_pos) = max(err_pos) AS v_agreed, min(err_pos) AS v_places, arg_min(n, seg_idx) AS v_outer FROM v_best GROUP BY 1),
+j_ties AS (SELECT seq, list_sort(list(DISTINCT seg_idx)) AS j_ids, CASE WHEN min(motif_at) = max(motif_at) THEN min(motif_at) END AS j_motif, CASE WHEN min(n_err) = max(n_err) THEN min(n_err) END AS j_err, max(n) AS j_len, min(err_pos) = max(err_pos) AS j_agreed, min(err_pos) AS j_places, arg_min(n, seg_idx) AS j_outer FROM j_best GROUP BY 1)"""
 
 
 def translate_sql(nt: str) -> str:
@@ -78,7 +78,7 @@ def translate_sql(nt: str) -> str:
 
 
 ANALYSED = f"""{MATCHED},
-placed AS (SELECT s.*, v_ids, j_ids, v_motif, j_motif, v_err, j_err, v_len, j_len, v_motif AS cdr_begin, j_motif + 3 AS cdr_end, CASE WHEN j_motif + 3 > v_motif THEN substr(s.seq, v_motif + 1, j_motif + 3 - v_motif) END AS cdr3_nt
+placed AS (SELECT s.*, v_ids, j_ids, v_motif, j_motif, v_err, j_err, v_len, j_len, v_agreed, v_places, v_outer, j_agreed, j_places, j_outer, v_motif AS cdr_begin, j_motif + 3 AS cdr_end, CASE WHEN j_motif + 3 > v_motif THEN substr(s.seq, v_motif + 1, j_motif + 3 - v_motif) END AS cdr3_nt
   FROM seqs s LEFT JOIN v_ties USING (seq) LEFT JOIN j_ties USING (seq)),
 spelt AS (SELECT *, {translate_sql('cdr3_nt')} AS cdr3_aa, cdr_end - cdr_begin AS size FROM placed),
 analysed AS (SELECT *, CASE WHEN v_ids IS NULL OR j_ids IS NULL THEN 'SEGMENT_MATCH_FAILED' WHEN v_motif IS NULL OR j_motif IS NULL THEN 'MOTIF_AMBIGUOUS' WHEN size <= 0 THEN 'BROKEN_CDR_BOUNDARIES'
@@ -250,7 +250,8 @@ def rdt_rows(spark, d):
     from .sources.sinks import read_table
 
     job = _job(spark, d)
-    return read_table(job.analysed, R.read_ids(job.judged), job.segments).select("SEQ_ID", F.col("CDR3_BEGIN").cast("long"), F.col("CDR3_END").cast("long"), "V_MATCHES", F.col("V_MATCHLEN").cast("long"), "J_MATCHES", "CDR3_NUCSEQ", "CDR3_AASEQ")
+    number = {c: F.col(c).cast("long") for c in ("CDR3_BEGIN", "CDR3_END", "V_MATCHLEN", "J_MATCHLEN")}
+    return read_table(job.analysed, R.read_ids(job.judged), job.segments).withColumns(number)
 
 
 def gapped_match(spark, d):
@@ -315,5 +316,5 @@ SELECT r.seq, scf, off::INT AS begin FROM seqs r, scfs, o WHERE off + 40 <= leng
     "lq_positions": f"WITH q AS (SELECT l_orderkey, l_linenumber, {X.mapped('12', 'CAST(20 + (l_orderkey * i * 7 + l_linenumber * i * i) % 21 AS DOUBLE)', True)} AS q FROM lineitem), t AS (SELECT *, list_median(q) - list_stddev_samp(q) AS lim FROM q) SELECT l_orderkey, l_linenumber, array_to_string(list_filter(range(0, 12), lambda i: q[i + 1] <= lim), ',') AS positions FROM t",
     "ambiguity_candidates": f"WITH {X.toy_clones(True)}, {_AMB} SELECT {_AMB_KEYS} FROM amb",
     "redistribute_counts": f"WITH {X.toy_clones(True)}, {_AMB}, k AS (SELECT {_AMB_KEYS} FROM amb), f AS (SELECT *, (count * count_of) // (sum(count_of) OVER (PARTITION BY v_ids, cdr3, j_ids)) AS g, row_number() OVER (PARTITION BY v_ids, cdr3, j_ids ORDER BY v_of, j_of) AS r FROM k) SELECT v_ids, cdr3, j_ids, v_of, j_of, count, count_of, (g + CASE WHEN r <= count - sum(g) OVER (PARTITION BY v_ids, cdr3, j_ids) THEN 1 ELSE 0 END)::BIGINT AS given FROM f",
-    "rdt_rows": f"{ANALYSED}, i AS (SELECT DISTINCT seq, id FROM judged WHERE reject IS NULL) SELECT id AS SEQ_ID, cdr_begin::BIGINT AS CDR3_BEGIN, cdr_end::BIGINT AS CDR3_END, {_RDT_NAMES.format('v_ids')} AS V_MATCHES, v_len::BIGINT AS V_MATCHLEN, {_RDT_NAMES.format('j_ids')} AS J_MATCHES, cdr3_nt AS CDR3_NUCSEQ, cdr3_aa AS CDR3_AASEQ FROM analysed JOIN i USING (seq) WHERE reject IS NULL",
+    "rdt_rows": f"{ANALYSED}, i AS (SELECT DISTINCT seq, id FROM judged WHERE reject IS NULL) SELECT id AS SEQ_ID, cdr_begin::BIGINT AS CDR3_BEGIN, cdr_end::BIGINT AS CDR3_END, {_RDT_NAMES.format('v_ids')} AS V_MATCHES, CASE WHEN v_agreed THEN array_to_string(v_places, ',') END AS V_ERRPOS, CASE WHEN v_agreed THEN v_outer END::BIGINT AS V_MATCHLEN, {_RDT_NAMES.format('j_ids')} AS J_MATCHES, CASE WHEN j_agreed THEN array_to_string(j_places, ',') END AS J_ERRPOS, CASE WHEN j_agreed THEN j_outer END::BIGINT AS J_MATCHLEN, cdr3_nt AS CDR3_NUCSEQ, cdr3_aa AS CDR3_AASEQ FROM analysed JOIN i USING (seq) WHERE reject IS NULL",
 }

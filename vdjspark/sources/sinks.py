@@ -32,16 +32,20 @@ def reject_log(*parts: DataFrame) -> DataFrame:
     return out
 
 
-def read_table(analysed: DataFrame, ids: DataFrame, segments: DataFrame, with_sequence: bool = False) -> DataFrame:
-    """One row for each read id of an accepted read, in the columns of the per-read table."""
+def read_table(analysed: DataFrame, ids: DataFrame, segments: DataFrame, with_sequence: bool = False, merge_alleles: bool = False) -> DataFrame:
+    """One row for each read id of an accepted read, in the columns of the per-read table.
+
+    Places of errors, and the length that they refer to, are null where tied segments disagree.
+    """
     from ..functions import sequences as S
 
-    rows = analysed.where("reject is null")
+    rows, key = analysed.where("reject is null"), [c for c in ("fw_seq", "seq") if c in analysed.columns]
     for c in ("v_ids", "j_ids"):
         each = rows.select(c).distinct().select(c, F.posexplode(c).alias("pos", "seg_idx")).join(segments.select("seg_idx", "seg_type", "seg_id", "allele"), "seg_idx")
-        rows = rows.join(each.groupBy(c).agg(S.gene_list(F.array_sort(F.collect_list(F.struct("pos", "seg_type", "seg_id", "allele"))), False).alias(f"{c}_name")), c)
-    out = rows.join(ids.select("seq", "id").distinct(), "seq")
-    names = {"id": "SEQ_ID", "cdr_begin": "CDR3_BEGIN", "cdr_end": "CDR3_END", "v_ids_name": "V_MATCHES", "v_err": "V_ERRORS", "v_len": "V_MATCHLEN", "j_ids_name": "J_MATCHES", "j_err": "J_ERRORS", "j_len": "J_MATCHLEN", "cdr3_nt": "CDR3_NUCSEQ", "cdr3_aa": "CDR3_AASEQ"}
-    if with_sequence:
-        names = {"id": "SEQ_ID", "seq": "VDJ_READ"} | names
+        rows = rows.join(each.groupBy(c).agg(S.gene_list(F.array_sort(F.collect_list(F.struct("pos", "seg_type", "seg_id", "allele"))), merge_alleles).alias(f"{c}_name")), c)
+    for s in "vj":
+        rows = rows.withColumn(f"{s}_places", F.array_join(F.transform(f"{s}_err_pos", lambda x: x.cast("string")), ","))
+    out = rows.join(ids.select(*key, "id").distinct(), key)
+    reads = {"fw_seq": "vRead", "seq": "vdjRead"} if "fw_seq" in key else {"seq": "read"}
+    names = {"id": "SEQ_ID"} | (reads if with_sequence else {}) | {"cdr_begin": "CDR3_BEGIN", "cdr_end": "CDR3_END", "v_ids_name": "V_MATCHES", "v_places": "V_ERRPOS", "v_outer_len": "V_MATCHLEN", "j_ids_name": "J_MATCHES", "j_places": "J_ERRPOS", "j_outer_len": "J_MATCHLEN", "cdr3_nt": "CDR3_NUCSEQ", "cdr3_aa": "CDR3_AASEQ"}
     return out.select(*[F.col(c).alias(n) for c, n in names.items()])
