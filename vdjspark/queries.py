@@ -229,7 +229,7 @@ def lq_positions(spark, d):
 
 def quality_having(spark, d):
     job = _job(spark, d)
-    quals = R.mean_qualities(job.judged).groupBy("seq").agg(F.max_by("avg_qual", F.struct("n_reads", "bc_seq")).alias("avg_qual"))
+    quals = R.sequence_qualities(R.mean_qualities(job.judged), job.unique)
     return C.drop_low_quality(C.clone_qualities(job.analysed, quals), 35.0).select(_ids("v_ids"), "cdr3", _ids("j_ids"), F.round(S.mean(F.col("avg_qvals")), 6).alias("quality"))
 
 
