@@ -46,6 +46,7 @@ def read_table(analysed: DataFrame, ids: DataFrame, segments: DataFrame, with_se
     for s in "vj":
         rows = rows.withColumn(f"{s}_places", F.array_join(F.transform(f"{s}_err_pos", lambda x: x.cast("string")), ","))
     out = rows.join(ids.select(*key, "id").distinct(), key)
+    # the table's column names are fixed values
     reads = {"fw_seq": "vRead", "seq": "vdjRead"} if "fw_seq" in key else {"seq": "read"}
     names = {"id": "SEQ_ID"} | (reads if with_sequence else {}) | {"cdr_begin": "CDR3_BEGIN", "cdr_end": "CDR3_END", "v_ids_name": "V_MATCHES", "v_places": "V_ERRPOS", "v_outer_len": "V_MATCHLEN", "j_ids_name": "J_MATCHES", "j_places": "J_ERRPOS", "j_outer_len": "J_MATCHLEN", "cdr3_nt": "CDR3_NUCSEQ", "cdr3_aa": "CDR3_AASEQ"}
     return out.select(*[F.col(c).alias(n) for c, n in names.items()])
