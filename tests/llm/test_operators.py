@@ -191,6 +191,35 @@ def test_lines(spark):
         assert {r["doc_id"] for r in out if r["text"]} == set(label)
 
 
+def test_line_distances():
+    rng = np.random.default_rng(5)
+
+    def text(most):
+        return "".join(rng.choice(list("ab \u00e9\U0001f600"), rng.integers(0, most)))
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    for _ in range(400):
+        a, b, tail = text(12), text(12), text(90)
+        for x, y in ((a, b), (a + tail, b + tail), (tail + a, tail + b), (a + tail + b, b + tail + a)):
+            d = distance(x, y)
+            assert [lines.within(x, y, most) for most in range(14)] == [d <= most for most in range(14)]
+
+
+def test_line_majority():
+    rng = np.random.default_rng(6)
+    h = rng.integers(0, 1 << 64, 3000, np.uint64)
+    opens = np.array([0, 1, 3, 258, 513, 769, 2999])
+    want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[i:j]) > j - i) for i, j in zip(opens, [*opens[1:], len(h)])]
+    assert lines._majority(h, opens).tolist() == want
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1, None: 2}])
 def test_mixing(spark, weights):
     rows = [(i, f"s{i % 3}" if i % 10 else None) for i in range(900)] + [(900, "s2")] * 2
