@@ -191,6 +191,31 @@ def test_lines(spark):
         assert {r["doc_id"] for r in out if r["text"]} == set(label)
 
 
+def test_lines_by_all_pairs(spark):
+    rng = np.random.default_rng(11)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(3, 9))) for _ in range(600)]
+    texts = []
+    for n in (1, 2, 3, 6, 12, 20, 40):
+        for _ in range(12):
+            line = [str(w) for w in rng.choice(words, n)]
+            texts.append(" ".join(line))
+            for _ in range(3):
+                other = list(line)
+                at = int(rng.integers(n))
+                other[at] = str(rng.choice(words)) if n >= 12 else other[at][:-1] + "z"
+                texts.append(" ".join(other))
+    texts = list(dict.fromkeys(texts))
+    label = list(range(len(texts)))
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if lines.within(texts[a], texts[b], int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9))]
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    assert len(set(label)) < len(texts) / 2
+    out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()
+    kept = {r["doc_id"] for r in out if r["text"]}
+    assert kept >= set(label) and len(kept) - len(set(label)) <= 0.02 * (len(texts) - len(set(label)))
+
+
 def test_line_distances():
     rng = np.random.default_rng(5)
 
