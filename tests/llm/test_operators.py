@@ -260,6 +260,15 @@ def test_mixing(spark, weights):
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
 
 
+def test_mixing_keeps_to_the_given_weights():
+    weights = [1 / 3] + [2 / 21] * 6 + [2 / 21 - 0.0001, 0.0001]
+    order = {at + t: i for i, _, _, at, _, _, slots in mixing.phases([40_000] * 9, weights) for t in slots if at == 0}
+    done = [0] * 9
+    for t in range(30_000):
+        done[order[t]] += 1
+        assert all(abs(n - (t + 1) * w) < 1.001 for n, w in zip(done, weights))
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (900, 24)).astype(np.float32)

@@ -2,13 +2,12 @@
 
 A source's documents form blocks. With weight w, block k (from 0) is released at floor(k / w) and
 due at ceil((k + 1) / w); each time slot goes to the released block with the earliest deadline.
-Weights are whole parts of a period, so the order of one period, found once, places all blocks:
-block k of a source with p parts is in period k div p, at its (k mod p)-th place there. At any
-slot each source is within less than one block of its share.
+Weights are whole parts of 2**36, fine enough that their rounding is under a hundredth of a block
+over hundreds of millions of slots; so at any slot each source is within one block of its target.
 
 When a source ends, the others go on with their weights scaled up, in a further phase; so every
 document has a place and none is dropped or repeated. The plan has a phase for each source at
-most, and what the driver holds is bounded by phases times the period.
+most; the driver places all blocks, one after the other, and holds a number for each.
 
 Defined results: null sources are a source of their own, as is every source beyond the ``most``
 largest taken together. Weights that are missing, null or not positive are those of one part in a
@@ -24,7 +23,8 @@ from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, Window, functions as F
 
-PERIOD = 1024
+PERIOD = 1024  # a weight that is missing is one part of it
+SCALE = 1 << 36  # parts that weights are rounded to
 BLOCK = 16  # documents in a block
 BUCKET = 8192  # documents numbered by one task, about
 MOST = 256  # sources that have a weight of their own
@@ -40,8 +40,8 @@ def parts_of(weights: list[float], period: int) -> list[int]:
     return [p + 1 for p in parts]
 
 
-def one_period(parts: list[int]) -> list[list[int]]:
-    """Slots of each source in a period, by earliest deadline among the released blocks."""
+def schedule(parts: list[int], left: list[int], end: int) -> list[list[int]]:
+    """Slots of each source's blocks, by earliest deadline among the released ones, up to ``end`` or until a source has none left."""
     period = sum(parts)
     release = lambda p, k: k * period // p
     due = lambda p, k: -(-(k + 1) * period // p)
@@ -49,31 +49,35 @@ def one_period(parts: list[int]) -> list[list[int]]:
     heapq.heapify(coming)
     ready: list[tuple[int, int, int, int]] = []
     slots: list[list[int]] = [[] for _ in parts]
-    for t in range(period):
+    for t in range(end):
         while coming and coming[0][0] <= t:
             r, d, i, k = heapq.heappop(coming)
             heapq.heappush(ready, (d, r, i, k))
         _, _, i, k = heapq.heappop(ready)
         slots[i].append(t)
-        if k + 1 < parts[i]:
-            heapq.heappush(coming, (release(parts[i], k + 1), due(parts[i], k + 1), i, k + 1))
+        if k + 1 == left[i]:
+            break
+        heapq.heappush(coming, (release(parts[i], k + 1), due(parts[i], k + 1), i, k + 1))
     return slots
 
 
-def phases(blocks: list[int], weights: list[float], period: int) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, period, parts, slots of a period) of each source in each phase."""
+def one_period(parts: list[int]) -> list[list[int]]:
+    """Slots of each source in a period."""
+    return schedule(parts, [p + 1 for p in parts], sum(parts))
+
+
+def phases(blocks: list[int], weights: list[float]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
+    """(source, first block, blocks, first slot, all parts, own parts, slots from the first on) of each source in each phase."""
     out, done, at = [], [0] * len(blocks), 0
     while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        parts = parts_of([weights[i] for i in active], max(period, 2 * len(active)))
-        slots, size = one_period(parts), sum(parts)
+        parts = parts_of([weights[i] for i in active], SCALE)
         left = [blocks[i] - done[i] for i in active]
-        end = min((n - 1) // p * size + s[(n - 1) % p] + 1 for n, p, s in zip(left, parts, slots))
-        for i, p, s in zip(active, parts, slots):
-            n = end // size * p + sum(x < end % size for x in s)
-            if n:
-                out.append((i, done[i], n, at, size, p, s))
-                done[i] += n
-        at += end
+        placed = schedule(parts, left, sum(left))
+        for i, p, s in zip(active, parts, placed):
+            if s:
+                out.append((i, done[i], len(s), at, SCALE, p, s))
+                done[i] += len(s)
+        at += sum(map(len, placed))
     return out
 
 
@@ -97,7 +101,7 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
         given[-1] = None
     valid = [w for w in given if w is not None and 0 < w < math.inf]
     given = [w if w is not None and 0 < w < math.inf else (sum(valid) or 1) / period for w in given]
-    plan = phases([-(-n // block) for n in counts], given, period)
+    plan = phases([-(-n // block) for n in counts], given)
 
     names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "s string, _source int")
     numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("s")), "left").drop("s").withColumn("_source", F.coalesce("_source", F.lit(len(named))))
@@ -111,10 +115,10 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
     numbered = numbered.join(ahead, ["_source", "_bucket"]).withColumn("_n", number)
     numbered = numbered.withColumn("block", F.expr(f"_n div {int(block)}")).withColumn("place", (F.col("_n") % block).cast("int"))
 
-    table = spark.createDataFrame(plan, "_s int, _first long, _blocks long, _at long, _size int, _parts int, _slots array<int>")
-    k, size = F.col("block") - F.col("_first"), F.col("_size")
+    table = spark.createDataFrame(plan, "_s int, _first long, _blocks long, _at long, _size long, _parts long, _slots array<int>")
+    k = F.col("block") - F.col("_first")
     joined = numbered.join(F.broadcast(table), (F.col("_source") == F.col("_s")) & (k >= 0) & (k < F.col("_blocks")))
-    slot = F.col("_at") + F.expr("(block - _first) div _parts") * size + F.element_at("_slots", (k % F.col("_parts") + 1).cast("int"))
+    slot = F.col("_at") + F.element_at("_slots", (k + 1).cast("int"))
     release = F.col("_at") + F.expr("((block - _first) * _size) div _parts")
     deadline = F.col("_at") + F.expr("((block - _first + 1) * _size + _parts - 1) div _parts")
     return joined.select(*df.columns, "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "place")
