@@ -269,6 +269,14 @@ def test_mixing_keeps_to_the_given_weights():
         assert all(abs(n - (t + 1) * w) < 1.001 for n, w in zip(done, weights))
 
 
+def test_mixing_of_many_sources(spark):
+    df = spark.range(600).selectExpr("id as doc_id", "concat('s', id % 300) as source")
+    weights = {f"s{i}": 1 + 8 * (i == 299) for i in range(300)}
+    got = mixing.mix(df, weights=weights, block=1).collect()
+    assert len({r["slot"] for r in got}) == 600
+    assert [r["deadline"] - r["release"] for r in got if r["source"] == "s299" and r["block"] == 0] == [35]  # 308 / 9, rounded up
+
+
 def test_vectors(spark):
     rng = np.random.default_rng(1)
     x = rng.normal(0, 1, (900, 24)).astype(np.float32)

@@ -9,8 +9,7 @@ When a source ends, the others go on with their weights scaled up, in a further
 document has a place and none is dropped or repeated. The plan has a phase for each source at
 most; the driver places all blocks, one after the other, and holds a number for each.
 
-Defined results: null sources are a source of their own, as is every source beyond the ``most``
-largest taken together. Weights that are missing, null or not positive are those of one part in a
+Defined results: null sources are a source of their own. Weights that are missing, null or not positive are those of one part in a
 period. Ties of deadlines go to the earlier release, then to the source that sorts first (null
 first). Documents are in a random order within their source, the same on each run.
 """
@@ -27,7 +26,6 @@ PERIOD = 1024  # a weight that is missing is one part of it
 SCALE = 1 << 36  # parts that weights are rounded to
 BLOCK = 16  # documents in a block
 BUCKET = 8192  # documents numbered by one task, about
-MOST = 256  # sources that have a weight of their own
 
 
 def parts_of(weights: list[float], period: int) -> list[int]:
@@ -81,7 +79,7 @@ def phases(blocks: list[int], weights: list[float]) -> list[tuple[int, int, int,
     return out
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, most: int = MOST, bucket: int = BUCKET) -> DataFrame:
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:
     """Add ``block``, ``release``, ``deadline``, ``slot`` and ``place`` (in the block) to the rows.
 
     Sorted by slot and place, the rows are the mixture. Release and deadline are slots of the
@@ -91,20 +89,17 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
     if clash := {*new, "_source", "_bucket", "_n", "_before"} & {c.lower() for c in df.columns}:
         raise ValueError(f"columns exist already: {sorted(clash)}")
     spark = df.sparkSession
-    sizes = df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n")).orderBy(F.desc("n"), "source")
-    named = sorted(((r["source"], r["n"]) for r in sizes.limit(most).collect()), key=lambda x: (x[0] is not None, x[0] or ""))
-    rows = df.count()
-    rest = rows - sum(n for _, n in named)
-    counts = [n for _, n in named] + [rest] * (rest > 0)
-    given = [math.sqrt(n) if weights is None else weights.get(s) for s, n in zip([s for s, _ in named] + [None] * (rest > 0), counts)]
-    if weights is not None and rest:
-        given[-1] = None
+    sizes = df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    named = sorted(((r["source"], r["n"]) for r in sizes.collect()), key=lambda x: (x[0] is not None, x[0] or ""))
+    counts = [n for _, n in named]
+    rows = sum(counts)
+    given = [math.sqrt(n) if weights is None else weights.get(s) for s, n in named]
     valid = [w for w in given if w is not None and 0 < w < math.inf]
     given = [w if w is not None and 0 < w < math.inf else (sum(valid) or 1) / period for w in given]
     plan = phases([-(-n // block) for n in counts], given)
 
     names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "s string, _source int")
-    numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("s")), "left").drop("s").withColumn("_source", F.coalesce("_source", F.lit(len(named))))
+    numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("s"))).drop("s")
     order = F.xxhash64(F.lit(17), key)
     numbered = numbered.withColumn("_bucket", F.pmod(order, F.lit(max(1, math.ceil(rows / bucket)))))
     ahead = numbered.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
