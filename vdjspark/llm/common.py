@@ -9,6 +9,7 @@ import uuid
 from functools import lru_cache
 
 import numpy as np
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
@@ -20,9 +21,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared folder named by ``spark.checkpoint.dir``; a temporary one only where it is unset."""
+    """The shared folder named by ``spark.checkpoint.dir``; a temporary one where it is unset and driver and executors are one machine."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         found = tempfile.mkdtemp(prefix="checkpoint-")
         spark.sparkContext.setCheckpointDir(found)
     return found.rstrip("/")
@@ -69,6 +72,22 @@ class Scratch:
             pass
 
 
+def free_of(df: DataFrame, *names: str) -> None:
+    """Raises a ValueError if the frame has one of the columns already that an operator adds or uses meanwhile."""
+    if clash := {n.lower() for n in names} & {c.lower() for c in df.columns}:
+        raise ValueError(f"columns exist already: {sorted(clash)}")
+
+
+def arrival(df: DataFrame) -> DataFrame:
+    """Add ``_part`` and ``_row``, by which rows sort in the order of the table: by file and row of a stored one, else by partition and row."""
+    try:
+        out = df.select("*", F.col("_metadata.file_path").alias("_part"), F.col("_metadata.row_index").alias("_row"))
+        out.schema  # noqa: B018  only stored tables have these
+        return out
+    except AnalysisException:
+        return df.select("*", F.lpad(F.spark_partition_id().cast("string"), 12, "0").alias("_part"), F.monotonically_increasing_id().alias("_row"))
+
+
 def fold_is(column: str, divisor: int, remainder: int) -> Column:
     """crc32 of an id as text, modulo ``divisor``, is ``remainder``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor == remainder

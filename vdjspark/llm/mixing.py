@@ -1,119 +1,132 @@
 """Operator 7, mixing sources to target weights by Pfair scheduling.
 
-A source's documents form blocks. With weight w, block k (from 0) is released at floor(k / w) and
-due at ceil((k + 1) / w); each time slot goes to the released block with the earliest deadline.
-Weights are whole parts of 2**36, fine enough that their rounding is under a hundredth of a block
-over hundreds of millions of slots; so at any slot each source is within one block of its target.
-
-When a source ends, the others go on with their weights scaled up, in a further phase; so every
-document has a place and none is dropped or repeated. The plan has a phase for each source at
-most; the driver places all blocks, one after the other, and holds a number for each.
-
-Defined results: null sources are a source of their own. Weights that are missing, null or not positive are those of one part in a
-period. Ties of deadlines go to the earlier release, then to the source that sorts first (null
-first). Documents are in a random order within their source, the same on each run.
+A source's documents form blocks. Its blocks flow at a rate of its weight over the weights of all
+sources that have blocks left; so a source that ends speeds the others up, and nothing is rounded.
+That flow gives each block a window: it is released in the slot in which its share of the flow
+begins, and due at the end of the one in which it is complete. Each slot goes to the released block
+with the earliest deadline. As the rates always add up to one, every block has a slot in its window,
+and so at any slot each source is less than one block off its target, also where sources end.
+
+The driver places the blocks, ``PLAN`` at most: inputs of more than ``PLAN * BLOCK`` documents get
+larger blocks. Documents are numbered within buckets of a hash that hold all sources, so that a
+large source makes no large task.
+
+Defined results: null sources are a source of their own. Weights that are missing, null or not
+positive are those of one part in ``period`` parts of the others. Ties of deadlines go to the
+earlier release, then to the source that sorts first (null first). Documents are in a random order
+within their source, the same on each run; repeated rows have places of their own. An empty table
+gives none. Columns named as those added, or as those used meanwhile, raise a ValueError.
 """
 
 from __future__ import annotations
 
 import heapq
 import math
+from bisect import bisect_right
 from collections.abc import Mapping
+from fractions import Fraction
 
+import numpy as np
 from pyspark.sql import DataFrame, Window, functions as F
 
+from .common import free_of
+
 PERIOD = 1024  # a weight that is missing is one part of it
-SCALE = 1 << 36  # parts that weights are rounded to
 BLOCK = 16  # documents in a block
-BUCKET = 8192  # documents numbered by one task, about
+BUCKET = 1024  # documents numbered together, about
+RUN = 4096  # buckets whose counts are added up together
+PLAN = 1 << 20  # most blocks that the driver places
 
 
-def parts_of(weights: list[float], period: int) -> list[int]:
-    """Whole parts of a period in proportion to the weights, one at least, by largest remainders."""
-    free, total = period - len(weights), sum(weights)
-    exact = [w / total * free for w in weights]
-    parts = [math.floor(x) for x in exact]
-    for i in sorted(range(len(parts)), key=lambda i: (parts[i] - exact[i], i))[: free - sum(parts)]:
-        parts[i] += 1
-    return [p + 1 for p in parts]
+class Flow:
+    """The flow of all sources' blocks at the rates of their weights, in exact numbers.
 
+    At level v source i has had min(blocks[i], weights[i] * v) blocks; a slot goes by for each block of the flow.
+    """
 
-def schedule(parts: list[int], left: list[int], end: int) -> list[list[int]]:
-    """Slots of each source's blocks, by earliest deadline among the released ones, up to ``end`` or until a source has none left."""
-    period = sum(parts)
-    release = lambda p, k: k * period // p
-    due = lambda p, k: -(-(k + 1) * period // p)
-    coming = [(0, due(p, 0), i, 0) for i, p in enumerate(parts)]
+    def __init__(self, blocks: list[int], weights: list[float]):
+        exact = [Fraction(w) for w in weights]
+        scale = math.lcm(*(w.denominator for w in exact))
+        self.weights = [int(w * scale) for w in exact]
+        ends = sorted((Fraction(n, w), n, w) for n, w in zip(blocks, self.weights))
+        self.ends = [(n, w) for _, n, w in ends]  # a source ends at the level n / w
+        self.near = [float(e) for e, _, _ in ends]
+        self.done, self.rate = [0], [sum(self.weights)]  # blocks of ended sources and weights of the others, after each end
+        for _, n, w in ends:
+            self.done.append(self.done[-1] + n)
+            self.rate.append(self.rate[-1] - w)
+
+    def _at(self, k: int, w: int) -> int:
+        """How many sources end below the level k / w, or at it."""
+        p = bisect_right(self.near, k / w)
+        while p and self.ends[p - 1][0] * w > k * self.ends[p - 1][1]:
+            p -= 1
+        while p < len(self.ends) and self.ends[p][0] * w <= k * self.ends[p][1]:
+            p += 1
+        return p
+
+    def window(self, source: int, k: int) -> tuple[int, int]:
+        """First slot of block k of a source, and the slot that it has to be over by."""
+        w = self.weights[source]
+        p, q = self._at(k, w), self._at(k + 1, w)
+        return self.done[p] + self.rate[p] * k // w, self.done[q] - (-self.rate[q] * (k + 1) // w)
+
+
+def schedule(blocks: list[int], weights: list[float]) -> list[list[tuple[int, int, int]]]:
+    """(slot, release, deadline) of each block of each source, by the earliest deadline among those released."""
+    flow = Flow(blocks, weights) if blocks else None
+    out: list[list[tuple[int, int, int]]] = [[] for _ in blocks]
+    coming = [(*flow.window(i, 0), i) for i, n in enumerate(blocks) if n]
     heapq.heapify(coming)
-    ready: list[tuple[int, int, int, int]] = []
-    slots: list[list[int]] = [[] for _ in parts]
-    for t in range(end):
+    ready: list[tuple[int, int, int]] = []
+    for t in range(sum(blocks)):
         while coming and coming[0][0] <= t:
-            r, d, i, k = heapq.heappop(coming)
-            heapq.heappush(ready, (d, r, i, k))
-        _, _, i, k = heapq.heappop(ready)
-        slots[i].append(t)
-        if k + 1 == left[i]:
-            break
-        heapq.heappush(coming, (release(parts[i], k + 1), due(parts[i], k + 1), i, k + 1))
-    return slots
-
-
-def one_period(parts: list[int]) -> list[list[int]]:
-    """Slots of each source in a period."""
-    return schedule(parts, [p + 1 for p in parts], sum(parts))
-
-
-def phases(blocks: list[int], weights: list[float]) -> list[tuple[int, int, int, int, int, int, list[int]]]:
-    """(source, first block, blocks, first slot, all parts, own parts, slots from the first on) of each source in each phase."""
-    out, done, at = [], [0] * len(blocks), 0
-    while active := [i for i, n in enumerate(blocks) if done[i] < n]:
-        parts = parts_of([weights[i] for i in active], SCALE)
-        left = [blocks[i] - done[i] for i in active]
-        placed = schedule(parts, left, sum(left))
-        for i, p, s in zip(active, parts, placed):
-            if s:
-                out.append((i, done[i], len(s), at, SCALE, p, s))
-                done[i] += len(s)
-        at += sum(map(len, placed))
+            r, d, i = heapq.heappop(coming)
+            heapq.heappush(ready, (d, r, i))
+        d, r, i = heapq.heappop(ready)
+        out[i].append((t, r, d))
+        if len(out[i]) < blocks[i]:
+            heapq.heappush(coming, (*flow.window(i, len(out[i])), i))
     return out
 
 
-def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET) -> DataFrame:
+def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Mapping[str | None, float] | None = None, block: int = BLOCK, period: int = PERIOD, bucket: int = BUCKET, plan: int = PLAN) -> DataFrame:
     """Add ``block``, ``release``, ``deadline``, ``slot`` and ``place`` (in the block) to the rows.
 
-    Sorted by slot and place, the rows are the mixture. Release and deadline are slots of the
-    phase that the block is in. Without ``weights`` a source's weight is the square root of its rows.
+    Sorted by slot and place, the rows are the mixture. Without ``weights`` a source's weight is the
+    square root of its rows.
     """
-    new = ("block", "release", "deadline", "slot", "place")
-    if clash := {*new, "_source", "_bucket", "_n", "_before"} & {c.lower() for c in df.columns}:
-        raise ValueError(f"columns exist already: {sorted(clash)}")
+    free_of(df, "block", "release", "deadline", "slot", "place", "_source", "_bucket", "_n", "_before", "_smaller", "_name", "_window")
     spark = df.sparkSession
-    sizes = df.groupBy(F.col(source).alias("source")).agg(F.count("*").alias("n"))
+    name = F.col(source).cast("string")
+    sizes = df.groupBy(name.alias("source")).agg(F.count("*").alias("n"))
     named = sorted(((r["source"], r["n"]) for r in sizes.collect()), key=lambda x: (x[0] is not None, x[0] or ""))
     counts = [n for _, n in named]
     rows = sum(counts)
+    block = max(block, math.ceil(rows / max(1, plan - len(counts))))
     given = [math.sqrt(n) if weights is None else weights.get(s) for s, n in named]
     valid = [w for w in given if w is not None and 0 < w < math.inf]
-    given = [w if w is not None and 0 < w < math.inf else (sum(valid) or 1) / period for w in given]
-    plan = phases([-(-n // block) for n in counts], given)
+    given = [float(w) if w is not None and 0 < w < math.inf else (sum(valid) or 1) / period for w in given]
+    placed = schedule([-(-n // block) for n in counts], given)
 
-    names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "s string, _source int")
-    numbered = df.join(F.broadcast(names), F.col(source).cast("string").eqNullSafe(F.col("s"))).drop("s")
+    names = spark.createDataFrame([(s, i) for i, (s, _) in enumerate(named)], "_name string, _source int")
+    numbered = df.join(F.broadcast(names), name.eqNullSafe(F.col("_name"))).drop("_name")
     order = F.xxhash64(F.lit(17), key)
     numbered = numbered.withColumn("_bucket", F.pmod(order, F.lit(max(1, math.ceil(rows / bucket)))))
-    ahead = numbered.groupBy("_source", "_bucket").agg(F.count("*").alias("_n"))
-    ahead = ahead.withColumn("_before", F.sum("_n").over(Window.partitionBy("_source").orderBy("_bucket")) - F.col("_n")).drop("_n")
+    # documents of the source in the buckets before, in two steps, and of the sources before in the bucket
+    held = numbered.groupBy("_source", "_bucket").agg(F.count("*").alias("_n")).withColumn("_run", F.expr(f"_bucket div {RUN}"))
+    runs = held.groupBy("_source", "_run").agg(F.sum("_n").alias("_r")).withColumn("_r", F.sum("_r").over(Window.partitionBy("_source").orderBy("_run")) - F.col("_r"))
+    within_run, in_bucket = Window.partitionBy("_source", "_run").orderBy("_bucket"), Window.partitionBy("_bucket").orderBy("_source")
+    ahead = held.join(runs, ["_source", "_run"]).withColumn("_before", F.col("_r") + F.sum("_n").over(within_run) - F.col("_n"))
+    ahead = ahead.withColumn("_smaller", F.sum("_n").over(in_bucket) - F.col("_n")).select("_source", "_bucket", "_before", "_smaller")
     ties = [c for c, t in df.dtypes if c != key and not t.startswith(("map", "variant"))]
-    within = Window.partitionBy("_source", "_bucket").orderBy(order, key, F.xxhash64(*ties) if ties else F.lit(0))
-    number = F.col("_before") + F.row_number().over(within) - 1
-    numbered = numbered.join(ahead, ["_source", "_bucket"]).withColumn("_n", number)
+    within = Window.partitionBy("_bucket").orderBy("_source", order, key, F.xxhash64(*ties) if ties else F.lit(0))
+    numbered = numbered.withColumn("_n", F.row_number().over(within)).join(ahead, ["_bucket", "_source"])
+    numbered = numbered.withColumn("_n", F.col("_before") + F.col("_n") - F.col("_smaller") - 1)
     numbered = numbered.withColumn("block", F.expr(f"_n div {int(block)}")).withColumn("place", (F.col("_n") % block).cast("int"))
 
-    table = spark.createDataFrame(plan, "_s int, _first long, _blocks long, _at long, _size long, _parts long, _slots array<int>")
-    k = F.col("block") - F.col("_first")
-    joined = numbered.join(F.broadcast(table), (F.col("_source") == F.col("_s")) & (k >= 0) & (k < F.col("_blocks")))
-    slot = F.col("_at") + F.element_at("_slots", (k + 1).cast("int"))
-    release = F.col("_at") + F.expr("((block - _first) * _size) div _parts")
-    deadline = F.col("_at") + F.expr("((block - _first + 1) * _size + _parts - 1) div _parts")
-    return joined.select(*df.columns, "block", release.alias("release"), deadline.alias("deadline"), slot.alias("slot"), "place")
+    flat = np.array([x for s in placed for x in s], np.int64).reshape(-1, 3)
+    first = np.cumsum([0] + [len(s) for s in placed])
+    table = spark.createDataFrame([(i, flat[first[i] : first[i + 1]].ravel().tolist()) for i in range(len(placed))], "_source int, _window array<long>")
+    at = lambda j: F.element_at("_window", (F.col("block") * 3 + j + 1).cast("int"))
+    return numbered.join(F.broadcast(table), "_source").select(*df.columns, "block", at(1).alias("release"), at(2).alias("deadline"), at(0).alias("slot"), "place")

@@ -1,16 +1,20 @@
 """Operator 4, best-fit packing.
 
 Documents become token ids; those longer than a sequence are cut, the first piece being the
-shorter one. Pieces are packed online: a fixed number of bins is open, a bitset keyed by free
-space finds the bin that a piece fits best, and when a new bin is needed the fullest closes first.
+shorter one. Pieces are packed online as they arrive: a fixed number of bins is open, a bitset keyed
+by free space finds the bin that a piece fits best, and when a new bin is needed the fullest closes
+first. Pieces wait in runs of ``RUN`` and leave each run longest first, so that short ones find gaps;
+beyond the open bins and a run nothing is held.
 
-Pieces are dealt by hash into groups of bounded size, each packed on its own, so that the work
-grows with executors and no state is shared. A group's pieces arrive longest first, which leaves
-the short ones to fill what is free.
+Pieces arrive in the order of the table (of a stored one: by file, then by row), so that sequences
+follow a mixture that was written in its order. Ranges of that order, of about ``GROUP`` pieces, are
+packed on their own, so that the work grows with executors and no state is shared.
 
 Defined results: a null text is as an empty one, a document of the end-of-text id alone. Rows that
-repeat are documents of their own. Ties between bins of equal free space go to the one that got
-that free space last. Sequence ids are unique but have gaps.
+repeat, and those without an id, are documents of their own. Ties between bins of equal free space
+go to the one that got that free space last, ties in a run to the first to arrive. Names of special
+tokens in a text are ordinary text. Sequence ids are unique but have gaps. An empty table gives no
+row. Other columns take no part, whatever their names; a key named as a result raises a ValueError.
 """
 
 from __future__ import annotations
@@ -23,16 +27,18 @@ from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, functions as F
+from pyspark import TaskContext
+from pyspark.sql import DataFrame, functions as F, types as T
 from tokenizers import Tokenizer
 
-from .common import slices
+from .common import Scratch, arrival, slices
 
 CAPACITY = 2048
-OPEN_BINS = 8192
-GROUP = 8192  # documents whose pieces are packed together, about
+OPEN_BINS = 128
+RUN = 512  # pieces that are put in order of length
+GROUP = 32_768  # pieces that are packed together, about
+NEW = ("piece", "start", "length", "ids_crc32", "ids", "sequence_id", "offset")
 WORDS = 1_000_000  # words whose ids a worker remembers
 #: Texts of these characters are split alike by any version of Unicode's tables.
 PLAIN = re.compile(r"[\t\n\r\x20-\x7e\xa0-ɏ‐-‧‰-⁞₠-€]*")
@@ -140,7 +146,9 @@ class BestFit:
 
 
 def pieces_of(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, eot: int = 0, ids: bool = False) -> DataFrame:
-    """key, piece, start, length, ids_crc32 (and ids) of each piece of each document."""
+    """key, piece, start, length, ids_crc32 (and ids) of each piece of each document, and _part, _row: its place in the table."""
+    if key.lower() in NEW:
+        raise ValueError(f"the key can't be named {key}")
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         enc = encoder(tokenizer)
@@ -152,24 +160,30 @@ def pieces_of(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc
                     part = tokens[start : start + n]
                     for column, x in zip(out, (row, k, start, n, zlib.crc32(part.tobytes()), part.tolist() if ids else None)):
                         column.append(x)
-            arrays = [b.column(1).take(pa.array(out[0], pa.int64())), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
-            names = [key, "piece", "start", "length", "ids_crc32", "ids"]
-            yield pa.RecordBatch.from_arrays([*arrays, pa.array(out[5], pa.list_(pa.int64()))][: 5 + ids], names[: 5 + ids])
+            at = pa.array(out[0], pa.int64())
+            arrays = [b.column(1).take(at), pa.array(out[1], pa.int32()), *(pa.array(c, pa.int64()) for c in out[2:5])]
+            arrays += [pa.array(out[5], pa.list_(pa.int64()))] * ids + [b.column(2).take(at), b.column(3).take(at)]
+            yield pa.RecordBatch.from_arrays(arrays, [f.name for f in schema])
 
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids
-    return df.select(F.col(text).alias("_text"), key).mapInArrow(encode, schema)
+    rows = arrival(df.select(F.col(text).alias("_text"), F.col(key).alias(key)))
+    schema = T.StructType([df.schema[key], T.StructField("piece", T.IntegerType()), *(T.StructField(c, T.LongType()) for c in ("start", "length", "ids_crc32"))])
+    schema = T.StructType([*schema, *[T.StructField("ids", T.ArrayType(T.LongType()))] * ids, T.StructField("_part", T.StringType()), T.StructField("_row", T.LongType())])
+    return rows.select("_text", key, "_part", "_row").mapInArrow(encode, schema)
 
 
-def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, group: int = GROUP, eot: int = 0, ids: bool = False) -> DataFrame:
+def pack(df: DataFrame, tokenizer: str, text: str = "text", key: str = "doc_id", capacity: int = CAPACITY, open_bins: int = OPEN_BINS, run: int = RUN, group: int = GROUP, eot: int = 0, ids: bool = False) -> DataFrame:
     """Add ``sequence_id`` and ``offset`` to the pieces of all documents; ``ids`` also returns the tokens."""
-    groups = max(1, math.ceil(df.count() / group))
-    pieces = pieces_of(df, tokenizer, text, key, capacity, eot, ids).withColumn("_group", F.pmod(F.xxhash64(key, "piece", "ids_crc32"), F.lit(groups)))
-
-    def place(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["length", "ids_crc32", key, "piece"], ascending=[False, True, True, True], kind="stable", ignore_index=True)
-        bins, base = BestFit(capacity, open_bins), int(pdf["_group"].iloc[0]) << 40
-        put = [bins.add(n) for n in pdf["length"].tolist()]
-        return pdf.drop(columns="_group").assign(sequence_id=[base + b for b, _ in put], offset=[o for _, o in put])
-
-    schema = f"`{key}` {df.schema[key].dataType.simpleString()}, piece int, start long, length long, ids_crc32 long" + ", ids array<long>" * ids + ", sequence_id long, offset long"
-    return pieces.groupBy("_group").applyInPandas(place, schema)
+    pieces = Scratch(df.sparkSession).put(pieces_of(df, tokenizer, text, key, capacity, eot, ids))
+    columns = pieces.columns[:-2]
+
+    def place(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins, base = BestFit(capacity, open_bins), TaskContext.get().partitionId() << 40
+        for b in slices(batches, run):
+            length = b.column(columns.index("length")).to_numpy()
+            order = np.argsort(-length, kind="stable")
+            put = np.array([bins.add(n) for n in length[order].tolist()], np.int64)
+            yield pa.RecordBatch.from_arrays([*(b.column(c).take(pa.array(order)) for c in columns), pa.array(base + put[:, 0]), pa.array(put[:, 1])], [*columns, "sequence_id", "offset"])
+
+    places = ["_part", "_row", "piece"]
+    dealt = pieces.repartitionByRange(max(1, math.ceil(pieces.count() / group)), *places).sortWithinPartitions(*places)
+    return dealt.mapInArrow(place, T.StructType([*pieces.schema.fields[:-2], T.StructField("sequence_id", T.LongType()), T.StructField("offset", T.LongType())]))
