@@ -88,6 +88,19 @@ def arrival(df: DataFrame) -> DataFrame:
         return df.select("*", F.lpad(F.spark_partition_id().cast("string"), 12, "0").alias("_part"), F.monotonically_increasing_id().alias("_row"))
 
 
+HOT = 1000  # a key with more than one row in so many is joined by broadcast; there can't be more such keys
+
+
+def skewed_join(left: DataFrame, right: DataFrame, on: list[str], n: str, rows: int) -> DataFrame:
+    """Inner join with a side that has each key once and the number ``n`` of its rows on the left, of ``rows`` in all.
+
+    Keys with a large part of all rows, fewer than ``HOT``, are broadcast, so no task gets all rows of one.
+    """
+    hot = F.broadcast(right.where(F.col(n) * HOT > rows).drop(n))
+    rest = left.join(F.broadcast(right.where(F.col(n) * HOT > rows).select(*on)), on, "left_anti")
+    return left.join(hot, on).unionByName(rest.join(right.where(F.col(n) * HOT <= rows).drop(n), on))
+
+
 def fold_is(column: str, divisor: int, remainder: int) -> Column:
     """crc32 of an id as text, modulo ``divisor``, is ``remainder``."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % divisor == remainder
