@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import defaultdict
+from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
@@ -133,6 +134,63 @@ def test_bounded_best_fit():
     assert packing.cut(5000, 2048) == [(0, 904), (904, 2048), (2952, 2048)]
 
 
+def brute_packing(lengths, capacity, most, run):
+    """Bins by scanning all open ones: the fullest that has room; when too many are open the fullest closes."""
+    out, open_, made, since = [None] * len(lengths), [], 0, 0  # open: [free, since, number]
+    for begin in range(0, len(lengths), run):
+        for i in sorted(range(begin, min(begin + run, len(lengths))), key=lambda i: -lengths[i]):
+            n = lengths[i]
+            fitting = [b for b in open_ if b[0] >= n]
+            if fitting:
+                b = min(fitting, key=lambda b: (b[0], -b[1]))
+                open_.remove(b)
+            else:
+                b = [capacity, 0, made]
+                made += 1
+                if len(open_) >= most and n < capacity:
+                    open_.remove(min(open_, key=lambda b: (b[0], -b[1])))
+            out[i] = (b[2], capacity - b[0])
+            if b[0] > n:
+                since += 1
+                open_.append([b[0] - n, since, b[2]])
+    return out
+
+
+def test_packing_by_brute_force(spark, tmp_path):
+    """Bins close in this input; sequences are those of a plain packer over pieces as they arrive."""
+    rng = np.random.default_rng(4)
+    rows = [(i, " ".join(["word"] * int(n))) for i, n in enumerate(rng.integers(1, 60, 500))]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/d.parquet")
+    kwargs = dict(capacity=64, open_bins=3, run=20)
+    got = packing.pack(spark.read.parquet(f"{tmp_path}/d.parquet"), tokenizer_file(TOKENIZER), **kwargs).collect()
+    place = {(r["doc_id"], r["piece"]): (r["sequence_id"], r["offset"]) for r in got}
+    arrived = sorted(place)
+    lengths = {(r["doc_id"], r["piece"]): r["length"] for r in got}
+    assert [place[k] for k in arrived] == brute_packing([lengths[k] for k in arrived], 64, 3, 20)
+    closed = brute_packing([lengths[k] for k in arrived], 64, 10_000, 20)
+    assert closed != [place[k] for k in arrived]  # the bound is in force
+
+
+def test_packing_follows_the_mixture(spark, docs, tmp_path):
+    """Another mixture gives other sequences, and each holds documents that are near in it."""
+    rows = [(i, f"text number {i} " * 40, f"s{i % 2}") for i in range(600)]
+    df, found = spark.createDataFrame(rows, "doc_id long, text string, source string"), []
+    for k, weights in enumerate(({"s0": 1, "s1": 1}, {"s0": 9, "s1": 1})):
+        mixed = mixing.mix(df, weights=weights, block=2)
+        order = {r["doc_id"]: (r["slot"], r["place"]) for r in mixed.collect()}
+        mixed.repartitionByRange(4, "slot", "place").sortWithinPartitions("slot", "place").select(df.columns).write.parquet(f"{tmp_path}/{k}")
+        got = packing.pack(spark.read.parquet(f"{tmp_path}/{k}"), tokenizer_file(TOKENIZER), run=16, open_bins=4).collect()
+        rank = {d: i for i, d in enumerate(sorted(order, key=order.get))}
+        by = defaultdict(list)
+        for r in got:
+            by[r["sequence_id"]].append(rank[r["doc_id"]])
+        assert max(max(x) - min(x) for x in by.values()) < 80
+        found.append({frozenset(x) for x in ((r["doc_id"] for r in got if r["sequence_id"] == s) for s in by)})
+        first = [rows[d][2] for d in sorted(order, key=order.get)[:100]]
+        assert abs(first.count("s0") - (50, 90)[k]) <= 2
+    assert found[0] != found[1]
+
+
 def brute_viterbi(scores, penalty):
     best = [(list(scores[0]), [[k] for k in range(scores.shape[1])])]
     value, paths = best[0]
@@ -176,19 +234,6 @@ def test_lines(spark):
     rows = [(2, f"alpha beta\n{BASE}\n***\n"), (1, f"Alpha, BETA!\nother line\n***"), (3, None), (4, ""), (5, f"{near}\nbeta alpha"), (1, "Alpha, BETA!\nother line\n***")]
     got = {(r["doc_id"], r["text"]) for r in lines.dedup_lines(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert got == {(2, f"{BASE}\n***\n"), (1, "Alpha, BETA!\nother line\n***"), (3, None), (4, ""), (5, f"{near}\nbeta alpha")}
-    rng = np.random.default_rng(2)
-    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
-    long = " ".join(words[:300])
-    texts = [long] + [long.replace(words[k], words[k][:-1] + "z") for k in range(12)] + [" ".join(words[100:])]
-    for most in (1, 32):
-        out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=most).collect()
-        _, _, _, _, sim = lines.line_hashes(texts)
-        label = list(range(len(texts)))
-        for _ in texts:
-            for a, b in combinations(range(len(texts)), 2):
-                if int(sim[a] ^ sim[b]).bit_count() <= lines.BITS:
-                    label[a] = label[b] = min(label[a], label[b])
-        assert {r["doc_id"] for r in out if r["text"]} == set(label)
 
 
 def test_lines_by_all_pairs(spark):
@@ -216,6 +261,41 @@ def test_lines_by_all_pairs(spark):
     assert kept >= set(label) and len(kept) - len(set(label)) <= 0.02 * (len(texts) - len(set(label)))
 
 
+def test_large_sets_of_lines(spark):
+    """Variants of a long line share most keys, so that sets exceed ``most``; groups are those of all pairs."""
+    rng = np.random.default_rng(2)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    texts = []
+    for base in range(2):
+        line = words[base * 200 : base * 200 + 40]
+        for k in range(15):
+            other = list(line)
+            for at in rng.choice(40, 4, replace=False):
+                other[at] = words[int(rng.integers(400))]
+            texts.append(" ".join(other))
+    texts.append(" ".join(words[20:40] + words[380:400]))
+    texts = [texts[i] for i in rng.permutation(len(texts))]
+    label = list(range(len(texts)))
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if lines.within(texts[a], texts[b], int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9))]
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    for most in (2, 8):
+        out = lines.dedup_lines(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), most=most).collect()
+        assert {r["doc_id"] for r in out if r["text"]} == set(label)
+
+
+def test_hash_blocks():
+    """Hashes within the radius share a block's key, others as a rule don't."""
+    rng = np.random.default_rng(3)
+    a = rng.integers(0, 1 << 64, 300, np.uint64)
+    b = a.copy()
+    for _ in range(2):
+        b ^= np.uint64(1) << rng.integers(0, 64, 300).astype(np.uint64)
+    x, y = lines.hash_blocks(a, 2, 4), lines.hash_blocks(b, 2, 4)
+    assert (x == y).any(1).all() and not (x[1:] == y[:-1]).any()
+
+
 def test_line_distances():
     rng = np.random.default_rng(5)
 
@@ -245,28 +325,56 @@ def test_line_majority():
     assert lines._majority(h, opens).tolist() == want
 
 
+def fluid_shares(blocks, weights):
+    """Blocks that each source has had after each slot, if all flow at their weights at once; in exact numbers."""
+    had, weights = [Fraction(0)] * len(blocks), [Fraction(w) for w in weights]
+    for _ in range(sum(blocks)):
+        left = Fraction(1)
+        while left:
+            active = [i for i, n in enumerate(blocks) if had[i] < n]
+            total = sum(weights[i] for i in active)
+            step = min([left, *((blocks[i] - had[i]) * total / weights[i] for i in active)])
+            for i in active:
+                had[i] += step * weights[i] / total
+            left -= step
+        yield had
+
+
+def test_mixing_schedule_by_brute_force():
+    rng = np.random.default_rng(9)
+    for _ in range(25):
+        n = int(rng.integers(1, 9))
+        blocks, weights = [int(x) for x in rng.integers(1, 40, n)], [float(x) for x in rng.random(n) ** 3 + 1e-3]
+        placed = mixing.schedule(blocks, weights)
+        owner = {t: i for i, s in enumerate(placed) for t, _, _ in s}
+        assert sorted(owner) == list(range(sum(blocks))) and all(r <= t < d for s in placed for t, r, d in s)
+        done = [0] * n
+        for t, had in enumerate(fluid_shares(blocks, weights)):
+            done[owner[t]] += 1
+            assert all(abs(x - y) < 1 for x, y in zip(done, had))
+
+
 @pytest.mark.parametrize("weights", [None, {"s0": 3, "s1": 1, None: 2}])
 def test_mixing(spark, weights):
-    rows = [(i, f"s{i % 3}" if i % 10 else None) for i in range(900)] + [(900, "s2")] * 2
+    rows = [(i, f"s{i % 3}" if i % 10 else None) for i in range(900)] + [(900, "s2")] * 2 + [(None, "s1")]
     got = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block=4, period=32, bucket=50).collect()
-    assert len(got) == len(rows) and len({(r["slot"], r["place"]) for r in got}) == len(rows)
+    assert sorted(((r["doc_id"], r["source"]) for r in got), key=str) == sorted(rows, key=str) and len({(r["slot"], r["place"]) for r in got}) == len(rows)
     assert all(r["release"] <= r["slot"] < r["deadline"] for r in got)
-    parts = [5, 3, 1, 7]
-    slots = mixing.one_period(parts)
-    assert sorted(x for s in slots for x in s) == list(range(16))
-    for p, s in zip(parts, slots):
-        for t in range(17):
-            assert abs(sum(x < t for x in s) - t * p / 16) < 1
+    assert {r["slot"] for r in got} == set(range(max(r["slot"] for r in got) + 1))
+    assert all(len({r["source"] for r in got if r["slot"] == t}) == 1 for t in range(50))
     assert mixing.mix(spark.createDataFrame([], "doc_id long, source string")).count() == 0
+    large = mixing.mix(spark.createDataFrame(rows, "doc_id long, source string"), weights=weights, block=4, plan=64)
+    assert large.count() == len(rows) and large.select("slot").distinct().count() <= 64
 
 
 def test_mixing_keeps_to_the_given_weights():
     weights = [1 / 3] + [2 / 21] * 6 + [2 / 21 - 0.0001, 0.0001]
-    order = {at + t: i for i, _, _, at, _, _, slots in mixing.phases([40_000] * 9, weights) for t in slots if at == 0}
-    done = [0] * 9
-    for t in range(30_000):
-        done[order[t]] += 1
-        assert all(abs(n - (t + 1) * w) < 1.001 for n, w in zip(done, weights))
+    for blocks, weights in (([40_000] * 9, weights), ([200, 200_000], [0.001, 0.999])):
+        order = {t: i for i, s in enumerate(mixing.schedule(blocks, weights)) for t, _, _ in s}
+        done = [0] * len(blocks)
+        for t in range(100_000):
+            done[order[t]] += 1
+            assert all(abs(n - (t + 1) * w / sum(weights)) < 1.000001 for n, w in zip(done, weights))
 
 
 def test_mixing_of_many_sources(spark):
