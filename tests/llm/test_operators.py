@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from vdjspark.llm import ann, graph, language, lines, mixing, packing, quality, simhash, suffix, topk, urls
-from vdjspark.llm.common import Scratch
+from vdjspark.llm.common import Scratch, majority
 from vdjspark.llm.queries import TOKENIZER, tokenizer_file
 
 BASE = "the quick brown fox jumps over the lazy dog while seven wizards mix strange potions in a very old cellar below town"
@@ -83,6 +83,42 @@ def test_links_of_random_fingerprints(spark):
     assert comps[0] == comps[1] == comps[2] == {(r["node"], r["component"]) for r in brute.collect()}
 
 
+def word_shingles(text, n=5):
+    words = (text or "").encode().lower().split()
+    return frozenset(tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))) if words else frozenset()
+
+
+def test_similar_duplicates_by_all_pairs(spark):
+    """Groups are those of all pairs of five-word similarity 0.8, but for pairs beyond the radius."""
+    rng = np.random.default_rng(12)
+    words = ["".join(rng.choice(list("abcdefghiklmnoprstu"), rng.integers(2, 8))) for _ in range(300)]
+    texts = [None, "", " \n", "one", "ONE", "one two", "a b c d", "a b c d e"]
+    for n in (30, 120, 400):
+        for _ in range(12):
+            base = [str(w) for w in rng.choice(words, n)]
+            for changes in (0, 0, 1, max(1, n // 60), max(1, n // 25), n // 4):
+                other = list(base)
+                for at in rng.choice(n, changes, replace=False):
+                    other[at] = str(rng.choice(words))
+                texts.append(" ".join(other).title() if changes == 1 else " ".join(other))
+    texts += [texts[-3]] * 30
+    sets = [word_shingles(t) for t in texts]
+    label = list(range(len(texts)))
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])]
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame([*enumerate(texts), (None, texts[20]), (20, texts[20])], "doc_id long, text string")
+    got = simhash.similar_duplicates(df).collect()
+    assert len(got) == len(texts) + 2
+    found = {r["doc_id"]: r["component_id"] for r in got}
+    together = [found[a] == found[b] for a, b in near if texts[a] != texts[b]]
+    assert sum(together) >= 0.95 * len(together)
+    assert all(label[i] == label[found[i]] for i in range(len(texts)))  # nothing else is joined
+    assert all(found[a] == found[b] for a, b in near if sets[a] == sets[b])
+    assert simhash.similar_duplicates(df.limit(0)).count() == 0
+
+
 def test_suffix(spark, docs):
     got = sorted((tuple(r) for r in suffix.kept_digest(suffix.remove_repeats(docs)).collect()), key=str)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]
@@ -322,7 +358,7 @@ def test_line_majority():
     h = rng.integers(0, 1 << 64, 3000, np.uint64)
     opens = np.array([0, 1, 3, 258, 513, 769, 2999])
     want = [sum(1 << b for b in range(64) if 2 * sum(int(x) >> b & 1 for x in h[i:j]) > j - i) for i, j in zip(opens, [*opens[1:], len(h)])]
-    assert lines._majority(h, opens).tolist() == want
+    assert majority(h, opens).tolist() == want
 
 
 def fluid_shares(blocks, weights):

@@ -163,3 +163,38 @@ def in_chunks(texts: list[str], most: int):
         size += len(t)
     if begin < len(texts):
         yield begin, len(texts)
+
+
+def mix64(h: np.ndarray) -> np.ndarray:
+    h ^= h >> np.uint64(31)
+    h *= np.uint64(0x7FB5D329728EA185)
+    h ^= h >> np.uint64(27)
+    h *= np.uint64(0x81DADEF4BC2DD44D)
+    h ^= h >> np.uint64(33)
+    return h
+
+
+def odd(n: int, seed: int) -> np.ndarray:
+    """Odd multipliers of the places 0 to n - 1."""
+    return mix64(np.arange(1, n + 1, dtype=np.uint64) * np.uint64(seed)) | np.uint64(1)
+
+
+@lru_cache(maxsize=1)
+def _spread() -> np.ndarray:
+    """For each byte its bits as the bytes of a word, lowest first, so that sums of up to 255 count all of them at once."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1, bitorder="little")
+    return np.ascontiguousarray(bits).view("<u8").ravel()
+
+
+def majority(h: np.ndarray, opens: np.ndarray) -> np.ndarray:
+    """For each run of ``h`` the bits that are set in over half of it; opens: where runs begin."""
+    size = np.diff(np.append(opens, len(h)))
+    parts = -(-size // 255)
+    begins = np.cumsum(parts) - parts
+    at = np.repeat(opens, parts) + 255 * (np.arange(parts.sum()) - np.repeat(begins, parts))
+    out = np.zeros((len(opens), 8), np.uint8)
+    for k in range(8):
+        sums = np.add.reduceat(_spread()[(h >> np.uint64(8 * k)) & np.uint64(255)], at)
+        on = np.add.reduceat(sums.astype("<u8").view(np.uint8).reshape(-1, 8), begins, axis=0, dtype=np.int32)
+        out[:, k] = np.packbits(2 * on > size[:, None], axis=1, bitorder="little").ravel()
+    return out.view("<u8").ravel().astype(np.uint64)

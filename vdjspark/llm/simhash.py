@@ -10,9 +10,14 @@ lost. Halves that meet lead to the fingerprints that have them, which are verifi
 are many (more than ``most`` pairs), they meet once more on variants of their other halves within
 what is left of the radius, where a star again stands for all pairs.
 
+``similar_duplicates`` is for whole documents: it takes fingerprints of pairs of words, which near
+copies share more of, a radius of 9, of which one half has 4 at most, and verifies colliding
+documents by the similarity of their sets of five-word shingles.
+
 Defined results: null and empty texts have no word and fingerprint zero, and are linked like any
 other. Repeated rows share fingerprint and component. Rows with a null id keep a fingerprint and
-join components, but a null id never names one unless all are null.
+join components, but a null id never names one unless all are null. An empty table gives no row.
+Other columns take no part, whatever their names; a key named as a result raises a ValueError.
 """
 
 from __future__ import annotations
@@ -25,12 +30,16 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
-from .common import Scratch, slices
+from .common import Scratch, in_chunks, majority, mix64, odd, skewed_join, slices
 from .graph import connected_components
+from .meet import met_on, packed, unpacked
 
 SEED = 42
 WORDS = 4
 BLOCK = 1 << 16  # shingles whose bits are counted at once
+CHUNK = 1 << 18  # characters whose words are hashed at once
+FLUSH = 1 << 19  # variants that a task gathers before it packs them
+WAVES = 8  # parts of the variants that are shuffled one after the other
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -125,10 +134,169 @@ def near_links(fps: DataFrame, scratch: Scratch, radius: int = 4, parts: int = 2
 
 def near_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", radius: int = 4, parts: int = 2, most: int = 1024, words: int = WORDS) -> DataFrame:
     """key, fingerprint (16 hex digits) and component_id, the smallest key that links reach, of each row."""
+    if key.lower() in ("fingerprint", "component_id"):
+        raise ValueError(f"the key can't be named {key}")
     scratch = Scratch(df.sparkSession)
     docs = scratch.put(fingerprints(df.select(F.col(text).alias("text"), F.col(key).alias("key")), keep=["key"], words=words))
-    groups = docs.groupBy("fp").agg(F.min("key").alias("low"))
+    groups = docs.groupBy("fp").agg(F.min("key").alias("low"), F.count("*").alias("n"))
     nodes = connected_components(near_links(groups.select("fp"), scratch, radius, parts, most), scratch)
-    rooted = groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "low", F.coalesce("component", "fp").alias("root"))
-    named = rooted.select("fp", "root").join(rooted.groupBy("root").agg(F.min("low").alias("component_id")), "root").select("fp", "component_id")
-    return docs.join(named, "fp").select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    rooted = scratch.put(groups.join(nodes, groups["fp"] == nodes["node"], "left").select("fp", "low", "n", F.coalesce("component", "fp").alias("root")))
+    named = _named(rooted)
+    return skewed_join(docs, named.withColumnRenamed("node", "fp"), ["fp"], "n", docs.count()).select(F.col("key").alias(key), F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+
+
+def _named(rooted: DataFrame) -> DataFrame:
+    """node (the first column), n, and component_id, the smallest ``low`` of its root."""
+    roots = rooted.groupBy("root").agg(F.min("low").alias("component_id"), F.count("*").alias("n_root"))
+    return skewed_join(rooted, roots, ["root"], "n_root", rooted.count()).select(F.col(rooted.columns[0]).alias("node"), "n", "component_id")
+
+
+def shingle_sets(texts: list[str | None], hashed: int, words: int) -> tuple[np.ndarray, np.ndarray, list[bytes]]:
+    """For each text a key of its words in order, the SimHash of its shingles of ``hashed`` words, and its set of those of ``words`` words, as sorted hashes of 32 bits."""
+    key, fp, sets = np.zeros(len(texts), np.uint64), np.zeros(len(texts), np.uint64), [b""] * len(texts)
+    blobs = [(t or "").encode("utf-8", "surrogatepass") + b"\n" for t in texts]
+    for i, j in in_chunks(blobs, CHUNK):
+        data = np.frombuffer(b"".join(blobs[i:j]), np.uint8)
+        space = (data == 32) | ((data >= 9) & (data <= 13))
+        inner = ~space
+        head = inner.copy()
+        head[1:] &= space[:-1]
+        starts = np.flatnonzero(head)
+        if not len(starts):
+            continue
+        letters = data[inner].astype(np.uint64)
+        letters += np.uint64(32) * ((letters >= 65) & (letters <= 90)) + np.uint64(1)
+        first = np.flatnonzero(head[inner])
+        size = np.diff(np.append(first, len(letters)))
+        letters *= odd(int(size.max()), 0x9E3779B97F4A7C15)[np.arange(len(letters)) - np.repeat(first, size)]
+        word = mix64(np.add.reduceat(letters, first) + size.astype(np.uint64))
+        ends = np.cumsum([len(b) for b in blobs[i:j]])
+        doc = np.searchsorted(ends, starts, "right")
+        opens = np.flatnonzero(np.append(True, doc[1:] != doc[:-1]))
+        n = np.diff(np.append(opens, len(word)))
+        place = np.arange(len(word)) - np.repeat(opens, n)
+        rows = doc[opens] + i
+        key[rows] = mix64(np.add.reduceat(word * odd(int(n.max()), 0x8CB92BA72F3D8DD7)[place], opens) + n.astype(np.uint64))
+
+        def shingles(width: int) -> tuple[np.ndarray, np.ndarray]:
+            """Hashes of shingles, and the place among ``opens`` of the text of each; a text with fewer words is one."""
+            h = word * odd(width, 0xD6E8FEB86659FD93)[0]
+            left = np.repeat(n, n) - place  # words from here on
+            for k in range(1, width):
+                h[:-k] += np.where(left[:-k] > k, word[k:] * odd(width, 0xD6E8FEB86659FD93)[k], np.uint64(0))
+            keep = (left >= width) | (place == 0)
+            return mix64(h[keep]), np.repeat(np.arange(len(opens)), n)[keep]
+
+        h, of = shingles(hashed)
+        fp[rows] = majority(h, np.searchsorted(of, np.arange(len(opens))))
+        h, of = shingles(words)
+        both = np.unique(of.astype(np.uint64) << np.uint64(32) | h >> np.uint64(32))
+        cuts = np.searchsorted(both, np.arange(len(opens) + 1).astype(np.uint64) << np.uint64(32))
+        low = (both & np.uint64(0xFFFFFFFF)).astype("<u4")
+        for r, a, b in zip(rows.tolist(), cuts, cuts[1:]):
+            sets[r] = low[a:b].tobytes()
+    return key, fp, sets
+
+
+def alike(a: bytes, b: bytes, similarity: float) -> bool:
+    """Whether two sets of hashes, sorted, share so large a part of all their members."""
+    n, m = len(a) // 4, len(b) // 4
+    if min(n, m) < similarity * max(n, m):
+        return False
+    both = np.concatenate([np.frombuffer(a, "<u4"), np.frombuffer(b, "<u4")])
+    both.sort(kind="stable")
+    same = int((both[1:] == both[:-1]).sum())
+    return same >= similarity * (n + m - same)
+
+
+def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, waves: int = WAVES) -> DataFrame:
+    """u, v: pairs of fingerprints (``fp``, distinct) within ``radius`` bits that meet on variants of a half; of many that meet, each with a first one.
+
+    One of two halves has at most half of the differences; its two versions meet on a value at half
+    their distance. Variants are shuffled in waves, so that only a part of them is on disk at once.
+    """
+    shards = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    masks = np.array([sum(1 << b for b in c) for k in range((radius // 2 + 1) // 2 + 1) for c in combinations(range(32), k)], np.uint64)
+
+    def emit(wave: int):
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            found, n = [], 0
+            for b in slices(batches, 4096):
+                own = b.column(0).to_numpy().view(np.uint64)
+                for part in (0, 1):
+                    half = own >> np.uint64(32) if part else own & np.uint64(0xFFFFFFFF)
+                    keys = mix64((half[:, None] ^ masks).ravel() + np.uint64((part + 1) << 32))
+                    at = np.flatnonzero((keys & np.uint64(waves - 1)) == wave)
+                    found.append((keys[at], own[at // len(masks)]))
+                    n += len(at)
+                    if n >= FLUSH:
+                        yield packed(found, shards, ["shard", "keys"], [])
+                        found, n = [], 0
+            if n:
+                yield packed(found, shards, ["shard", "keys"], [])
+
+        return work
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        keys, fp, _ = unpacked(batches, False)
+        u, v, _ = met_on(keys, fp, fp, most, radius)
+        pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
+        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
+
+    spread, out = fps.select("fp").repartition(shards, "fp"), None
+    for wave in range(waves):
+        met = scratch.put(spread.mapInArrow(emit(wave), "shard int, keys binary").repartition(shards, "shard").mapInArrow(meet, "u long, v long"))
+        out = met if out is None else out.unionByName(met)
+    return scratch.put(out.distinct())
+
+
+def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, words: int = 5, hashed: int = 2, radius: int = 9) -> DataFrame:
+    """key and component_id, the smallest key that links reach, of each row; a link is a similarity of the sets of ``words``-word shingles.
+
+    Texts of the same words in order are one. Of texts with one fingerprint, and of those that
+    collide with one, each is verified against the first; where that fails, against the others there.
+    """
+    if key.lower() == "component_id":
+        raise ValueError(f"the key can't be named {key}")
+    scratch = Scratch(df.sparkSession)
+    schema = T.StructType([T.StructField("key", df.schema[key].dataType), T.StructField("node", T.LongType()), T.StructField("fp", T.LongType()), T.StructField("members", T.BinaryType())])
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches):
+            node, fp, sets = shingle_sets(b.column(0).to_pylist(), hashed, words)
+            yield pa.RecordBatch.from_arrays([b.column(1), pa.array(node.view(np.int64)), pa.array(fp.view(np.int64)), pa.array(sets, pa.binary())], ["key", "node", "fp", "members"])
+
+    docs = scratch.put(df.select(F.col(text).alias("_text"), F.col(key).alias("_key")).mapInArrow(work, schema))
+    nodes = scratch.put(docs.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("x"), F.count("*").alias("n")).select("node", F.col("x.key").alias("low"), F.col("x.fp").alias("fp"), "n"))
+    firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n_fp"))
+    met = colliding(firsts.select("fp"), scratch, radius)
+    # sets of nodes: those of a fingerprint with its first one, and those of colliding ones with the first of the first
+    near = met.unionByName(firsts.where("n_fp > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
+    members = nodes.select(F.col("fp").alias("v"), "node")
+    sets = near.join(members, "v").join(firsts.select(F.col("fp").alias("u"), "first"), "u").select("first", "node").where("first <> node").distinct()
+    sets = scratch.put(sets)
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "low"), "node").withColumnRenamed("node", "end")
+        texts = scratch.put(docs.join(ends, (docs["node"] == ends["end"]) & docs["key"].eqNullSafe(ends["low"])).select("node", "members").dropDuplicates(["node"]))
+        both = pairs.join(texts.select(F.col("node").alias("u"), F.col("members").alias("a")), "u").join(texts.select(F.col("node").alias("v"), F.col("members").alias("b")), "v")
+
+        def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in slices(batches):
+                yield b.select([0, 1]).filter(pa.array([alike(x, y, similarity) for x, y in zip(b.column(2).to_pylist(), b.column(3).to_pylist())], pa.bool_()))
+
+        links = scratch.put(both.select("u", "v", "a", "b").mapInArrow(keep, "u long, v long"))
+        scratch.drop(texts)
+        return links
+
+    links = verified(sets.select(F.col("first").alias("u"), F.col("node").alias("v")))
+    found = scratch.put(connected_components(links, scratch))
+    root = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
+    state = scratch.put(sets.join(root("first"), "first", "left").join(root("node"), "node", "left").select("first", "node", F.coalesce("first_root", "first").alias("first_root"), F.coalesce("node_root", "node").alias("root")))
+    apart = state.where("root <> first_root").select("first", F.col("node").alias("v"), F.col("root").alias("v_root"))
+    again = apart.join(state.select("first", F.col("node").alias("u"), "root"), "first").where("root <> v_root and u <> v")
+    again = scratch.put(again.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
+    if not again.isEmpty():
+        found = scratch.put(connected_components(links.unionByName(verified(again)), scratch))
+    rooted = scratch.put(nodes.join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("root")))
+    return skewed_join(docs.select("key", "node"), _named(rooted), ["node"], "n", docs.count()).select(F.col("key").alias(key), "component_id")
