@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import Scratch, in_chunks, majority, mix64, odd, skewed_join, slices
 from .graph import connected_components
-from .meet import met_on, packed, unpacked
+from .meet import meetings, packed
 
 SEED = 42
 WORDS = 4
@@ -237,15 +237,9 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
 
         return work
 
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, fp, _ = unpacked(batches, False)
-        u, v, _ = met_on(keys, fp, fp, most, radius)
-        pairs = np.unique(np.stack([u, v], 1), axis=0) if len(u) else np.zeros((0, 2), np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], ["u", "v"])
-
     spread, out = fps.select("fp").repartition(shards, "fp"), None
     for wave in range(waves):
-        met = scratch.put(spread.mapInArrow(emit(wave), "shard int, keys binary").repartition(shards, "shard").mapInArrow(meet, "u long, v long"))
+        met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False))
         out = met if out is None else out.unionByName(met)
     return scratch.put(out.distinct())
 
@@ -253,8 +247,9 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
 def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, words: int = 5, hashed: int = 2, radius: int = 9) -> DataFrame:
     """key and component_id, the smallest key that links reach, of each row; a link is a similarity of the sets of ``words``-word shingles.
 
-    Texts of the same words in order are one. Of texts with one fingerprint, and of those that
-    collide with one, each is verified against the first; where that fails, against the others there.
+    Texts of the same words in order are one. Each of those that share a fingerprint is verified
+    against the first of them; these are verified against their nearest that collides, and then
+    against all others that collide with them and aren't joined to them yet.
     """
     if key.lower() == "component_id":
         raise ValueError(f"the key can't be named {key}")
@@ -270,11 +265,10 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
     nodes = scratch.put(docs.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("x"), F.count("*").alias("n")).select("node", F.col("x.key").alias("low"), F.col("x.fp").alias("fp"), "n"))
     firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n_fp"))
     met = colliding(firsts.select("fp"), scratch, radius)
-    # sets of nodes: those of a fingerprint with its first one, and those of colliding ones with the first of the first
-    near = met.unionByName(firsts.where("n_fp > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v")))
-    members = nodes.select(F.col("fp").alias("v"), "node")
-    sets = near.join(members, "v").join(firsts.select(F.col("fp").alias("u"), "first"), "u").select("first", "node").where("first <> node").distinct()
-    sets = scratch.put(sets)
+    same = nodes.join(firsts.where("n_fp > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
+    first = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
+    met = scratch.put(met.withColumn("apart", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"), "apart"))
+    nearest = met.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
         ends = pairs.select(F.col("u").alias("node")).unionByName(pairs.select(F.col("v").alias("node"))).distinct().join(nodes.select("node", "low"), "node").withColumnRenamed("node", "end")
@@ -289,14 +283,12 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
         scratch.drop(texts)
         return links
 
-    links = verified(sets.select(F.col("first").alias("u"), F.col("node").alias("v")))
+    links = verified(nearest.unionByName(same))
     found = scratch.put(connected_components(links, scratch))
     root = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
-    state = scratch.put(sets.join(root("first"), "first", "left").join(root("node"), "node", "left").select("first", "node", F.coalesce("first_root", "first").alias("first_root"), F.coalesce("node_root", "node").alias("root")))
-    apart = state.where("root <> first_root").select("first", F.col("node").alias("v"), F.col("root").alias("v_root"))
-    again = apart.join(state.select("first", F.col("node").alias("u"), "root"), "first").where("root <> v_root and u <> v")
-    again = scratch.put(again.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct())
-    if not again.isEmpty():
-        found = scratch.put(connected_components(links.unionByName(verified(again)), scratch))
+    left = met.join(nearest, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
+    left = scratch.put(left.where(~F.col("u_root").eqNullSafe(F.col("v_root")) | F.col("u_root").isNull()).select("u", "v"))
+    if not left.isEmpty():
+        found = scratch.put(connected_components(links.unionByName(verified(left)), scratch))
     rooted = scratch.put(nodes.join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("root")))
     return skewed_join(docs.select("key", "node"), _named(rooted), ["node"], "n", docs.count()).select(F.col("key").alias(key), "component_id")
