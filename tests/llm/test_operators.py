@@ -447,6 +447,23 @@ def test_vectors(spark):
         assert sorted(exact[q]) == [(k + 1, i, score[i]) for k, i in enumerate(best)]
 
 
+def test_vectors_of_any_size(spark):
+    """No finite vector is left out, however large, and the search ends."""
+    values = [(1, [1.0, 0.0]), (50, [2.0, 0.0]), (2, [300_000.0, 0.0]), (3, [-1e30, 1.0]), (100, [1e25, -3.5]), (4, [1e200, 1e200]), (5, [0.25, 8.0]), (5, [0.25, 8.0])]
+    df = spark.createDataFrame(values, "vec_id long, embedding array<double>")
+    got = defaultdict(list)
+    for r in topk.top_scores(df, F.col("vec_id") % 50 == 0).collect():
+        got[r["query_id"]].append((r["rank"], r["vec_id"], r["score"]))
+    whole = lambda v: [int(Fraction(x) * 256 // 1) for x in v]
+    for q, v in ((50, [2.0, 0.0]), (100, [1e25, -3.5])):
+        scored = [(-sum(a * b for a, b in zip(whole(v), whole(x))), i) for i, x in values if i != q]
+        clamp = lambda s: min(max(-s, -(1 << 63)), (1 << 63) - 1)
+        best = sorted(((clamp(s), i) for s, i in scored), key=lambda x: (-x[0], x[1]))[:5]
+        assert sorted(got[q]) == [(k + 1, i, s) for k, (s, i) in enumerate(best)]
+    near = ann.nearest(df, F.col("vec_id") == 50, k=3).orderBy("rank").collect()
+    assert [r["vec_id"] for r in near] == [4, 100, 2]
+
+
 def test_urls(spark):
     rows = [
         ("http://A.Example.NET/en/x", "a.example.net", "/en/x", "example.net/en/", "allow"), ("http://b.net/", "b.net", "/", "net/", "block"), ("http://b.net", "b.net", "", None, "allow"),

@@ -11,7 +11,10 @@ of a block to one length, and all queries to that length too.
 
 Defined results: vectors that are null, empty, zero or hold null or non-finite components take no
 part, nor do null ids. A repeated id is one query (its largest vector, in array order), and all
-its rows are candidates of others. Fewer candidates than ``k``: all of them.
+its rows are candidates of others. Fewer candidates than ``k``: all of them. Components may be of
+any finite size: projections are those of vectors scaled by the largest of them. A score that isn't
+a number, as infinite parts of it cancel, sorts last. Ties go to the smaller id. An empty table gives
+no row; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -30,6 +33,7 @@ TOGETHER = 64  # queries whose counters are in memory at once
 def collide(x: np.ndarray, q: np.ndarray, least: int, lines: int = LINES, needed: float = NEEDED, step: float = STEP, seed: int = 11):
     """For each query the rows that pass the collision threshold when at least ``least`` do."""
     rng = np.random.default_rng(seed)
+    x, q = x / np.abs(x).max(), q / np.abs(q).max(axis=1, keepdims=True)
     norm = np.einsum("ij,ij->i", x, x)
     top = norm.max()
     a = rng.standard_normal((x.shape[1] + 1, lines))
@@ -66,7 +70,8 @@ def nearest_in_block(k: int, share: float = SHARE):
         least = min(len(x), 4 * k + 1 + int(share * len(x)))
         for i, rows in enumerate(collide(x, q, least)):
             rows = rows[ids[rows] != query_ids[i]]
-            score = x[rows] @ q[i]
+            with np.errstate(over="ignore", invalid="ignore"):
+                score = x[rows] @ q[i]
             best = np.lexsort((ids[rows], -score))[:k]
             for column, v in zip(out, (np.full(len(best), query_ids[i]), ids[rows][best], score[best])):
                 column.append(v)

@@ -6,21 +6,27 @@ add the slices with bitmap arithmetic (shifted carry additions), which gives the
 scores at once. Rows are then selected from the most significant slice downward: those surely
 among the best, and those that tie so far; the boundary is resolved exactly by id.
 
+Vectors with a component of ``WIDE`` or more in size, once quantised, are scored in whole numbers of
+any length instead, as are all scores of queries with one.
+
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part,
-nor do null ids, nor vectors with a quantised component of 2**26 or more in size, whose scores
-could leave 64 bits. A repeated id is one query (its largest vector, in array order), and all its
-rows are candidates of others. Fewer candidates than ``k``: all of them.
+nor do null ids. A repeated id is one query (its largest vector, in array order), and all its rows
+are candidates of others. Fewer candidates than ``k``: all of them. Ties go to the smaller id. Scores
+beyond 64 bits count as the nearest number of 64 bits. An empty table gives no row; other
+columns take no part, whatever their names.
 """
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 
 from .vectors import GROUP, finite, search
 
-SCALE, LARGEST = 256, 1 << 26
+SCALE, WIDE = 256, 1 << 26
 BLOCK = 65_536
 
 
@@ -93,26 +99,43 @@ class BitSlices:
         return weights @ bits
 
 
-def top_in_block(k: int):
+def exact(v: np.ndarray, scale: int) -> list[int]:
+    """floor(scale * x) of each component, of whatever size."""
+    return [int(x) * scale if abs(x) >= 2.0**52 else math.floor(int(scale) * x) for x in v.tolist()]
+
+
+def top_in_block(k: int, scale: int):
+    least, most = -(1 << 63), (1 << 63) - 1
+
     def near(ids: np.ndarray, x: np.ndarray, query_ids: np.ndarray, q: np.ndarray) -> pd.DataFrame:
-        index, out = BitSlices(x.astype(np.int64)), [[], [], []]
-        for query_id, weights in zip(query_ids, q.astype(np.int64)):
-            total, among = index.scores(weights), index.valid.copy()
-            for row in range(*np.searchsorted(ids, [query_id, query_id + 1])):
-                among[row // 64] &= ~np.uint64(1 << row % 64)
-            rows = index.top(total, k, among)
-            for column, v in zip(out, (np.full(len(rows), query_id), ids[rows], index.value(total, rows))):
-                column.append(v)
-        return pd.DataFrame({c: np.concatenate(v) for c, v in zip(("query_id", "vec_id", "score"), out)})
+        with np.errstate(over="ignore"):
+            wide, wide_q = (np.abs(v * scale).max(1) >= WIDE for v in (x, q))
+        narrow, out = np.flatnonzero(~wide), [[], [], []]
+        index = BitSlices(np.floor(x[narrow] * scale).astype(np.int64)) if len(narrow) and not wide_q.all() else None
+        by_hand = {int(r): exact(x[r], scale) for r in (range(len(ids)) if wide_q.any() else np.flatnonzero(wide))}
+        for i, query_id in enumerate(query_ids):
+            rows, scores = [], []
+            if not wide_q[i] and index is not None:
+                total, among = index.scores(np.floor(q[i] * scale).astype(np.int64)), index.valid.copy()
+                for row in range(*np.searchsorted(ids[narrow], [query_id, query_id + 1])):
+                    among[row // 64] &= ~np.uint64(1 << row % 64)
+                found = index.top(total, k, among)
+                rows, scores = narrow[found].tolist(), index.value(total, found).tolist()
+            if by_hand and (wide_q[i] or wide.any()):
+                weights = exact(q[i], scale)
+                for r in by_hand if wide_q[i] else np.flatnonzero(wide).tolist():
+                    if ids[r] != query_id:
+                        rows.append(r)
+                        scores.append(min(max(sum(a * b for a, b in zip(by_hand[r], weights)), least), most))
+            best = sorted(range(len(rows)), key=lambda j: (-scores[j], ids[rows[j]]))[:k]
+            for column, v in zip(out, ([query_id] * len(best), [ids[rows[j]] for j in best], [scores[j] for j in best])):
+                column.extend(v)
+        return pd.DataFrame({c: np.array(v, np.int64) for c, v in zip(("query_id", "vec_id", "score"), out)})
 
     return near
 
 
 def top_scores(df: DataFrame, is_query: Column, key: str = "vec_id", vector: str = "embedding", k: int = 5, scale: int = SCALE, block: int = BLOCK, group: int = GROUP) -> DataFrame:
     """query_id, rank, vec_id, score: the ``k`` largest integer inner products of each query row."""
-
-    def quantised(part: DataFrame) -> DataFrame:
-        rows = finite(part, key, vector).withColumn("v", F.transform("v", lambda x: F.floor(F.greatest(F.lit(-2.0**40), F.least(F.lit(2.0**40), x * float(scale)))).cast("double")))
-        return rows.where(~F.exists("v", lambda x: F.abs(x) >= LARGEST))
-
-    return search(quantised(df), quantised(df.where(is_query)).groupBy("vec_id").agg(F.max("v").alias("v")), top_in_block(k), "long", k, block, group)
+    asked = finite(df.where(is_query), key, vector).groupBy("vec_id").agg(F.max("v").alias("v"))
+    return search(finite(df, key, vector), asked, top_in_block(k, scale), "long", k, block, group)
