@@ -7,6 +7,8 @@ import random
 from vdjspark import __main__ as cli
 from vdjspark.operators import align, cluster, clonotypes, reads as R, segments as G, umi
 from vdjspark.options import Options
+from vdjspark.plans.job import ClonotypeJob
+from vdjspark.sources import fastx
 from vdjspark.streaming import barcodes
 
 CLONE = "v_ids array<int>, cdr3 string, j_ids array<int>, count long"
@@ -126,3 +128,42 @@ def test_streamed_counts(spark, tmp_path):
     query = counts.writeStream.outputMode("complete").format("memory").queryName("streamed").option("checkpointLocation", str(tmp_path / "c")).trigger(availableNow=True).start()
     query.awaitTermination()
     assert {tuple(r) for r in spark.table("streamed").collect()} == {("ACGT", None, 2), ("", "TOO_SHORT_FOR_BARCODE", 1)}
+
+
+def test_best_of_the_allowed(spark):
+    """The VDJ read is nearest to V1, but its V read lies in V2 only: the pair has V2."""
+    rng = random.Random(21)
+    tail, j = bases(rng, 60) + "TGT", "TTT" + bases(rng, 40)
+    one, two = bases(rng, 90) + tail, bases(rng, 90) + ("A" if tail[0] != "A" else "C") + tail[1:]
+    v_read, read = two[5:85], tail + "GCCAGCAGTAGC" + j
+    quality = lambda s: [40] * len(s)
+    reads = spark.createDataFrame([("r", v_read, quality(v_read), read, quality(read))], "id string, fw_seq string, fw_qual array<int>, seq string, qual array<int>")
+    segs = spark.createDataFrame([(0, "L", "V", "1", "01", 150, one), (1, "L", "V", "2", "01", 150, two), (2, "L", "J", "1", "01", 0, j)], SEGMENTS)
+    for gapped in (False, True):
+        for v, want in ((v_read, [1]), ("", [0])):
+            # an oriented VDJ read turns, so it is given turned
+            df = reads.selectExpr("id", f"'{v}' as fw_seq", "slice(fw_qual, 1, length('%s')) as fw_qual" % v, "reverse(translate(seq, 'ACGT', 'TGCA')) as seq", "qual")
+            got = ClonotypeJob(df, segs, Options(v_core_length=20, j_core_offset=0, min_read_length=0, single_end_fallback=True), gapped).analysed.first()
+            assert (got["v_ids"], got["j_ids"], got["reject"]) == (want, [2], None)
+
+
+def test_umi_long_chain(spark):
+    """Equal counts chain to the first barcode, over more steps than pointers double in 64."""
+    seq, n = "ACGT" * 20, 90
+    rows = [("A" * k + "C" * (n - k), seq, 5) for k in range(n + 1)]
+    df = spark.createDataFrame(rows, "bc_seq string, seq string, n_reads long")
+    assert [(r["bc_seq"], r["n_reads"]) for r in umi.corrected(df, ratio=1.0).collect()] == [("A" * n, 5 * (n + 1))]
+
+
+def test_mates_of_several_files(spark, tmp_path):
+    for mate in "12":
+        folder = tmp_path / mate
+        folder.mkdir()
+        for k, size in enumerate((3, 50, 1)):
+            (folder / f"part{k}.fq").write_text("".join(f"@{k}_{i}\n{'ACGT'[i % 4] * 5}\n+\nIIIII\n" for i in range(size)))
+    one, two = (fastx.read_fastq(spark, str(tmp_path / mate)) for mate in "12")
+    assert [r["record_no"] for r in one.orderBy("record_no").collect()] == list(range(54))
+    both = R.paired(one, two.withColumnRenamed("id", "other")).collect()
+    assert len(both) == 54 and all(r["fw_seq"] == r["seq"] for r in both)
+    assert [r["id"] for r in one.orderBy("record_no").collect()][:4] == ["0_0", "0_1", "0_2", "1_0"]
+    assert R.paired(one, two.where("record_no < 50").withColumnRenamed("id", "other")).count() == 50

@@ -9,6 +9,7 @@ from dataclasses import fields
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .operators import clonotypes as C, reads as R
+from .functions import sequences as S
 from .options import Options
 from .plans.job import ClonotypeJob
 from .sources import fastx, sinks
@@ -66,7 +67,7 @@ def read_file(spark: SparkSession, path: str) -> DataFrame:
 
 def alignments(job: ClonotypeJob) -> DataFrame:
     """seq, side, segment, lines of the best alignments of each read."""
-    names = job.segments.select("seg_idx", F.concat(F.lit("["), "locus", F.lit(" "), "seg_type", "seg_id", F.lit("*"), "allele", F.lit("]")).alias("segment"))
+    names = job.segments.select("seg_idx", S.descriptor(F.struct("locus", "seg_type", "seg_id", "allele")).alias("segment"))
     both = job.matches("V", lines=True).withColumn("side", F.lit("V")).unionByName(job.matches("J", lines=True).withColumn("side", F.lit("J")))
     return both.join(names, "seg_idx").select("seq", "side", "segment", "score", F.explode(F.split("lines", "\n")).alias("line"))
 

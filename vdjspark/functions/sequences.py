@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, functions as F
 
 #: The standard genetic code, codons in the order of ACGT; stops read X. Fixed values.
@@ -66,28 +68,31 @@ def edit_rate_at_most(a: Column, b: Column, rate: float) -> Column:
     return (F.abs(F.length(a) - F.length(b)) <= most) & (F.call_function("levenshtein", a, b, most) >= 0)  # -1: more than most
 
 
-def error_rate(score: Column, length: Column) -> Column:
-    """Errors over columns, from a score of +1 a match and -1 an error."""
-    return (length - score) / 2 / length
+def once(value: Column, use: Callable[[Column], Column]) -> Column:
+    """``use`` of a value that is worked out once, however often it is used."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def median(values: Column) -> Column:
-    v = F.array_sort(values)
     n = F.size(values)
-    upper = F.element_at(v, F.floor(n / 2).cast("int") + 1)
-    return F.when(n % 2 == 1, upper).otherwise((F.element_at(v, F.greatest(F.floor(n / 2).cast("int"), F.lit(1))) + upper) / 2)
+    half = F.floor(n / 2).cast("int")
+
+    def middle(v: Column) -> Column:
+        upper = F.element_at(v, half + 1)
+        return F.when(n % 2 == 1, upper).otherwise((F.element_at(v, F.greatest(half, F.lit(1))) + upper) / 2)
+
+    return once(F.array_sort(values), middle)
 
 
 def sample_sd(values: Column) -> Column:
-    m = mean(values)
-    squares = F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m))
+    squares = once(mean(values), lambda m: F.aggregate(values, F.lit(0.0), lambda s, x: s + (x - m) * (x - m)))
     return F.when(F.size(values) > 1, F.sqrt(squares / (F.size(values) - 1))).otherwise(F.lit(0.0))
 
 
 def low_quality_positions(values: Column, sd: float) -> Column:
     """Positions, from 0, at which the quality is at most the median less ``sd`` standard deviations."""
     limit = median(values) - sd * sample_sd(values)
-    return F.filter(F.transform(values, lambda x, i: F.when(x <= limit, i).otherwise(F.lit(-1))), lambda i: i >= 0)
+    return once(limit, lambda t: F.filter(F.transform(values, lambda x, i: F.when(x <= t, i).otherwise(F.lit(-1))), lambda i: i >= 0))
 
 
 def gene_list(segments: Column, merge_alleles: bool) -> Column:

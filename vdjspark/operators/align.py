@@ -8,7 +8,6 @@ from __future__ import annotations
 
 import math
 from collections.abc import Iterator
-from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame, functions as F
@@ -103,19 +102,12 @@ def traced(read: str, segment: str, diagonal: int, band: int, side: str, motif:
     return ((top[0], n, place, (n - top[0]) // 2), columns[::-1]) if n and place >= 0 else None
 
 
-def best_matches(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, allowed: set[int] | None = None) -> list[tuple[int, Match, int, tuple[int, ...]]]:
-    """Best segments of a read with figures, outer length and error places, ties kept: fragments by semi-global search, then overlap alignment."""
-    return [(s, t[0], *outer_errors(read, part, t[1], side, at)) for s, t, part, at in best_alignments(read, fragments, segments, side, errors, max_rate, core_offset, allowed)]
-
-
-def best_alignments(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, allowed: set[int] | None = None) -> list[tuple[int, Traced, str, int]]:
-    """Segment, alignment, the part of the segment that was aligned and its motif's place, of the best segments of a read."""
+def best_alignments(read: str, fragments: list[tuple[str, int, list[int]]], segments: dict[int, tuple[str, int]], side: str, errors: int, max_rate: float, core_offset: int = 0, every: bool = False) -> list[tuple[int, Traced, str, int]]:
+    """Segment, alignment, the part of the segment that was aligned and its motif's place, of the best segments of a read, or of every one within the error rate."""
     best: list[tuple[int, Traced, str, int]] = []
     for scf, start, segs in fragments:
         for begin, end in semi_global(scf, read, errors):
             for s in segs:
-                if allowed is not None and s not in allowed:
-                    continue
                 seq, motif = segments[s]
                 if side == "V":
                     part, at = seq[: motif + 3 + max(core_offset, 0)], motif
@@ -127,14 +119,14 @@ def best_alignments(read: str, fragments: list[tuple[str, int, list[int]]], segm
                 found = traced(read, part, diagonal, band, side, at)
                 if found is None or (found[0][1] - found[0][0]) / 2 / found[0][1] > max_rate:
                     continue
-                if not best or found[0][0] > best[0][1][0][0]:
+                if not every and (not best or found[0][0] > best[0][1][0][0]):
                     best = [(s, found, part, at)]
-                elif found[0][0] == best[0][1][0][0] and (s, found, part, at) not in best:
+                elif (every or found[0][0] == best[0][1][0][0]) and (s, found, part, at) not in best:
                     best.append((s, found, part, at))
     return best
 
 
-def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side: str, errors: int, max_rate: float, core_offset: int = 0, most_segments: int = 20_000, lines: bool = False) -> DataFrame:
+def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side: str, errors: int, max_rate: float, core_offset: int = 0, most_segments: int = 20_000, lines: bool = False, every: bool = False) -> DataFrame:
     """seq, seg_idx, score, aln_len, n_err, motif_at, outer_len, err_pos, and with ``lines`` the alignment printed. Segments are a reference of bounded size; more than ``most_segments`` are an error."""
     table = segments.where(F.col("seg_type") == side).select("seg_idx", "seq", "motif_pos").limit(most_segments + 1).collect()
     if len(table) > most_segments:
@@ -148,7 +140,7 @@ def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side:
         for b in batches:
             rows = []
             for r in b["seq"]:
-                for s, (figures, columns), part, at in best_alignments(r, frags, segs, side, errors, max_rate, core_offset):
+                for s, (figures, columns), part, at in best_alignments(r, frags, segs, side, errors, max_rate, core_offset, every):
                     n, places = outer_errors(r, part, columns, side, at)
                     rows.append((r, s, *figures, n, list(places), "\n".join(printed(r, part, columns)) if lines else None))
             yield pd.DataFrame(rows, columns=["seq", "seg_idx", "score", "aln_len", "motif_at", "n_err", "outer_len", "err_pos", "lines"])
@@ -158,7 +150,6 @@ def gapped_matches(reads: DataFrame, segments: DataFrame, scfs: DataFrame, side:
     return out if lines else out.drop("lines").distinct()
 
 
-@lru_cache(maxsize=100_000)
 def v_read_edits(read: str, segment: str, most: int) -> int:
     """Fewest edits of a whole V read within a V segment, or most + 1."""
     row = [0] * (len(segment) + 1)

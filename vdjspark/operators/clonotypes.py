@@ -35,13 +35,14 @@ def _merge(df: DataFrame) -> DataFrame:
 def clone_qualities(analysed: DataFrame, qualities: DataFrame) -> DataFrame:
     """Clonotype key, qual (mean over the CDR3): weighted means at each position, of qualities cut to whole numbers."""
     cut = analysed.where("reject is null").join(qualities, [c for c in ("fw_seq", "seq") if c in qualities.columns]).select("v_ids", F.col("cdr3_nt").alias("cdr3"), "j_ids", "n_reads", F.posexplode(F.slice("avg_qual", F.col("cdr_begin") + 1, F.col("cdr_end") - F.col("cdr_begin"))).alias("pos", "q"))
-    by = cut.groupBy(*KEY, "pos").agg((F.sum(F.floor("q") * F.col("n_reads")) / F.sum("n_reads")).alias("m"))
+    whole = F.floor(F.col("q") + 1e-9)  # a mean that is whole but for rounding stays
+    by = cut.groupBy(*KEY, "pos").agg((F.sum(whole * F.col("n_reads")) / F.sum("n_reads")).alias("m"))
     return by.groupBy(*KEY).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qvals"))
 
 
 def drop_low_quality(clones: DataFrame, least: float) -> DataFrame:
     """Clonotypes whose mean quality is at least ``least``; 0 turns it off."""
-    return clones if least <= 0 else clones.where(S.mean(F.col("avg_qvals")) >= least)
+    return clones if least <= 0 else clones.where(S.mean(F.col("avg_qvals")) >= least - 1e-9)
 
 
 def drop_alleles(clones: DataFrame, first: DataFrame) -> DataFrame:

@@ -36,14 +36,14 @@ def accepted_pairs(pairs: DataFrame, opts: Options) -> DataFrame:
     return pairs.where(F.col("n_err") - free <= (opts.cluster_simple_errors if opts.cluster_simple else 0))
 
 
-def components(pairs: DataFrame, rounds: int = 64) -> DataFrame:
+def components(pairs: DataFrame) -> DataFrame:
     """node, comp of all clonotypes in pairs; by the smallest label of the neighbours, until nothing changes."""
     a, b = F.struct(*KEY), F.struct(*[F.col(f"{c}_to").alias(c) for c in KEY])
     name = lambda s: F.to_json(s)
     edges = checkpoint(pairs.select(name(a).alias("x"), name(b).alias("y")).distinct())
     both = edges.unionByName(edges.select(F.col("y").alias("x"), F.col("x").alias("y")))
     now = checkpoint(both.groupBy("x").agg(F.min(F.least("x", "y")).alias("c")))
-    for _ in range(rounds):
+    while True:
         low = both.join(now.select(F.col("x").alias("y"), F.col("c").alias("cy")), "y").groupBy("x").agg(F.min("cy").alias("m"))
         step = now.join(low, "x").select("x", F.least("c", "m").alias("c"))
         jump = step.join(step.select(F.col("x").alias("c"), F.col("c").alias("c2")), "c").select("x", F.least("c", "c2").alias("c"))

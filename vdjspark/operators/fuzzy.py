@@ -20,12 +20,15 @@ def hamming_pairs(df: DataFrame, seq: str, errors: int, left: list[str], right:
     ``same``: columns that have to be equal. Rows pair in both orders, and not with themselves.
     """
     columns, same = list(dict.fromkeys([*left, *(right or left), seq])), same or []
-    keyed = df.select(*columns, *[c for c in same if c not in columns], F.length(seq).alias("_len"), F.explode(pieces(F.col(seq), errors)).alias("_p"))
+    keyed = df.select(*columns, *[c for c in same if c not in columns]).distinct().withColumn("_len", F.length(seq)).withColumn("_p", F.explode(pieces(F.col(seq), errors)))
     keyed = keyed.select(*columns, *[c for c in same if c not in columns], "_len", "_p.k", "_p.piece")
     on = ["_len", "k", "piece", *same]
     side = lambda n: keyed.select(*[F.col(c) for c in on], *[F.col(c).alias(f"{c}_{n}") for c in columns if c not in same])
-    pairs = side(1).join(side(2), on).where(F.col(f"{seq}_1") != F.col(f"{seq}_2"))
-    return pairs.drop("_len", "k", "piece").distinct().where(S.hamming_at_most(F.col(f"{seq}_1"), F.col(f"{seq}_2"), errors))
+    a, b = F.col(f"{seq}_1"), F.col(f"{seq}_2")
+    pairs = side(1).join(side(2), on).where((a != b) & S.hamming_at_most(a, b, errors))
+    # a pair counts at the first piece that it shares, so it needs no distinct
+    first = F.array_position(F.zip_with(pieces(a, errors), pieces(b, errors), lambda x, y: x["piece"] == y["piece"]), F.lit(True)) - 1
+    return pairs.where(F.col("k") == first).drop("_len", "k", "piece")
 
 
 def kmers(seq: Column, q: int) -> Column:

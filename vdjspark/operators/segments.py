@@ -39,8 +39,8 @@ def seed_hits(reads: DataFrame, scfs: DataFrame, length: int, errors: int) -> Da
     return found.join(parts, "kmer").select("seq", "scf", begin.alias("begin")).where((F.col("begin") >= 0) & (F.col("begin") + length <= F.length("seq"))).distinct()
 
 
-def ungapped_matches(reads: DataFrame, segments: DataFrame, side: str, length: int, errors: int, max_rate: float, offset: int = 0) -> DataFrame:
-    """seq, seg_idx, score, aln_len, n_err, motif_at, outer_len, err_pos of the best segments of each read, ties kept; substitutions only.
+def ungapped_matches(reads: DataFrame, segments: DataFrame, side: str, length: int, errors: int, max_rate: float, offset: int = 0, every: bool = False) -> DataFrame:
+    """seq, seg_idx, score, aln_len, n_err, motif_at, outer_len, err_pos of the best segments of each read, ties kept, or of every one; substitutions only.
 
     ``err_pos``: errors outside of the CDR3, against the last base of V's motif (0, -1, ...) or the
     first base of J's (1, 2, ...; that base itself isn't asked). ``outer_len``: the bases there.
@@ -61,8 +61,12 @@ def ungapped_matches(reads: DataFrame, segments: DataFrame, side: str, length: i
     scored = scored.where(F.col("n_err") <= max_rate * F.col("aln_len"))
     wrong = F.filter(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: (i < n) & (F.substr(segment, i + 1, F.lit(1)) != F.substr("seq", first + i + 1, F.lit(1))))
     scored = scored.withColumn("outer_len", n).withColumn("err_pos", F.transform(wrong, lambda i: (i - n + 1).cast("int")) if side == "V" else F.filter(wrong, lambda i: i > 0))
-    best = scored.withColumn("rank", F.rank().over(Window.partitionBy("seq").orderBy(F.desc("score")))).where("rank = 1")
-    return best.select("seq", "seg_idx", "score", "aln_len", "n_err", "motif_at", "outer_len", "err_pos").distinct()
+    return (scored if every else best_of(scored, ["seq"])).select("seq", "seg_idx", "score", "aln_len", "n_err", "motif_at", "outer_len", "err_pos").distinct()
+
+
+def best_of(matches: DataFrame, key: list[str]) -> DataFrame:
+    """The matches with the highest score of each key, ties kept."""
+    return matches.withColumn("rank", F.rank().over(Window.partitionBy(*key).orderBy(F.desc("score")))).where("rank = 1").drop("rank")
 
 
 def ties(matches: DataFrame, side: str) -> DataFrame:

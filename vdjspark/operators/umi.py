@@ -6,11 +6,10 @@ similar. A read that joins another gives its count and loses its barcode.
 
 from __future__ import annotations
 
-import math
-
 from pyspark.sql import Column, DataFrame, Window, functions as F
 
 from ..functions import sequences as S
+from .checkpoints import checkpoint
 from .fuzzy import pieces
 
 
@@ -60,19 +59,20 @@ def merge_pairs(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: fl
 def assigned(unique: DataFrame, errors: int = 1, ratio: float = 0.2, rate: float = 0.05) -> DataFrame:
     """Each read with its count, and the surviving read that it ends in (bc_to, seq_to, and fw_to of pairs), over chains of merges.
 
-    Each merge raises the count by 1 / ratio at least, so chains are as long as the logarithm of the
-    largest count; pointers double, so the joins are as many as that length's logarithm.
+    Pointers double until none moves, so there are as many joins as the logarithm of the longest
+    chain. Each round's pointers are checkpointed.
     """
     key = _key(unique)
     to = _to(key)
     parents = merge_pairs(unique, errors, ratio, rate).select(*key, *to)
     all_ = unique.join(parents, key, "left").select(*key, "n_reads", *[F.coalesce(t, c).alias(t) for c, t in zip(key, to)])
-    largest = unique.agg(F.max("n_reads")).first()[0] or 1
-    depth = math.ceil(math.log(max(2, largest)) / math.log(1 / ratio)) + 1 if ratio < 1 else 64
-    for _ in range(max(1, math.ceil(math.log2(depth)))):
-        up = all_.select(*[F.col(c).alias(t) for c, t in zip(key, to)], *[F.col(t).alias(f"_{t}") for t in to])
-        all_ = all_.join(up, to).select(*key, "n_reads", *[F.col(f"_{t}").alias(t) for t in to])
-    return all_
+    now = checkpoint(all_)
+    while True:
+        up = now.select(*[F.col(c).alias(t) for c, t in zip(key, to)], *[F.col(t).alias(f"_{t}") for t in to])
+        next_ = checkpoint(now.join(up, to).select(*key, "n_reads", *[F.col(f"_{t}").alias(t) for t in to], F.expr(" or ".join(f"{t} <> _{t}" for t in to)).alias("_moved")))
+        now = next_.drop("_moved")
+        if next_.where("_moved").isEmpty():
+            return now
 
 
 def survivors(assigned: DataFrame) -> DataFrame:

@@ -69,8 +69,8 @@ class ClonotypeJob:
         motif = self.segments.where("seg_type = 'V'").agg(F.min("motif_pos")).first()[0]
         return G.auto_v_core_length(shortest or 0, motif if motif is not None else 58)
 
-    def matches(self, side: str, lines: bool = False) -> DataFrame:
-        """Best segments of each sequence; ``lines`` adds printed alignments, which only gapped ones have."""
+    def matches(self, side: str, lines: bool = False, every: bool = False) -> DataFrame:
+        """Best segments of each sequence, or every one within the error rate; ``lines`` adds printed alignments, which only gapped ones have."""
         o = self.options
         length, offset = (self.v_core_length, o.v_core_offset) if side == "V" else (o.j_core_length, o.j_core_offset)
         rate = o.max_err_v if side == "V" else o.max_err_j
@@ -78,17 +78,18 @@ class ClonotypeJob:
         errors = math.ceil(rate * length) if errors is None else errors
         reads = self.sequences.select("seq").distinct()
         if self.gapped:
-            return align.gapped_matches(reads, self.segments, G.core_fragments(self.segments, side, length, offset), side, errors, rate, offset, lines=lines)
-        return G.ungapped_matches(reads, self.segments, side, length, errors, rate, offset)
+            return align.gapped_matches(reads, self.segments, G.core_fragments(self.segments, side, length, offset), side, errors, rate, offset, lines=lines, every=every)
+        return G.ungapped_matches(reads, self.segments, side, length, errors, rate, offset, every)
 
     @cached_property
     def analysed(self) -> DataFrame:
-        v, j, seqs = self.matches("V"), self.matches("J"), self.sequences
-        if "fw_seq" in seqs.columns:  # V reads narrow the segments of their pair; a blanked one doesn't
+        seqs, j = self.sequences, self.matches("J")
+        v = self.matches("V", every="fw_seq" in seqs.columns)
+        if "fw_seq" in seqs.columns:  # V reads narrow the segments that the best of a pair is chosen from; a blanked one doesn't
             allowed = align.v_read_matches(seqs, self.segments, self.options.max_err_v).select("fw_seq", "seg_idx")
             pairs = seqs.select("fw_seq", "seq").distinct()
             narrowed = pairs.where("fw_seq <> ''").join(v, "seq").join(allowed, ["fw_seq", "seg_idx"], "left_semi")
-            v = narrowed.unionByName(pairs.where("fw_seq = ''").join(v, "seq"))
+            v = G.best_of(narrowed.unionByName(pairs.where("fw_seq = ''").join(v, "seq")), ["fw_seq", "seq"])
             keyed = lambda df: df.withColumn("seq", F.concat_ws("|", "fw_seq", "seq")) if "fw_seq" in df.columns else df
             tied = G.ties(keyed(v).drop("fw_seq"), "V")
             both = seqs.withColumn("_pair", F.concat_ws("|", "fw_seq", "seq")).join(tied.withColumnRenamed("seq", "_pair"), "_pair", "left").drop("_pair")

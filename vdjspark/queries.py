@@ -282,7 +282,26 @@ _AMB_KEYS = f"{KEYS}, array_to_string(v_of, ',') AS v_of, array_to_string(j_of,
 _COUNTS = "SELECT vn || ':' || cdr3 || ':' || jn AS fingerprint, sum(count)::BIGINT AS count FROM named GROUP BY 1"
 _RDT_NAMES = "(SELECT string_agg(seg_type || seg_id || '*' || allele, '' ORDER BY seg_idx) FROM segments WHERE list_contains({0}, seg_idx))"
 
+_CORRECTED = JUDGED.replace("WITH", "WITH RECURSIVE", 1).replace("FROM uniq GROUP BY 1)", "FROM fixed GROUP BY 1)").replace(
+    "seqs AS (",
+    f"""{_PAIRS}, chain AS (SELECT bc_seq, seq, n_reads, bc_seq AS b, seq AS s FROM uniq UNION ALL SELECT c.bc_seq, c.seq, c.n_reads, p.bc_to, p.seq_to FROM chain c JOIN firstp p ON p.bc_seq = c.b AND p.seq = c.s),
+fixed AS (SELECT b AS bc_seq, s AS seq, sum(n_reads)::BIGINT AS n_reads FROM chain WHERE NOT EXISTS (SELECT 1 FROM firstp p WHERE p.bc_seq = b AND p.seq = s) GROUP BY 1, 2),
+seqs AS (""",
+)
+_NAMES = "(SELECT string_agg(seg_type || seg_id, '' ORDER BY seg_idx) FROM segments WHERE list_contains({0}, seg_idx))"
+
 SQL: dict[str, str] = {
+    "clonotyping": ANALYSED.replace(JUDGED, _CORRECTED)
+    + f""", mapped AS (SELECT list_sort(list_distinct(list_transform(v_ids, lambda x: CASE WHEN x >= 100 THEN x - 100 ELSE x END))) AS v_ids, cdr3_aa, j_ids, n_reads, bcs FROM analysed WHERE reject IS NULL),
+fp AS (SELECT {_NAMES.format('v_ids')} || ':' || cdr3_aa || ':' || {_NAMES.format('j_ids')} AS fingerprint, n_reads, bcs FROM mapped),
+codes AS (SELECT fingerprint, count(DISTINCT bc) AS n FROM (SELECT fingerprint, unnest(bcs) AS bc FROM fp) WHERE bc <> '' GROUP BY 1)
+SELECT f.fingerprint, f.count, coalesce(codes.n, 0)::BIGINT AS n_barcodes FROM (SELECT fingerprint, sum(n_reads)::BIGINT AS count FROM fp GROUP BY 1) f LEFT JOIN codes USING (fingerprint)""",
+    "quality_having": f"""{ANALYSED}, one AS (SELECT bc_seq, seq, id, min(qual) AS qual FROM judged WHERE reject IS NULL GROUP BY 1, 2, 3),
+by_pos AS (SELECT seq, pos, avg(q) AS m FROM (SELECT seq, unnest(qual) AS q, unnest(range(1, len(qual) + 1)) AS pos FROM one) GROUP BY 1, 2),
+cut AS (SELECT v_ids, cdr3_nt AS cdr3, j_ids, pos - cdr_begin AS place, floor(m + 1e-9) * n_reads AS q, n_reads FROM analysed a JOIN by_pos b ON a.seq = b.seq AND pos > cdr_begin AND pos <= cdr_end WHERE reject IS NULL),
+means AS (SELECT v_ids, cdr3, j_ids, place, sum(q) / sum(n_reads)::DOUBLE AS m FROM cut GROUP BY 1, 2, 3, 4),
+rated AS (SELECT v_ids, cdr3, j_ids, avg(m) AS quality FROM means GROUP BY 1, 2, 3)
+SELECT {KEYS}, round(quality, 6) AS quality FROM rated WHERE quality >= 35.0::DOUBLE - 1e-9""",
     "read_steps": f"{JUDGED} SELECT id, bc_seq, reverse(translate(substr(seq, 1, 60), 'ACGTN', 'TGCAN')) AS seq, least(60, len(qual))::INT AS n_qual, qual[least(60, len(qual))] AS first_qual FROM split",
     "qc_reject_reasons": f"{JUDGED} SELECT id, reject FROM judged",
     "qc_summary": f"{JUDGED} SELECT reject, count(*) AS n FROM judged GROUP BY 1",

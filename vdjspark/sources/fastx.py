@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
+from itertools import accumulate
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 
 def _numbered(spark: SparkSession, path: str, separator: str) -> DataFrame:
-    """n, value of a text file's records in the file's order; numbers come from partition sizes, not from one task."""
-    rows = spark.read.text(path, lineSep=separator).rdd.map(lambda r: r[0]).zipWithIndex()
-    return spark.createDataFrame(rows.map(lambda x: (x[1], x[0])), "n long, value string")
+    """n, value of a text's records in the order of the files' names and places; numbers come from the counts of the splits, of which a small table is broadcast."""
+    lines = spark.read.text(path, lineSep=separator).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("id"))
+    splits = lines.groupBy("file", "block").agg(F.count("*").alias("n"), F.min("id").alias("low")).orderBy("file", "block").collect()
+    before = accumulate((r["n"] for r in splits), initial=0)
+    first = spark.createDataFrame([(r["file"], r["block"], n - r["low"]) for r, n in zip(splits, before)], "file string, block long, shift long")
+    return lines.join(F.broadcast(first), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("n"), "value")
 
 
 def read_fasta(spark: SparkSession, path: str, default_quality: int = 60) -> DataFrame:
