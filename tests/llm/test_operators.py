@@ -474,6 +474,23 @@ def test_urls(spark):
     assert [(r["url"], r["host"], r["path"], r["rule"], r["verdict"]) for r in got] == rows
 
 
+def test_clashing_columns(spark, docs):
+    """Operators that keep other columns refuse names of their own; the others don't mind."""
+    model = language.LanguageModel([], np.zeros((0, language.BUCKETS)), np.zeros((0, 1)))
+    for name, run in (
+        ("slot", mixing.mix), ("_source", mixing.mix), ("N_lines", lines.dedup_lines), ("_row", lines.dedup_lines), ("score", lambda df: language.identify_languages(df, model)),
+        ("predicted", lambda df: quality.score_quality(df, quality.fit([]))), ("host", lambda df: urls.filter_urls(df, url="text")),
+    ):
+        with pytest.raises(ValueError):
+            run(docs.withColumn(name, F.lit(1)))
+    for run, name in ((simhash.near_duplicates, "fingerprint"), (simhash.similar_duplicates, "component_id"), (suffix.remove_repeats, "kept"), (lambda df, key: packing.pack(df, "", key=key), "piece")):
+        with pytest.raises(ValueError):
+            run(docs.withColumnRenamed("doc_id", name), key=name)
+    more = docs.select("*", *[F.lit("x").alias(c) for c in ("fp", "key", "n", "s", "_group", "piece", "bytes", "tag", "gone", "member", "node", "low", "u", "v")])
+    assert simhash.near_duplicates(more).count() == suffix.remove_repeats(more).count() == mixing.mix(more).count() == docs.count()
+    assert simhash.similar_duplicates(more).count() == docs.count() and packing.pack(more, tokenizer_file(TOKENIZER)).select("doc_id").distinct().count() == docs.select("doc_id").distinct().count()
+
+
 def test_empty_tables(spark, docs):
     none = docs.limit(0)
     assert simhash.near_duplicates(none).count() == suffix.remove_repeats(none).count() == packing.pack(none, tokenizer_file(TOKENIZER)).count() == lines.dedup_lines(none).count() == 0

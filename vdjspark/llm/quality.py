@@ -6,7 +6,7 @@ gradient descent fits it on a bounded sample of the labelled documents.
 
 Defined results: null and empty texts have no feature and score by the bias alone. Labels that
 are null take no part; a document with several labels takes their majority, ties as 1. Without a
-labelled row every score is 0.5. Repeated rows score alike; clashing column names raise ValueError.
+labelled row every score is 0.5; an empty table gives no row. Repeated rows score alike; clashing column names raise ValueError.
 """
 
 from __future__ import annotations
@@ -103,14 +103,14 @@ def train_quality_model(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE
                 bucket, _ = features([t])
                 found.append(np.unique(bucket, return_counts=True))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32()))], ["doc_id", "quality", "bucket", "n"]
+                [pa.array(ids, pa.int64()), pa.array(ys, pa.int32()), b.column(3), pa.array([x.tolist() for x, _ in found], pa.list_(pa.int32())), pa.array([n.tolist() for _, n in found], pa.list_(pa.int32()))], ["doc_id", "quality", "hash", "bucket", "n"]
             )
 
     rows = (
-        docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "quality")
-        .mapInArrow(count, "doc_id long, quality int, bucket array<int>, n array<int>")
+        docs.select("doc_id", "text").where("text is not null").join(F.broadcast(chosen), "doc_id").select(F.col("doc_id").cast("long"), "text", "quality", F.xxhash64("text").alias("hash"))
+        .mapInArrow(count, "doc_id long, quality int, hash long, bucket array<int>, n array<int>")
     )
-    got = sorted({r["doc_id"]: r for r in rows.toLocalIterator()}.items())
+    got = sorted({(r["doc_id"], r["hash"]): r for r in rows.toLocalIterator()}.items())  # texts of one id are documents of their own
     return fit([(np.array(r["bucket"], np.int64), np.array(r["n"], np.float64), r["quality"]) for _, r in got])
 
 

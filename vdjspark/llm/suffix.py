@@ -19,7 +19,9 @@ Three things keep the pairs few and lose no match:
 
 Defined results: a null text is as an empty one. Rows with a null id lose nothing and remove nothing.
 Rows with the same id never remove bytes of each other; repeated rows give the same result each.
-Texts shorter than ``length`` bytes stay whole. Remaining bytes may not be valid UTF-8 text.
+Texts shorter than ``length`` bytes stay whole. Remaining bytes may not be valid UTF-8 text. Ids are
+whole numbers; others raise a ValueError, as does a key named as a result. An empty table gives no
+row; other columns take no part, whatever their names.
 """
 
 from __future__ import annotations
@@ -199,6 +201,8 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, samp
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
     """key, kept (binary: the remaining bytes), n_bytes, n_removed, n_spans (maximal removed runs) of each row."""
+    if not isinstance(df.schema[key].dataType, T.IntegralType) or key.lower() in ("kept", "n_bytes", "n_removed", "n_spans"):
+        raise ValueError(f"{key} has to be a column of whole numbers, not named as a result")
     if not 2 <= sample < length:
         raise ValueError("sample must lie between 2 and length")
     scratch = Scratch(df.sparkSession)

@@ -6,7 +6,9 @@ distinct soft ones block. A term counts only between boundaries, which are the e
 characters other than ASCII letters and digits.
 
 Defined results: null urls and urls without ``://`` have empty host and path, fit no rule, and are
-judged by their terms (null: allow). Repeated rows are judged alike.
+judged by their terms (null: allow). Repeated rows are judged alike, other columns are kept, and
+columns named as those added raise a ValueError. An empty table gives no row. The terms are lists
+given by the caller; those here are a small example of such a vocabulary.
 """
 
 from __future__ import annotations
