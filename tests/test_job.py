@@ -95,7 +95,7 @@ def test_printed_alignment():
     assert above.replace("-", "") == "ACGTACGT" and below.replace("-", "") == "ACGTTACGT" and bars.count("|") == 8 and found[0][3] == 1
 
 
-def test_command_line(spark, tmp_path):
+def test_command_line(spark, tmp_path, capsys):
     rng = random.Random(9)
     v, j = bases(rng, 97) + "TGT" + "GCC", "TTT" + bases(rng, 40)
     read = v[20:] + "AGCAGT" * 2 + j  # 83 + 12 + 43 bases; the CDR3 is TGTGCC AGCAGT AGCAGT TTT
@@ -107,6 +107,7 @@ def test_command_line(spark, tmp_path):
     args = cli.parsed([*[x for o, p in out.items() for x in (f"-{o}", p)], "-ref", str(tmp_path / "ref.fa"), "-r", "-bcl", "10", "-jco", "0", "-s", str(tmp_path / "reads.fq")])
     assert cli.options_of(args) == Options(reverse=True, barcode_length=10, j_core_offset=0)
     cli.run(spark, args)
+    assert capsys.readouterr().err.splitlines()[-5:] == ["reads: 8", "rejected: 1", "longest that passed: 138", "shortest that passed: 138", "unique reads: 2"]
     rows = {o: [tuple(r) for r in spark.read.csv(p, sep="\t", header=o in ("o", "bst")).collect()] for o, p in out.items() if o != "pa"}
     assert rows["oa"] == [("V7:CASSSSF:J2", "7")] and rows["oab"] == [("V7:CASSSSF:J2", "1")]
     assert rows["on"] == [("V7:TGTGCCAGCAGTAGCAGTTTT:J2", "7")]

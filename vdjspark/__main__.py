@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import argparse
 import re
+import sys
 from dataclasses import fields
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -76,6 +77,7 @@ def run(spark: SparkSession, args: argparse.Namespace) -> ClonotypeJob:
     files = [read_file(spark, p) for p in args.reads]
     job = ClonotypeJob(R.paired(*files) if len(files) == 2 else files[0], fastx.read_segments(spark, args.ref), options_of(args))
     merged = not job.options.keep_alleles
+    print(*job.report(), sep="\n", file=sys.stderr)
 
     def put(option: str, df: DataFrame, header: bool = False, sort: bool = False) -> None:
         value = getattr(args, option)

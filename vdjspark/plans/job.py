@@ -6,7 +6,7 @@ import math
 from dataclasses import dataclass
 from functools import cached_property
 
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, Row, functions as F
 
 from ..operators import align, clonotypes as C, cluster as K, reads as R, segments as G, umi as U
 from ..operators.checkpoints import checkpoint
@@ -61,11 +61,22 @@ class ClonotypeJob:
         """Sequences with counts and the barcodes that survive; pairs keep their V read."""
         return checkpoint(R.drop_barcode(self.surviving))
 
+    @cached_property
+    def stats(self) -> Row:
+        """Figures of ``reads.input_stats``."""
+        return R.input_stats(self.judged).first()
+
+    def report(self) -> list[str]:
+        """What a user sees of the input: reads, those rejected, lengths of those that passed, unique ones."""
+        s = self.stats
+        figures = {"reads": s["n_reads"], "rejected": s["n_rejected"], "longest that passed": s["max_length"] or 0, "shortest that passed": s["min_length"] or 0, "unique reads": self.unique.count()}
+        return [f"{name}: {n}" for name, n in figures.items()]
+
     @cached_property
     def v_core_length(self) -> int:
         if self.options.v_core_length:
             return self.options.v_core_length
-        shortest = R.input_stats(self.judged).first()["min_length"]
+        shortest = self.stats["min_length"]
         motif = self.segments.where("seg_type = 'V'").agg(F.min("motif_pos")).first()[0]
         return G.auto_v_core_length(shortest or 0, motif if motif is not None else 58)
 

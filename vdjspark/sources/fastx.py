@@ -16,18 +16,20 @@ def _numbered(spark: SparkSession, path: str, separator: str) -> DataFrame:
     return lines.join(F.broadcast(first), ["file", "block"]).select((F.col("id") + F.col("shift")).alias("n"), "value")
 
 
-def read_fasta(spark: SparkSession, path: str, default_quality: int = 60) -> DataFrame:
-    """record_no, id, seq (upper case), qual: the default quality, and 0 for N."""
+def read_fasta(spark: SparkSession, path: str, default_quality: int = 60, most: int = 0) -> DataFrame:
+    """record_no, id, seq (upper case), qual: the default quality, and 0 for N; the first ``most`` records, 0 for all."""
     rows = _numbered(spark, path, "\n>").where(F.length(F.trim("value")) > 0)
+    rows = rows.where(F.col("n") < most) if most else rows
     text = F.regexp_replace("value", "^>", "")
     seq = F.upper(F.regexp_replace(F.regexp_extract(text, r"(?s)^[^\n]*\n(.*)$", 1), r"\s", ""))
     out = rows.select(F.col("n").alias("record_no"), F.trim(F.regexp_extract(text, r"^([^\r\n]*)", 1)).alias("id"), seq.alias("seq"))
     return out.withColumn("qual", F.when(F.length("seq") > 0, F.transform(F.split("seq", ""), lambda b: F.when(b == "N", 0).otherwise(default_quality))).otherwise(F.array().cast("array<int>")))
 
 
-def read_fastq(spark: SparkSession, path: str, phred: int = 33) -> DataFrame:
-    """record_no, id, seq, qual of a file of four-line records; N has quality 0."""
-    rows = _numbered(spark, path, "\n").select(F.expr("n div 4").alias("record_no"), (F.col("n") % 4).alias("k"), F.rtrim("value").alias("value"))
+def read_fastq(spark: SparkSession, path: str, phred: int = 33, most: int = 0) -> DataFrame:
+    """record_no, id, seq, qual of a file of four-line records, the first ``most`` ones, 0 for all; N has quality 0."""
+    rows = _numbered(spark, path, "\n")
+    rows = (rows.where(F.col("n") < 4 * most) if most else rows).select(F.expr("n div 4").alias("record_no"), (F.col("n") % 4).alias("k"), F.rtrim("value").alias("value"))
     of = lambda k: F.max(F.when(F.col("k") == k, F.col("value")))
     out = rows.groupBy("record_no").agg(of(0).alias("id"), of(1).alias("seq"), of(3).alias("q")).where("seq is not null and q is not null")
     qual = F.when(F.length("seq") > 0, F.zip_with(F.split("seq", ""), F.split("q", ""), lambda b, q: F.when(b == "N", 0).otherwise(F.ascii(q) - phred))).otherwise(F.array().cast("array<int>"))
