@@ -118,11 +118,13 @@ def mix(df: DataFrame, source: str = "source", key: str = "doc_id", weights: Map
     runs = held.groupBy("_source", "_run").agg(F.sum("_n").alias("_r")).withColumn("_r", F.sum("_r").over(Window.partitionBy("_source").orderBy("_run")) - F.col("_r"))
     within_run, in_bucket = Window.partitionBy("_source", "_run").orderBy("_bucket"), Window.partitionBy("_bucket").orderBy("_source")
     ahead = held.join(runs, ["_source", "_run"]).withColumn("_before", F.col("_r") + F.sum("_n").over(within_run) - F.col("_n"))
-    ahead = ahead.withColumn("_smaller", F.sum("_n").over(in_bucket) - F.col("_n")).select("_source", "_bucket", "_before", "_smaller")
+    ahead = ahead.withColumn("_smaller", F.sum("_n").over(in_bucket) - F.col("_n"))
+    # a row for each bucket, as rows are dealt by bucket already: joined by source too, they would be dealt again
+    ahead = ahead.groupBy("_bucket").agg(F.map_from_entries(F.collect_list(F.struct("_source", F.col("_before") - F.col("_smaller")))).alias("_before"))
     ties = [c for c, t in df.dtypes if c != key and not t.startswith(("map", "variant"))]
     within = Window.partitionBy("_bucket").orderBy("_source", order, key, F.xxhash64(*ties) if ties else F.lit(0))
-    numbered = numbered.withColumn("_n", F.row_number().over(within)).join(ahead, ["_bucket", "_source"])
-    numbered = numbered.withColumn("_n", F.col("_before") + F.col("_n") - F.col("_smaller") - 1)
+    numbered = numbered.withColumn("_n", F.row_number().over(within)).join(ahead, "_bucket")
+    numbered = numbered.withColumn("_n", F.col("_before")[F.col("_source")] + F.col("_n") - 1)
     numbered = numbered.withColumn("block", F.expr(f"_n div {int(block)}")).withColumn("place", (F.col("_n") % block).cast("int"))
 
     flat = np.array([x for s in placed for x in s], np.int64).reshape(-1, 3)
