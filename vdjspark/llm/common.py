@@ -42,7 +42,8 @@ class Scratch:
     """Written tables in the shared checkpoint folder, which cut lineage and outlive lost executors.
 
     ``put`` writes a DataFrame as Parquet and rereads it. ``drop`` deletes one of the tables
-    earlier; what is left goes when the process ends, as lazy results may still read it.
+    earlier, ``only`` all but one; what is left goes when the process ends, as lazy results may
+    still read it.
     """
 
     def __init__(self, spark: SparkSession):
@@ -65,6 +66,12 @@ class Scratch:
         if id(df) in self.paths:
             _delete(self.spark, self.paths[id(df)][0])
 
+    def only(self, df: DataFrame) -> DataFrame:
+        for _, out in list(self.paths.values()):
+            if out is not df:
+                self.drop(out)
+        return df
+
     def close(self) -> None:
         try:
             _delete(self.spark, self.top)

@@ -23,6 +23,7 @@ Other columns take no part, whatever their names; a key named as a result raises
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 from itertools import combinations
 
 import numpy as np
@@ -237,11 +238,14 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
 
         return work
 
-    spread, out = fps.select("fp").repartition(shards, "fp"), None
+    spread, out = fps.select("fp").repartition(shards, "fp"), []
     for wave in range(waves):
         met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False))
-        out = met if out is None else out.unionByName(met)
-    return scratch.put(out.distinct())
+        out.append(met)
+    pairs = scratch.put(reduce(DataFrame.unionByName, out).distinct())
+    for met in out:
+        scratch.drop(met)
+    return pairs
 
 
 def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, words: int = 5, hashed: int = 2, radius: int = 9) -> DataFrame:
@@ -291,4 +295,5 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
     if not left.isEmpty():
         found = scratch.put(connected_components(links.unionByName(verified(left)), scratch))
     rooted = scratch.put(nodes.join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("root")))
-    return skewed_join(docs.select("key", "node"), _named(rooted), ["node"], "n", docs.count()).select(F.col("key").alias(key), "component_id")
+    # ids only, so that the sets of shingles don't stay on disk while the result is in use
+    return scratch.only(scratch.put(skewed_join(docs.select("key", "node"), _named(rooted), ["node"], "n", docs.count()).select(F.col("key").alias(key), "component_id")))
