@@ -56,5 +56,6 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, scratch = table(spark, sf_dir, "documents"), Scratch(spark)
     for _, stage in STAGES[:-1]:
-        docs = scratch.put(stage(spark, docs, sf_dir))
+        last, docs = docs, scratch.put(stage(spark, docs, sf_dir))
+        scratch.drop(last)
     return STAGES[-1][1](spark, docs, sf_dir)
