@@ -222,7 +222,7 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
     def emit(wave: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             found, n = [], 0
-            for b in slices(batches, 4096):
+            for b in slices(batches, 1024):
                 own = b.column(0).to_numpy().view(np.uint64)
                 for part in (0, 1):
                     half = own >> np.uint64(32) if part else own & np.uint64(0xFFFFFFFF)
@@ -238,7 +238,8 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
 
         return work
 
-    spread, out = fps.select("fp").repartition(shards, "fp"), []
+    # dealt by a hash of its own: by fp itself it would be the grouping's exchange, which is coalesced to a few tasks for its few bytes
+    spread, out = fps.select("fp").repartition(shards, F.xxhash64("fp")), []
     for wave in range(waves):
         met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False))
         out.append(met)
