@@ -321,6 +321,35 @@ def test_large_sets_of_lines(spark):
         assert {r["doc_id"] for r in out if r["text"]} == set(label)
 
 
+def test_large_sets_lose_no_link(spark):
+    """Groups are those of all pairs that share a key and have near hashes, however many lines share it."""
+    rng = np.random.default_rng(15)
+    words = ["".join(rng.choice(list("abcdefgh"), 6)) for _ in range(400)]
+    texts = []
+    for base in range(2):
+        line = words[base * 200 : base * 200 + 40]
+        for _ in range(40):
+            other = list(line)
+            for at in rng.choice(40, int(rng.integers(4, 9)), replace=False):
+                other[at] = words[int(rng.integers(400))]
+            texts.append(" ".join(other))
+    _, _, one, _, sim, codes, opens, word, word_opens = lines._hashes(texts)
+    keys, of, low = lines.line_keys(one, sim, word, word_opens, codes, opens, lines.SIMILARITY, lines.BITS, lines.BLOCKS)
+    text, sets, hashes = dict(zip(one.tolist(), range(len(texts)))), defaultdict(set), {}
+    for k, x, h in zip(keys.tolist(), of.tolist(), low.tolist()):
+        sets[k].add(text[x])
+        hashes[text[x]] = h
+    met = {p for x in sets.values() for p in combinations(sorted(x), 2) if (hashes[p[0]] ^ hashes[p[1]]).bit_count() <= lines.NEAR}
+    near = [(a, b) for a, b in met if lines.within(texts[a], texts[b], int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9))]
+    label = list(range(len(texts)))
+    while any(label[a] != label[b] for a, b in near):
+        for a, b in near:
+            label[a] = label[b] = min(label[a], label[b])
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    for most in (2, lines.MOST):
+        assert {r["doc_id"] for r in lines.dedup_lines(df, most=most).collect() if r["text"]} == set(label)
+
+
 def test_hash_blocks():
     """Hashes within the radius share a block's key, others as a rule don't."""
     rng = np.random.default_rng(3)

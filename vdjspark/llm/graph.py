@@ -34,3 +34,12 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         now = scratch.put(_round(last))
         scratch.drop(last)
     return now.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+
+
+def joined(nodes: DataFrame, links: DataFrame, scratch: Scratch) -> DataFrame:
+    """node, component, as above, of the links that ``nodes`` came from and more ``links`` (u, v long)."""
+    named = lambda c: nodes.select(F.col("node").alias(c), F.col("component").alias(f"{c}_of"))
+    edges = links.join(named("u"), "u", "left").join(named("v"), "v", "left").select(F.coalesce("u_of", "u").alias("u"), F.coalesce("v_of", "v").alias("v"))
+    more = scratch.put(connected_components(edges, scratch))
+    moved = nodes.join(more.select(F.col("node").alias("component"), F.col("component").alias("to")), "component", "left").select("node", F.coalesce("to", "component").alias("component"))
+    return scratch.put(moved.unionByName(more.join(nodes, "node", "left_anti")))

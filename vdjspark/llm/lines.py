@@ -14,7 +14,9 @@ document, then line, stays.
 Keys are packed in blobs, a few for each task, and sorted in numpy where they meet. Up to ``most``
 lines that meet on a key are compared with each other; of more, each with the one in the middle of
 their hashes and with those next to it in two orders of the hash, so that pairs grow with the lines.
-Lines too far from the middle have a middle one of their own, and so on until none is left.
+Lines too far from the middle have a middle one of their own, and so on until none is left. Of the
+lines that these links leave in different groups each is compared with its nearest next, and then
+all that meet and are still apart, so that no link is lost in a large set.
 
 Defined results: lines without a letter or digit are never removed, nor is a null text touched.
 Texts whose lines all go become empty. Rows that repeat id and text are one document and keep the
@@ -36,8 +38,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import LETTER_LIMIT, Scratch, codes_of, free_of, in_chunks, majority, mix64, odd, skewed_join, slices
-from .graph import connected_components
-from .meet import meetings, packed
+from .graph import connected_components, joined
+from .meet import meetings, members, packed, pairs_of, rest, sets_of
 
 BITS, BLOCKS, SIMILARITY, MOST = 2, 4, 0.8, 8
 WORD_ROWS, WORD_BANDS = 3, 8  # minhashes in a band and bands, of neighbouring words
@@ -351,16 +353,30 @@ def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
 
 
-def fuzzy_links(lines: DataFrame, blobs: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float, most: int, shards: int) -> DataFrame:
-    """u, v: links (by k1) that join near-equal lines. lines: k1, row, line_no; blobs: shard, keys."""
-    pairs = scratch.put(meetings(blobs, shards, most, NEAR, hashes=True, middle=True).distinct())
-    ends = pairs.select(F.col("u").alias("k1")).unionByName(pairs.select(F.col("v").alias("k1"))).distinct()
+def fuzzy_groups(lines: DataFrame, blobs: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float, most: int, shards: int) -> DataFrame:
+    """node, component (by k1) of near-equal lines. lines: k1, row, line_no; blobs: shard, keys."""
+    met = scratch.put(meetings(blobs, shards, most, NEAR, hashes=True, middle=True))
+    pairs, sets = scratch.put(pairs_of(met).distinct()), sets_of(met)
+    ends = pairs.select(F.col("u").alias("k1")).unionByName(pairs.select(F.col("v").alias("k1"))).unionByName(members(sets).select(F.col("one").alias("k1"))).distinct()
     texts = scratch.put(_texts(docs, lines.join(ends, "k1").dropDuplicates(["k1"])))
-    both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("k1").alias("v"), F.col("line").alias("b")), "v")
-    both = both.withColumn("most", F.floor((1 - similarity) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int"))
-    links = scratch.put(both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most")).select("u", "v", "a", "b", "most").mapInArrow(_linked, "u long, v long"))
+
+    def verified(pairs: DataFrame) -> DataFrame:
+        both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("k1").alias("v"), F.col("line").alias("b")), "v")
+        both = both.withColumn("most", F.floor((1 - similarity) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int"))
+        return scratch.put(both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most")).select("u", "v", "a", "b", "most").mapInArrow(_linked, "u long, v long"))
+
+    nodes = connected_components(verified(pairs), scratch)
+    if not sets.isEmpty():
+        nodes = scratch.put(nodes)
+        for nearest in (True, False):
+            more = scratch.put(rest(sets, nodes.select(F.col("node").alias("one"), F.col("component").alias("label")), NEAR, nearest=nearest).join(pairs, ["u", "v"], "left_anti"))
+            if more.isEmpty():
+                continue
+            if not (links := verified(more)).isEmpty():
+                nodes = joined(nodes, links, scratch)
+            pairs = pairs.unionByName(more)
     scratch.drop(texts)
-    return links
+    return nodes
 
 
 def removed_lines(docs: DataFrame, scratch: Scratch, bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
@@ -371,8 +387,7 @@ def removed_lines(docs: DataFrame, scratch: Scratch, bits: int = BITS, blocks: i
     place = F.struct("doc_id", "line_no", "row")
     lines = scratch.put(seen.groupBy("k1", "k2").agg(F.min(place).alias("first"), F.count("*").alias("n")))
     blobs = hashed.where("shard is not null").select("shard", "keys")
-    links = fuzzy_links(lines.select("k1", "first.row", "first.line_no"), blobs, docs, scratch, similarity, most, shards)
-    nodes = connected_components(links, scratch).withColumnRenamed("node", "k1")
+    nodes = fuzzy_groups(lines.select("k1", "first.row", "first.line_no"), blobs, docs, scratch, similarity, most, shards).withColumnRenamed("node", "k1")
     grouped = scratch.put(lines.join(nodes, "k1", "left").where("n > 1 or component is not null").select("k1", "k2", "n", "first", F.coalesce("component", "k1").alias("root"), F.when(F.col("component").isNull(), F.col("k2")).otherwise(F.lit(0)).alias("alone")))
     kept = grouped.groupBy("root", "alone").agg(F.min("first").alias("kept"), F.count("*").alias("n_lines"))
     n_lines, n_seen = (r or 0 for r in lines.agg(F.count("*"), F.sum("n")).first())

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import Scratch, in_chunks, majority, mix64, odd, skewed_join, slices
 from .graph import connected_components
-from .meet import meetings, packed
+from .meet import meetings, packed, pairs_of
 
 SEED = 42
 WORDS = 4
@@ -243,7 +243,7 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
     for wave in range(waves):
         met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False))
         out.append(met)
-    pairs = scratch.put(reduce(DataFrame.unionByName, out).distinct())
+    pairs = scratch.put(pairs_of(reduce(DataFrame.unionByName, out)).distinct())
     for met in out:
         scratch.drop(met)
     return pairs
