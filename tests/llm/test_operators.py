@@ -14,7 +14,7 @@ import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from vdjspark.llm import ann, graph, language, lines, mixing, packing, quality, simhash, suffix, topk, urls
+from vdjspark.llm import ann, graph, language, lines, meet, mixing, packing, quality, simhash, suffix, topk, urls
 from vdjspark.llm.common import Scratch, majority
 from vdjspark.llm.queries import TOKENIZER, tokenizer_file
 
@@ -119,6 +119,37 @@ def test_similar_duplicates_by_all_pairs(spark):
     assert simhash.similar_duplicates(df.limit(0)).count() == 0
 
 
+def test_colliding_by_all_pairs(spark):
+    """Pairs and what is left of large sets are all pairs within the radius, each of them once."""
+    rng = np.random.default_rng(5)
+    fps = {int(x) for x in rng.integers(0, 1 << 64, 20, dtype=np.uint64)}
+    for base in list(fps)[:2]:
+        for _ in range(40):
+            fps.add(base ^ sum(1 << int(b) for b in rng.choice(64, 5, replace=False)))
+            fps.add(base ^ sum(1 << int(b) for b in rng.choice(32, 4, replace=False)))
+    signed = lambda x: x - (1 << 64) if x >> 63 else x
+    want = sorted(tuple(sorted((signed(a), signed(b)))) for a, b in combinations(fps, 2) if (a ^ b).bit_count() <= 9)
+    df, none = spark.createDataFrame([(signed(f),) for f in fps], "fp long"), spark.createDataFrame([], "one long, label long")
+    for most in (8, 1000):
+        pairs, sets = simhash.colliding(df, Scratch(spark), 9, most, waves=2)
+        first = [tuple(r) for r in pairs.collect()]
+        assert len(first) == len(set(first)) and (most == 8) == (len(first) < len(want))
+        left = [tuple(r) for r in meet.rest(sets, none, 9, simhash.paired_at(9, int(spark.conf.get("spark.sql.shuffle.partitions")))).collect()]
+        assert sorted({*first, *left}) == want
+
+
+def test_similar_duplicates_of_one_fingerprint(spark):
+    """Texts that share a fingerprint are linked, though the first of them is like none of the others."""
+    for i in range(100):  # one pair of words is over half of all pairs
+        texts = [" ".join([f"a{i}", "b"] * n) for n in (1, 3, 4)]
+        node, fp, _ = simhash.shingle_sets(texts, 2, 5)
+        if node.view(np.int64).argmin() == 0:
+            break
+    assert len(set(fp.tolist())) == 1 and len(set(node.tolist())) == 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    assert {r["doc_id"]: r["component_id"] for r in simhash.similar_duplicates(df).collect()} == {0: 0, 1: 1, 2: 1}
+
+
 def test_suffix(spark, docs):
     got = sorted((tuple(r) for r in suffix.kept_digest(suffix.remove_repeats(docs)).collect()), key=str)
     rows = [(r["doc_id"], (r["text"] or "").encode()) for r in docs.collect()]

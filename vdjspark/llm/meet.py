@@ -17,10 +17,15 @@ BLOCK = 1 << 20  # pairs of hashes that are compared at once
 Own = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
 
 
+def dealt(keys: np.ndarray, shards: int) -> np.ndarray:
+    """The shard of each key; where keys meet it stands in place of their upper halves."""
+    return (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+
+
 def packed(found: list[tuple[np.ndarray, ...]], shards: int, names: list[str], nulls: list[pa.DataType]) -> pa.RecordBatch:
     """Rows of keys, what has them (64 bits) and, if given, its hash of 32 bits, in a blob for each shard, which the keys' upper halves choose."""
     keys, *rest = (np.concatenate(x) for x in zip(*found))
-    shard = (keys >> np.uint64(32)) * np.uint64(shards) >> np.uint64(32)
+    shard = dealt(keys, shards)
     order = np.argsort(shard, kind="stable")
     shard, parts = shard[order], [(keys[order] & np.uint64(0xFFFFFFFF)).astype("<u4"), *(x[order] for x in rest)]
     at = np.flatnonzero(np.append(True, shard[1:] != shard[:-1]))

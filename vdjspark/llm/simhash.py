@@ -32,8 +32,8 @@ import xxhash
 from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import Scratch, in_chunks, majority, mix64, odd, skewed_join, slices
-from .graph import connected_components
-from .meet import meetings, packed, pairs_of
+from .graph import connected_components, joined
+from .meet import dealt, meetings, packed, pairs_of, rest, sets_of
 
 SEED = 42
 WORDS = 4
@@ -210,8 +210,31 @@ def alike(a: bytes, b: bytes, similarity: float) -> bool:
     return same >= similarity * (n + m - same)
 
 
-def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, waves: int = WAVES) -> DataFrame:
-    """u, v: pairs of fingerprints (``fp``, distinct) within ``radius`` bits that meet on variants of a half; of many that meet, each with a first one.
+def paired_at(radius: int, shards: int):
+    """Whether a key is the one, of all variants that two fingerprints meet on, at which they are paired.
+
+    That is in the first half with few enough differences, the lesser version of it with the lower half of these flipped.
+    """
+    reach = (radius // 2 + 1) // 2
+
+    def own(keys: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        low = np.uint64(0xFFFFFFFF)
+        part = (np.bitwise_count((a ^ b) & low) > 2 * reach).astype(np.uint64)
+        a, b = (x >> (np.uint64(32) * part) & low for x in (a, b))
+        value, differ = np.minimum(a, b), a ^ b
+        n = np.bitwise_count(differ) // 2
+        for k in range(reach):
+            bit = differ & (~differ + np.uint64(1))
+            value = np.where(k < n, value ^ bit, value)
+            differ = differ ^ bit
+        key = mix64(value + ((part + np.uint64(1)) << np.uint64(32)))
+        return (key & low | dealt(key, shards) << np.uint64(32)) == keys
+
+    return own
+
+
+def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, waves: int = WAVES) -> tuple[DataFrame, DataFrame]:
+    """u, v: pairs of fingerprints (``fp``, distinct) within ``radius`` bits that meet on variants of a half, each once; of many that meet, each with a first one. What is left of these sets, for ``rest``.
 
     One of two halves has at most half of the differences; its two versions meet on a value at half
     their distance. Variants are shuffled in waves, so that only a part of them is on disk at once.
@@ -241,20 +264,21 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
     # dealt by a hash of its own: by fp itself it would be the grouping's exchange, which is coalesced to a few tasks for its few bytes
     spread, out = fps.select("fp").repartition(shards, F.xxhash64("fp")), []
     for wave in range(waves):
-        met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False))
+        met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False, own=paired_at(radius, shards)))
         out.append(met)
-    pairs = scratch.put(pairs_of(reduce(DataFrame.unionByName, out)).distinct())
-    for met in out:
-        scratch.drop(met)
-    return pairs
+    met = scratch.put(reduce(DataFrame.unionByName, out))
+    for wave in out:
+        scratch.drop(wave)
+    return pairs_of(met), sets_of(met)
 
 
 def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", similarity: float = 0.8, words: int = 5, hashed: int = 2, radius: int = 9) -> DataFrame:
     """key and component_id, the smallest key that links reach, of each row; a link is a similarity of the sets of ``words``-word shingles.
 
     Texts of the same words in order are one. Each of those that share a fingerprint is verified
-    against the first of them; these are verified against their nearest that collides, and then
-    against all others that collide with them and aren't joined to them yet.
+    against the first of them, and these against their nearest that collides. Then all that collide
+    or share a fingerprint and aren't joined yet are verified: those of small sets, and of large
+    ones each with its nearest and then all others.
     """
     if key.lower() == "component_id":
         raise ValueError(f"the key can't be named {key}")
@@ -269,10 +293,10 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
     docs = scratch.put(df.select(F.col(text).alias("_text"), F.col(key).alias("_key")).mapInArrow(work, schema))
     nodes = scratch.put(docs.groupBy("node").agg(F.min(F.struct(F.col("key").isNull().alias("none"), "key", "fp")).alias("x"), F.count("*").alias("n")).select("node", F.col("x.key").alias("low"), F.col("x.fp").alias("fp"), "n"))
     firsts = nodes.groupBy("fp").agg(F.min("node").alias("first"), F.count("*").alias("n_fp"))
-    met = colliding(firsts.select("fp"), scratch, radius)
+    pairs, sets = colliding(firsts.select("fp"), scratch, radius)
     same = nodes.join(firsts.where("n_fp > 1"), "fp").where("node <> first").select(F.col("first").alias("u"), F.col("node").alias("v"))
     first = lambda c: firsts.select(F.col("fp").alias(c), F.col("first").alias(f"{c}_first"))
-    met = scratch.put(met.withColumn("apart", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"), "apart"))
+    met = scratch.put(pairs.withColumn("apart", F.bit_count(F.col("u").bitwiseXOR(F.col("v")))).join(first("u"), "u").join(first("v"), "v").select(F.col("u_first").alias("u"), F.col("v_first").alias("v"), "apart"))
     nearest = met.groupBy("v").agg(F.min_by("u", F.struct("apart", "u")).alias("u")).select("u", "v")
 
     def verified(pairs: DataFrame) -> DataFrame:
@@ -288,13 +312,28 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
         scratch.drop(texts)
         return links
 
-    links = verified(nearest.unionByName(same))
-    found = scratch.put(connected_components(links, scratch))
-    root = lambda c: found.select(F.col("node").alias(c), F.col("component").alias(f"{c}_root"))
-    left = met.join(nearest, ["u", "v"], "left_anti").join(root("u"), "u", "left").join(root("v"), "v", "left")
-    left = scratch.put(left.where(~F.col("u_root").eqNullSafe(F.col("v_root")) | F.col("u_root").isNull()).select("u", "v"))
-    if not left.isEmpty():
-        found = scratch.put(connected_components(links.unionByName(verified(left)), scratch))
+    found = scratch.put(connected_components(verified(nearest.unionByName(same)), scratch))
+    tried = scratch.put(nearest.unionByName(same).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")))
+    shared = firsts.where("n_fp > 1").select(F.col("fp").alias("u"), F.col("fp").alias("v"))
+
+    def crossing(pairs: DataFrame, labelled: DataFrame) -> DataFrame:
+        """Pairs of nodes of the pairs of fingerprints whose labels differ; labels are compared first, so that large groups aren't crossed."""
+        labels = labelled.select("fp", "label").distinct()
+        end = lambda df, c: df.select(*[F.col(x).alias({"fp": c}.get(x, f"{c}_{x}")) for x in df.columns])
+        apart = pairs.join(end(labels, "u"), "u").join(end(labels, "v"), "v").where("u_label <> v_label and (u <> v or u_label < v_label)")
+        both = apart.join(end(labelled, "u"), ["u", "u_label"]).join(end(labelled, "v"), ["v", "v_label"])
+        return both.select(F.least("u_node", "v_node").alias("u"), F.greatest("u_node", "v_node").alias("v")).distinct()
+
+    large = not sets.isEmpty()
+    for step in ("met", "nearest", "rest") if large else ("met",):
+        labelled = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
+        if step == "met":
+            wanted = pairs.unionByName(shared)
+        else:
+            wanted = rest(sets, labelled.select(F.col("fp").alias("one"), "label").distinct(), radius, paired_at(radius, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), step == "nearest")
+        left = scratch.put(crossing(wanted, labelled).join(tried, ["u", "v"], "left_anti"))
+        if not left.isEmpty():
+            found, tried = joined(found, verified(left), scratch), tried.unionByName(left)
     rooted = scratch.put(nodes.join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("root")))
     # ids only, so that the sets of shingles don't stay on disk while the result is in use
     return scratch.only(scratch.put(skewed_join(docs.select("key", "node"), _named(rooted), ["node"], "n", docs.count()).select(F.col("key").alias(key), "component_id")))
