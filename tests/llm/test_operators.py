@@ -169,6 +169,15 @@ def test_suffix(spark, docs):
     assert got == sorted(want, key=str)
 
 
+def test_suffix_waves(spark, docs):
+    """Waves have all rows of a round together, each a part of them, and rows that meet are in one."""
+    named = docs.where("doc_id is not null").select(F.encode(F.coalesce("text", F.lit("")), "utf-8").alias("bytes"), "doc_id", F.lit(0).alias("tag")).coalesce(1)
+    rows = lambda wave, waves: [tuple(r) for r in suffix._round_one(named, 50, 20, wave, waves).collect()]
+    parts, whole = [rows(k, suffix.WAVES) for k in range(suffix.WAVES)], rows(0, 1)
+    assert suffix.WAVES > 1 and sorted(sum(parts, [])) == sorted(whole) and all(0 < len(x) < 0.8 * len(whole) for x in parts)
+    assert not {r[5] for r in parts[0]} & {r[5] for r in parts[1]}
+
+
 def test_packing(spark, docs):
     path = tokenizer_file(TOKENIZER)
     t = Tokenizer.from_file(path)

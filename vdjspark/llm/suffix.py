@@ -17,6 +17,9 @@ Three things keep the pairs few and lose no match:
   strings. In each of these rounds a task first settles what repeats within it, so that a passage
   with very many copies sends one row from each task.
 
+The first and third round are each shuffled in ``WAVES`` parts, one after the other, by the lowest
+bits of the ranks that meet, so that only a part of the pairs is on disk at once.
+
 Defined results: a null text is as an empty one. Rows with a null id lose nothing and remove nothing.
 Rows with the same id never remove bytes of each other; repeated rows give the same result each.
 Texts shorter than ``length`` bytes stay whole. Remaining bytes may not be valid UTF-8 text. Ids are
@@ -28,6 +31,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -39,6 +43,7 @@ LENGTH = 50
 SAMPLE = 20  # bytes whose rank picks the position
 CHUNK = 2 << 20  # bytes whose ranks are in memory at once
 LONGEST = 32  # strings in a run
+WAVES = 2  # parts of the pairs of a round that are shuffled one after the other, a power of two
 BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, dtype=np.uint64)  # ranks of single bytes
 
 
@@ -130,8 +135,13 @@ def _chunks(batches: Iterator[pa.RecordBatch], width: int):
         yield rows
 
 
-def _round_one(docs: DataFrame, length: int, sample: int) -> DataFrame:
-    """doc_id, tag, start, n of runs; settled: repeated from a smaller id of the same task; a, b: ranks of the others."""
+def _of_wave(a: np.ndarray, wave: int, waves: int) -> pa.Array:
+    """Which rows a wave has, by their rank."""
+    return pa.array((a & np.uint64(waves - 1)) == wave)
+
+
+def _round_one(docs: DataFrame, length: int, sample: int, wave: int = 0, waves: int = 1) -> DataFrame:
+    """doc_id, tag, start, n of runs; settled: repeated from a smaller id of the same task; a, b: ranks of the others. Those of one wave."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for rows in _chunks(batches, 3):
@@ -142,15 +152,16 @@ def _round_one(docs: DataFrame, length: int, sample: int) -> DataFrame:
             left = ~done
             key = np.concatenate([d, doc[left]])
             fake = _pair(ids[d].astype(np.uint64), s.astype(np.uint64))  # spreads settled rows
-            yield pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, n[left]]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).astype(np.uint32).view(np.int32))],
                 ["doc_id", "tag", "start", "n", "settled", "a", "b"],
             )
+            yield batch.filter(_of_wave(np.concatenate([fake, a[left]]), wave, waves))
 
     return docs.select("bytes", "doc_id", "tag").mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b int")
 
 
-def _round_three(joined: DataFrame, length: int) -> DataFrame:
+def _round_three(joined: DataFrame, length: int, wave: int = 0, waves: int = 1) -> DataFrame:
     """doc_id, tag, start, n, settled, a, b as above, for single strings of the runs in ``runs``."""
     half = length // 2
 
@@ -170,10 +181,11 @@ def _round_three(joined: DataFrame, length: int) -> DataFrame:
             left = ~done
             key = np.concatenate([d, doc[left]])
             fake = _pair(ids[d].astype(np.uint64), s.astype(np.uint64))
-            yield pa.RecordBatch.from_arrays(
+            batch = pa.RecordBatch.from_arrays(
                 [pa.array(ids[key]), pa.array(tags[key]), pa.array(np.concatenate([s, start[left]]).astype(np.int32)), pa.array(np.concatenate([m, np.ones(left.sum(), np.int64)]).astype(np.int32)), pa.array(np.arange(len(key)) < len(d)), pa.array(np.concatenate([fake, a[left]]).view(np.int64)), pa.array(np.concatenate([fake, b[left]]).astype(np.uint32).view(np.int32))],
                 ["doc_id", "tag", "start", "n", "settled", "a", "b"],
             )
+            yield batch.filter(_of_wave(np.concatenate([fake, a[left]]), wave, waves))
 
     return joined.mapInArrow(work, "doc_id long, tag int, start int, n int, settled boolean, a long, b int")
 
@@ -188,15 +200,20 @@ def repeated_spans(docs: DataFrame, scratch: Scratch, length: int = LENGTH, samp
     docs: bytes, doc_id, tag, without nulls; tag tells rows of one id apart.
     """
     group, run = Window.partitionBy("a", "settled"), Window.partitionBy("a", "settled", "b")
-    one = _round_one(docs, length, sample)
-    one = one.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"), F.min("b").over(group).alias("b0"), F.max("b").over(group).alias("b1"))
-    one = one.where("settled or low < high").select("*", F.min("doc_id").over(run).alias("low_run"))
-    # a run that opens its text is looked at string by string, if other texts share its rank
-    one = scratch.put(one.where("settled or low_run < doc_id or b0 < b1").select("doc_id", "tag", "start", "n", F.expr("settled or low_run < doc_id").alias("gone")))
+    ones, threes = [], []
+    for wave in range(WAVES):
+        one = _round_one(docs, length, sample, wave, WAVES)
+        one = one.select("*", F.min("doc_id").over(group).alias("low"), F.max("doc_id").over(group).alias("high"), F.min("b").over(group).alias("b0"), F.max("b").over(group).alias("b1"))
+        one = one.where("settled or low < high").select("*", F.min("doc_id").over(run).alias("low_run"))
+        # a run that opens its text is looked at string by string, if other texts share its rank
+        ones.append(scratch.put(one.where("settled or low_run < doc_id or b0 < b1").select("doc_id", "tag", "start", "n", F.expr("settled or low_run < doc_id").alias("gone"))))
+    one = reduce(DataFrame.unionByName, ones)
     left = _gathered(one.where("not gone"), "runs")
-    three = _round_three(docs.join(left, ["doc_id", "tag"]).select("bytes", "doc_id", "tag", "runs"), length)
-    three = three.select("*", F.min("doc_id").over(run).alias("low")).where("settled or low < doc_id").select("doc_id", "tag", "start", "n")
-    return one.where("gone").select("doc_id", "tag", "start", "n").unionByName(scratch.put(three))
+    joined = docs.join(left, ["doc_id", "tag"]).select("bytes", "doc_id", "tag", "runs")
+    for wave in range(WAVES):
+        three = _round_three(joined, length, wave, WAVES).select("*", F.min("doc_id").over(run).alias("low"))
+        threes.append(scratch.put(three.where("settled or low < doc_id").select("doc_id", "tag", "start", "n")))
+    return reduce(DataFrame.unionByName, [one.where("gone").select("doc_id", "tag", "start", "n"), *threes])
 
 
 def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", length: int = LENGTH, sample: int = SAMPLE) -> DataFrame:
