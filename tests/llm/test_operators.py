@@ -178,6 +178,35 @@ def test_suffix_waves(spark, docs):
     assert not {r[5] for r in parts[0]} & {r[5] for r in parts[1]}
 
 
+def test_suffix_ranks_in_tiles(monkeypatch):
+    """Ranks don't depend on the tiles they are worked out in, of which no array is much larger."""
+    rng, most = np.random.default_rng(5), []
+    blobs = [b"", b"x" * 700, *(bytes(rng.integers(97, 99, int(n), dtype=np.uint8)) for n in rng.integers(0, 400, 30)), b"", b"y" * 49]
+    pair = suffix._pair
+    monkeypatch.setattr(suffix, "_pair", lambda a, b: (most.append(len(a)), pair(a, b))[1])
+    whole = suffix._runs(blobs, 50, 20)
+    ranks, joined = {}, b"".join(blobs)
+    for n, r in zip((50, 20), (suffix.Ranks(np.frombuffer(joined, np.uint8))[n] for n in (50, 20))):
+        ranks[n] = r
+    want = []  # as single strings: a run goes on while the smallest rank of 20 bytes and the document stay
+    ends = np.cumsum([len(b) for b in blobs])
+    for k, b in enumerate(blobs):
+        begin, last = ends[k] - len(b), None
+        for i in range(len(b) - 49):
+            low = ranks[20][begin + i : begin + i + 31].min()
+            if low == last and want[-1][2] < suffix.LONGEST:
+                want[-1][2] += 1
+            else:
+                want.append([k, i, 1, low])
+            last = low
+    assert [list(x) for x in zip(*whole[:4])] == want
+    monkeypatch.setattr(suffix, "TILE", 64)
+    most.clear()
+    first, low = suffix._ranked(joined, 50, 20)
+    assert max(most) < 2 * 64 and (first == ranks[50]).all() and len(low) == len(first)
+    assert all((x == y).all() for x, y in zip(whole, suffix._runs(blobs, 50, 20)))
+
+
 def test_packing(spark, docs):
     path = tokenizer_file(TOKENIZER)
     t = Tokenizer.from_file(path)

@@ -35,13 +35,15 @@ from functools import reduce
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, Window, functions as F, types as T
 
-from .common import Scratch
+from .common import Scratch, slices
 
 LENGTH = 50
 SAMPLE = 20  # bytes whose rank picks the position
 CHUNK = 2 << 20  # bytes whose ranks are in memory at once
+TILE = 1 << 14  # strings that are ranked at once
 LONGEST = 32  # strings in a run
 WAVES = 2  # parts of the pairs of a round that are shuffled one after the other, a power of two
 BYTES = np.random.default_rng(8).integers(0, 1 << 64, 256, dtype=np.uint64)  # ranks of single bytes
@@ -72,31 +74,48 @@ class Ranks:
         return self.known[n]
 
 
+def _ranked(blob: bytes, length: int, sample: int = 0) -> tuple[np.ndarray, np.ndarray]:
+    """Ranks of all strings of ``length`` bytes, and the smallest rank of ``sample`` bytes in each (none if zero).
+
+    They are worked out for ``TILE`` strings at a time, whose ranks stay in the processor's cache.
+    """
+    data = np.frombuffer(blob, np.uint8)
+    n = max(0, len(data) - length + 1)
+    whole, low = np.empty(n, np.uint64), np.empty(n if sample else 0, np.uint64)
+    for i in range(0, n, TILE):
+        ranks = Ranks(data[i : i + TILE + length - 1])
+        part = slice(i, i + len(ranks[length]))
+        whole[part] = ranks[length]
+        if sample:
+            least, covered, most = ranks[sample], 1, length - sample + 1
+            while covered < most:  # minimum over a window, by doubling too
+                step = min(covered, most - covered)
+                least = np.minimum(least[:-step], least[step:])
+                covered += step
+            low[part] = least
+    return whole, low
+
+
 def _runs(blobs: list[bytes], length: int, sample: int):
     """Document, first string, strings, rank picked, rank of the text, of each run of a chunk."""
     sizes = np.array([len(b) for b in blobs], np.int64)
     ends = np.cumsum(sizes)
-    ranks = Ranks(np.frombuffer(b"".join(blobs), np.uint8))
-    whole = ranks[length]
+    whole, low = _ranked(b"".join(blobs), length, sample)
     if not len(whole):
         return [np.zeros(0, np.int64)] * 3 + [np.zeros(0, np.uint64)] * 2
-    low, covered, most = ranks[sample], 1, length - sample + 1
-    while covered < most:  # minimum over a window, by doubling too
-        step = min(covered, most - covered)
-        low = np.minimum(low[:-step], low[step:])
-        covered += step
-    low = low[: len(whole)]
-    doc = np.repeat(np.arange(len(blobs)), sizes)[: len(whole)]
-    at = np.arange(len(whole))
-    inside = at + length <= ends[doc]
     new = np.ones(len(whole), bool)
-    new[1:] = (low[1:] != low[:-1]) | (doc[1:] != doc[:-1])
-    begin = np.maximum.accumulate(np.where(new, at, 0))
-    new |= (at - begin) % LONGEST == 0
-    first = np.flatnonzero(new & inside)
-    n = np.minimum(np.append(first[1:], len(whole)), ends[doc[first]] - length + 1) - first
+    np.not_equal(low[1:], low[:-1], out=new[1:])
+    begins = ends - sizes
+    new[begins[begins < len(whole)]] = True
+    first = np.flatnonzero(new)
+    parts = -(-np.diff(np.append(first, len(whole))) // LONGEST)
+    first = np.repeat(first, parts) + LONGEST * (np.arange(parts.sum()) - np.repeat(np.cumsum(parts) - parts, parts))
+    doc = np.searchsorted(ends, first, "right")
+    inside = first + length <= ends[doc]
+    first, doc = first[inside], doc[inside]
+    n = np.minimum(np.append(first[1:], len(whole)), ends[doc] - length + 1) - first
     text = _pair(_pair(whole[first], whole[first + n - 1]), n.astype(np.uint64))
-    return doc[first], first - (ends - sizes)[doc[first]], n, low[first], text
+    return doc, first - begins[doc], n, low[first], text
 
 
 def _settle(ids: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -121,18 +140,35 @@ def _spans(key: np.ndarray, start: np.ndarray, n: np.ndarray) -> tuple[np.ndarra
     return key[at], start[at], np.maximum.reduceat(end, at) - start[at]
 
 
-def _chunks(batches: Iterator[pa.RecordBatch], width: int):
-    """Rows of the first ``width`` columns, gathered until their bytes (column 0) fill a chunk."""
-    rows, size = [], 0
+def _chunks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.Table]:
+    """Rows, gathered until their bytes (column 0) fill a chunk."""
+    parts, size = [], 0
     for b in batches:
-        for row in zip(*(c.to_pylist() for c in b.columns[:width])):
-            rows.append(row)
-            size += len(row[0])
+        ends, i = np.cumsum(pc.binary_length(b.column(0)).to_numpy(zero_copy_only=False).astype(np.int64)), 0
+        while i < b.num_rows:
+            before = ends[i - 1] if i else 0
+            j = min(b.num_rows, int(np.searchsorted(ends, before + CHUNK - size)) + 1)
+            parts.append(b.slice(i, j - i))
+            size, i = size + ends[j - 1] - before, j
             if size >= CHUNK:
-                yield rows
-                rows, size = [], 0
-    if rows:
-        yield rows
+                yield pa.Table.from_batches(parts)
+                parts, size = [], 0
+    if parts:
+        yield pa.Table.from_batches(parts)
+
+
+def _listed(column: pa.ListArray | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The row, start and n of each place in lists of structs (start, n); a null has none."""
+    out = [[np.zeros(0, np.int64)] for _ in range(3)]
+    chunks, rows = column.chunks if isinstance(column, pa.ChunkedArray) else [column], 0
+    for c in chunks:
+        size = pc.fill_null(pc.list_value_length(c), 0).to_numpy(zero_copy_only=False)
+        flat = c.flatten()
+        out[0].append(np.repeat(np.arange(rows, rows + len(c)), size))
+        for k, name in ((1, "start"), (2, "n")):
+            out[k].append(flat.field(name).to_numpy(zero_copy_only=False).astype(np.int64))
+        rows += len(c)
+    return tuple(np.concatenate(x) for x in out)
 
 
 def _of_wave(a: np.ndarray, wave: int, waves: int) -> pa.Array:
@@ -144,9 +180,9 @@ def _round_one(docs: DataFrame, length: int, sample: int, wave: int = 0, waves:
     """doc_id, tag, start, n of runs; settled: repeated from a smaller id of the same task; a, b: ranks of the others. Those of one wave."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, 3):
-            ids, tags = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int32)
-            doc, start, n, a, b = _runs([r[0] for r in rows], length, sample)
+        for rows in _chunks(batches):
+            ids, tags = rows.column(1).to_numpy(), rows.column(2).to_numpy()
+            doc, start, n, a, b = _runs(rows.column(0).to_pylist(), length, sample)
             done = _settle(ids[doc], a, b)
             d, s, m = _spans(doc[done], start[done], n[done])
             left = ~done
@@ -166,14 +202,14 @@ def _round_three(joined: DataFrame, length: int, wave: int = 0, waves: int = 1)
     half = length // 2
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for rows in _chunks(batches, 4):
-            ids, tags = np.array([r[1] for r in rows]), np.array([r[2] for r in rows], np.int32)
-            sizes = np.array([len(r[0]) for r in rows], np.int64)
+        for rows in _chunks(batches):
+            ids, tags, blobs = rows.column(1).to_numpy(), rows.column(2).to_numpy(), rows.column(0).to_pylist()
+            sizes = np.array([len(x) for x in blobs], np.int64)
             offset = np.cumsum(sizes) - sizes
-            runs = np.array([(k, x["start"], x["n"]) for k, r in enumerate(rows) for x in r[3]], np.int64).reshape(-1, 3)
-            ranks = Ranks(np.frombuffer(b"".join(r[0] for r in rows), np.uint8))[half]
-            doc = np.repeat(runs[:, 0], runs[:, 2])
-            start = np.repeat(runs[:, 1], runs[:, 2]) + np.arange(len(doc)) - np.repeat(np.cumsum(runs[:, 2]) - runs[:, 2], runs[:, 2])
+            of, first, n = _listed(rows.column(3))
+            ranks, _ = _ranked(b"".join(blobs), half)
+            doc = np.repeat(of, n)
+            start = np.repeat(first - (np.cumsum(n) - n), n) + np.arange(len(doc))
             at = offset[doc] + start
             a, b = ranks[at], ranks[at + length - half]
             done = _settle(ids[doc], a, b)
@@ -232,20 +268,19 @@ def remove_repeats(df: DataFrame, text: str = "text", key: str = "doc_id", lengt
     joined = docs.join(gone, ["doc_id", "tag"], "left").select("bytes", "gone", "doc_id")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
+        for b in slices(batches):
             out: list[list] = [[], [], [], []]
-            for blob, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                spans: list[tuple[int, int]] = []
-                if gone:
-                    start, n = np.array([x["start"] for x in gone], np.int64), np.array([x["n"] for x in gone], np.int64)
-                    _, start, n = _spans(np.zeros(len(start), np.int64), start, n + length - 1)
-                    spans = list(zip(start.tolist(), (start + n).tolist()))
+            of, start, n = _listed(b.column(1))
+            of, start, n = _spans(of, start, n + length - 1)
+            cuts = np.searchsorted(of, np.arange(b.num_rows + 1)).tolist()
+            start, end = start.tolist(), (start + n).tolist()
+            for blob, i, j in zip(b.column(0).to_pylist(), cuts, cuts[1:]):
                 at, rest = 0, []
-                for s, e in spans:
-                    rest.append(blob[at:s])
-                    at = e
+                for k in range(i, j):
+                    rest.append(blob[at : start[k]])
+                    at = end[k]
                 kept = b"".join([*rest, blob[at:]])
-                for column, x in zip(out, (kept, len(blob), len(blob) - len(kept), len(spans))):
+                for column, x in zip(out, (kept, len(blob), len(blob) - len(kept), j - i)):
                     column.append(x)
             yield pa.RecordBatch.from_arrays([b.column(2), pa.array(out[0], pa.binary()), *(pa.array(x, pa.int64()) for x in out[1:])], [key, "kept", "n_bytes", "n_removed", "n_spans"])
 
