@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import zlib
 from collections import defaultdict
 from fractions import Fraction
@@ -419,6 +420,51 @@ def test_large_sets_lose_no_link(spark):
         assert {r["doc_id"] for r in lines.dedup_lines(df, most=most).collect() if r["text"]} == set(label)
 
 
+def test_links_left_are_as_many_as_they_join(spark, monkeypatch):
+    """Lines of a set that are apart are compared in their task, without a row for each pair; what links join is not compared on."""
+    rng, scratch = random.Random(11), Scratch(spark)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(rng.randrange(2, 8))) for _ in range(300)]
+    firsts = [" ".join(rng.choice(words) for _ in range(14)) for _ in range(6)]
+    texts = list(dict.fromkeys(x if k == 0 else x.replace(rng.choice(x), rng.choice("xyz"), 1) for x in firsts for k in range(12)))
+    near = [(a, b) for a, b in combinations(range(len(texts)), 2) if lines.within(texts[a], texts[b], int(0.2 * max(len(texts[a]), len(texts[b])) + 1e-9))]
+    label = list(range(len(texts)))
+    for a, b in near:
+        label = [min(label[a], label[b]) if x in (label[a], label[b]) else x for x in label]
+    ones = np.arange(len(texts), dtype="<u8")
+    sets = spark.createDataFrame([(k, bytearray(ones.tobytes()), bytearray(np.zeros(len(ones), "<u8").tobytes())) for k in (1, 2)], "key long, ones binary, lows binary")
+    frame = spark.createDataFrame(list(enumerate(texts)), "k1 long, line string")
+    none = spark.createDataFrame([], "node long, component long")
+    for part in (4096, 20):
+        monkeypatch.setattr(lines, "PART", part)
+        links = lines.links_left(sets, none, frame, 0.8)
+        found = {tuple(r) for r in links.collect()}
+        assert found <= set(near) and len(near) > 200 and len(set(label)) == 6
+        if part == 4096:  # a task joins 6 groups of some 12 lines with so many links, for each of two sets
+            assert links.count() <= 2 * (len(texts) - 6)
+        joined = {r["node"]: r["component"] for r in graph.connected_components(links, scratch).collect()}
+        assert [joined.get(k, k) for k in range(len(texts))] == label
+
+
+def test_distances_side_by_side():
+    """As one by one: texts of like and unlike lengths, near and far, of few and of many letters."""
+    rng, pairs = random.Random(12), []
+    for n in (3, 17, 64, 65, 130, 400):
+        for _ in range(150):
+            letters = rng.choice(["ab", "abcdefghij ", "".join(map(chr, range(0x4E00, 0x4E00 + 500)))])
+            x = "".join(rng.choice(letters) for _ in range(max(1, n + rng.randrange(-n // 5, n // 5 + 1))))
+            y = list(x) if rng.random() < 0.7 else [rng.choice(letters) for _ in range(len(x))]
+            for _ in range(rng.randrange(0, n // 2 + 2)):
+                k = rng.randrange(len(y) + 1)
+                y[k : k + rng.randrange(2)] = [rng.choice(letters)] * rng.randrange(2)
+            pairs.append((x, "".join(y), rng.randrange(0, n // 2 + 2)))
+    rng.shuffle(pairs)
+    want = [lines.within(*p) for p in pairs]
+    assert lines.all_within(*map(list, zip(*pairs))).tolist() == want and 0.2 < np.mean(want) < 0.8
+    open_ = [(x, y, m) for x, y, m in pairs if x and y]
+    x, y, m = map(list, zip(*open_))
+    assert lines._side_by_side(x, y, np.array(m)).tolist() == [lines.within(*p) for p in open_]
+
+
 def test_hash_blocks():
     """Hashes within the radius share a block's key, others as a rule don't."""
     rng = np.random.default_rng(3)

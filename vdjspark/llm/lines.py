@@ -14,9 +14,9 @@ document, then line, stays.
 Keys are packed in blobs, a few for each task, and sorted in numpy where they meet. Up to ``most``
 lines that meet on a key are compared with each other; of more, each with the one in the middle of
 their hashes and with those next to it in two orders of the hash, so that pairs grow with the lines.
-Lines too far from the middle have a middle one of their own, and so on until none is left. Of the
-lines that these links leave in different groups each is compared with its nearest next, and then
-all that meet and are still apart, so that no link is lost in a large set.
+Lines too far from the middle have a middle one of their own, and so on until none is left. Then
+all that meet and that links leave in different groups are compared, the nearest first, in a task
+that has their set, so that no link is lost in a large set and no row is made of a pair.
 
 Defined results: lines without a letter or digit are never removed, nor is a null text touched.
 Texts whose lines all go become empty. Rows that repeat id and text are one document and keep the
@@ -35,11 +35,11 @@ from itertools import combinations
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, functions as F, types as T
+from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
 from .common import LETTER_LIMIT, Scratch, codes_of, free_of, in_chunks, majority, mix64, odd, skewed_join, slices
 from .graph import connected_components, joined
-from .meet import meetings, members, packed, pairs_of, rest, sets_of
+from .meet import apart, meetings, members, packed, pairs_of, sets_of
 
 BITS, BLOCKS, SIMILARITY, MOST = 2, 4, 0.8, 8
 WORD_ROWS, WORD_BANDS = 3, 8  # minhashes in a band and bands, of neighbouring words
@@ -48,6 +48,9 @@ TINY, LONG, SHORT = 14, 48, 80  # most letters of lines that meet by deletions;
 NEAR = 9  # most bits in which the lower halves of the SimHashes differ
 CHUNK = 1 << 19
 FLUSH = 1 << 19  # keys that a task gathers before it packs them
+TOGETHER = 4096  # pairs whose distances are asked together
+PART = 4096  # lines of a large set that a task compares with as many others
+FEW, TABLE = 32, 1 << 18  # least pairs whose distances are worked out side by side; words of each letter's places then, at 64 letters a fourth of the most
 PLACES = 1 << 27  # bits of the map that tells which lines are wanted
 
 
@@ -280,18 +283,9 @@ def within(a: str, b: str, most: int) -> bool:
 
     Spark's own function walks both texts for each character, whatever distance is allowed.
     """
-    if abs(len(a) - len(b)) > most:
-        return False
-    begin = _alike(a, b)
-    a, b = a[begin:], b[begin:]
-    end = _alike(a[::-1], b[::-1])
-    a, b = a[: len(a) - end], b[: len(b) - end]
-    if max(len(a), len(b)) <= most:
-        return True
-    if not a or not b:
-        return False
-    if _by_words(a.split(" "), b.split(" "), most):
-        return True
+    known, a, b = _plain(a, b, most)
+    if known is not None:
+        return known
     codes = np.frombuffer(a.encode("utf-32-le", "surrogatepass"), "<u4")
     places = {c: int.from_bytes(np.packbits(codes == ord(c), bitorder="little").tobytes(), "little") for c in set(a) & set(b)}
     full, last = (1 << len(a)) - 1, 1 << (len(a) - 1)
@@ -314,6 +308,119 @@ def within(a: str, b: str, most: int) -> bool:
     return distance <= most
 
 
+def _plain(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
+    """Whether the edit distance is at most ``most``, if that is plain (else None), and the texts without their common ends."""
+    if abs(len(a) - len(b)) > most:
+        return False, a, b
+    begin = _alike(a, b)
+    a, b = a[begin:], b[begin:]
+    end = _alike(a[::-1], b[::-1])
+    a, b = a[: len(a) - end], b[: len(b) - end]
+    if max(len(a), len(b)) <= most:
+        return True, a, b
+    if not a or not b:
+        return False, a, b
+    return (True if _by_words(a.split(" "), b.split(" "), most) else None), a, b
+
+
+def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """``within`` of many pairs: those that aren't plain side by side, in groups of like length."""
+    out, open_ = np.zeros(len(a), bool), []
+    for i, (x, y, m) in enumerate(zip(a, b, most)):
+        known, x, y = _plain(x, y, m)
+        if known is None:
+            open_.append((max(len(x), len(y)), i, x, y, m))
+        else:
+            out[i] = known
+    open_.sort(key=lambda p: p[:2])
+    while open_:
+        longest, n = open_[-1][0], 1
+        room = TABLE // (longest // 64 + 2) // 64
+        while n < min(len(open_), room) and open_[-n - 1][0] * (5 if n >= FEW else 8) >= longest * 4 - 64:
+            n += 1
+        part = open_[-n:]
+        del open_[-n:]
+        at = [p[1] for p in part]
+        if n < FEW:
+            out[at] = [within(*p[2:]) for p in part]
+        else:
+            out[at] = _side_by_side([p[2] for p in part], [p[3] for p in part], np.array([p[4] for p in part]))
+    return out
+
+
+def _side_by_side(a: list[str], b: list[str], most: np.ndarray) -> np.ndarray:
+    """Whether each pair's distance is at most ``most``, columns of all tables at once, as bits of words of 64 rows.
+
+    The pairs get the same ending each until all ``b`` are equally long, which leaves distances as
+    they are. Word w is at column t - w in step t, so that a step needs only what the one before it
+    handed on. Words outside the band of the largest ``most`` are left out: what enters there is one more.
+    """
+    n = np.array([len(y) for y in b])
+    steps = int(n.max())
+    size = np.array([len(x) for x in a]) + steps - n
+    wide, pairs = int(-(-size.max() // 64)), len(a)
+    codes = [np.frombuffer("".join(x).encode("utf-32-le", "surrogatepass"), "<u4") for x in (a, b)]
+    seen = np.zeros(max(int(c.max()) for c in codes) + 1, bool)
+    for c in codes:
+        seen[c] = True
+    rank = np.cumsum(seen)  # from 1; zero is the ending
+    letters = int(rank[-1]) + 1
+
+    def table(c: np.ndarray, own: np.ndarray, height: int) -> np.ndarray:
+        out = np.zeros((height, pairs), np.int64)
+        of = np.repeat(np.arange(pairs), own)
+        out[np.arange(len(c)) - np.repeat(np.cumsum(own) - own, own), of] = rank[c]
+        return out
+
+    if letters * wide * pairs > 4 * TABLE:  # many different letters
+        return np.array([within(x, y, m) for x, y, m in zip(a, b, most.tolist())])
+    rows = table(codes[0], size - (steps - n), 64 * wide)
+    same = np.zeros(letters * wide * pairs, np.uint64)
+    i, p = np.nonzero(np.arange(64 * wide)[:, None] < size)
+    np.add.at(same, (rows[i, p] * wide + i // 64) * pairs + p, np.uint64(1) << (i % 64).astype(np.uint64))
+    column = table(codes[1], n, steps) * (wide * pairs)
+    place = np.arange(wide * pairs).reshape(wide, pairs)
+    up, down = np.full((wide, pairs), ~np.uint64(0)), np.zeros((wide, pairs), np.uint64)
+    more_in, less_in = np.ones((wide + 1, pairs), np.uint64), np.zeros((wide + 1, pairs), np.uint64)
+    one, top, band = np.uint64(1), np.uint64(63), int(most.max())
+    begins = [max(w, 65 * w - band - 1) for w in range(wide)]
+    stops = [min(steps - 1 + w, 65 * w + 64 + band) for w in range(wide)]
+    low = high = 0
+    for t in range(stops[-1] + 1):
+        while high < wide and begins[high] <= t:
+            high += 1
+        last, low = low, low + (stops[low] < t)
+        at = slice(low, high)
+        eq = same[column[t - high + 1 : t - low + 1][::-1] + place[at]]
+        u, d, carry, borrow = up[at], down[at], more_in[at], less_in[at]
+        either = eq | d
+        eq |= borrow
+        free = eq & u
+        free += u
+        free ^= u
+        free |= eq
+        more = free | u
+        np.invert(more, out=more)
+        more |= d
+        less = u & free
+        more_out, less_out = more >> top, less >> top
+        more <<= one
+        more |= carry
+        less <<= one
+        less |= borrow
+        np.bitwise_or(either, more, out=u)
+        np.invert(u, out=u)
+        u |= less
+        np.bitwise_and(more, either, out=d)
+        more_in[low + 1 : high + 1], less_in[low + 1 : high + 1] = more_out, less_out
+        if low > last:  # the last of the word before has been taken
+            more_in[low], less_in[low] = 1, 0
+    left = np.clip(size - 64 * np.arange(wide)[:, None], 0, 64)
+    mask = np.where(left == 64, ~np.uint64(0), (one << np.minimum(left, 63).astype(np.uint64)) - one)
+    distance = steps + (np.bitwise_count(up & mask).astype(np.int64) - np.bitwise_count(down & mask)).sum(0)
+    return distance <= most
+
+
 def _by_words(x: list[str], y: list[str], most: int) -> bool:
     """Whether replacing, leaving out and adding whole words, as they come, takes few enough edits."""
     i = j = cost = 0
@@ -348,9 +455,65 @@ def _alike(a: str, b: str) -> int:
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """u, v of the pairs (u, v, a, b, most) within their distance."""
-    for b in slices(batches):
-        keep = [within(x, y, most) for x, y, most in zip(*(b.column(k).to_pylist() for k in (2, 3, 4)))]
-        yield b.select([0, 1]).filter(pa.array(keep, pa.bool_()))
+    for b in slices(batches, TOGETHER):
+        yield b.select([0, 1]).filter(pa.array(all_within(*(b.column(k).to_pylist() for k in (2, 3, 4)))))
+
+
+def links_left(sets: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
+    """u, v: links that join the lines of each set which ``nodes`` (node, component) leave apart; texts: k1, line.
+
+    Lines go with their texts to a task that compares them, so rows grow with the lines: all near pairs of
+    different groups, the nearest first, but for those whose groups its links have joined by then. Sets of more
+    than ``PART`` lines are compared part by part.
+    """
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        above: dict[int, int] = {}
+        wait: list[tuple] = []
+
+        def root(x: int) -> int:
+            while (y := above.get(x, x)) != x:
+                above[x] = x = above.get(y, y)
+            return x
+
+        def verified() -> pa.RecordBatch:
+            some = [p for p in wait if root(p[0]) != root(p[1])]
+            wait.clear()
+            found = []
+            for p, near in zip(some, all_within(*([p[k] for p in some] for k in (4, 5, 6)))):
+                if near and (x := root(p[0])) != (y := root(p[1])):
+                    above[max(x, y)] = min(x, y)
+                    found.append(p)
+            return pa.RecordBatch.from_arrays([pa.array([f(p[2], p[3]) for p in found], pa.int64()) for f in (min, max)], ["u", "v"])
+
+        for b in batches:
+            for i in range(b.num_rows):
+                across, rows = b.column(0)[i].as_py() != b.column(1)[i].as_py(), b.column(2)[i].values
+                label, one, low, part = (rows.field(k).to_numpy(zero_copy_only=False) for k in ("label", "one", "low", "part"))
+                lines = rows.field("line").to_pylist()
+                size = np.array([len(x) for x in lines])
+                for x, y, bits in apart(label, low.view(np.uint64), NEAR):
+                    most = np.floor((1 - similarity) * np.maximum(size[x], size[y]) + 1e-9).astype(np.int64)
+                    at = np.flatnonzero((np.abs(size[x] - size[y]) <= most) & ((part[x] != part[y]) | (not across)))
+                    at = at[np.argsort(bits[at], kind="stable")]
+                    for k in range(0, len(at), TOGETHER):
+                        p, q, n = x[at[k : k + TOGETHER]], y[at[k : k + TOGETHER]], most[at[k : k + TOGETHER]]
+                        of = label[p].tolist(), label[q].tolist(), one[p].tolist(), one[q].tolist()
+                        wait.extend(zip(*of, (lines[j] for j in p.tolist()), (lines[j] for j in q.tolist()), n.tolist()))
+                        if len(wait) >= TOGETHER:
+                            yield verified()
+        if wait:
+            yield verified()
+
+    key = Window.partitionBy("key")
+    rows = members(sets).join(nodes.select(F.col("node").alias("one"), F.col("component").alias("label")), "one", "left").withColumn("label", F.coalesce("label", "one"))
+    rows = rows.select("*", F.min("label").over(key).alias("least"), F.max("label").over(key).alias("greatest"), F.ceil(F.count("*").over(key) / PART).cast("int").alias("parts")).where("least < greatest")
+    rows = rows.join(texts.select(F.col("k1").alias("one"), "line"), "one").withColumn("part", F.pmod(F.xxhash64("one"), F.col("parts")).cast("int"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("other")).select("key", F.least("part", "other").alias("first"), F.greatest("part", "other").alias("second"), F.struct("label", "one", "low", "part", "line").alias("row"))
+    # dealt to all tasks: coalesced for their few bytes, a few tasks would compare all
+    tasks = int(sets.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    grouped = rows.repartition(tasks, "key", "first", "second").groupBy("key", "first", "second").agg(F.collect_list("row").alias("rows"))
+    return grouped.select("first", "second", "rows").mapInArrow(work, "u long, v long")
 
 
 def fuzzy_groups(lines: DataFrame, blobs: DataFrame, docs: DataFrame, scratch: Scratch, similarity: float, most: int, shards: int) -> DataFrame:
@@ -359,22 +522,15 @@ def fuzzy_groups(lines: DataFrame, blobs: DataFrame, docs: DataFrame, scratch: S
     pairs, sets = scratch.put(pairs_of(met).distinct()), sets_of(met)
     ends = pairs.select(F.col("u").alias("k1")).unionByName(pairs.select(F.col("v").alias("k1"))).unionByName(members(sets).select(F.col("one").alias("k1"))).distinct()
     texts = scratch.put(_texts(docs, lines.join(ends, "k1").dropDuplicates(["k1"])))
-
-    def verified(pairs: DataFrame) -> DataFrame:
-        both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("k1").alias("v"), F.col("line").alias("b")), "v")
-        both = both.withColumn("most", F.floor((1 - similarity) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int"))
-        return scratch.put(both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most")).select("u", "v", "a", "b", "most").mapInArrow(_linked, "u long, v long"))
-
-    nodes = connected_components(verified(pairs), scratch)
+    both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("k1").alias("v"), F.col("line").alias("b")), "v")
+    both = both.withColumn("most", F.floor((1 - similarity) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int"))
+    links = scratch.put(both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most")).select("u", "v", "a", "b", "most").mapInArrow(_linked, "u long, v long"))
+    nodes = connected_components(links, scratch)
     if not sets.isEmpty():
         nodes = scratch.put(nodes)
-        for nearest in (True, False):
-            more = scratch.put(rest(sets, nodes.select(F.col("node").alias("one"), F.col("component").alias("label")), NEAR, nearest=nearest).join(pairs, ["u", "v"], "left_anti"))
-            if more.isEmpty():
-                continue
-            if not (links := verified(more)).isEmpty():
-                nodes = joined(nodes, links, scratch)
-            pairs = pairs.unionByName(more)
+        more = scratch.put(links_left(sets, nodes, texts, similarity))
+        if not more.isEmpty():
+            nodes = joined(nodes, more, scratch)
     scratch.drop(texts)
     return nodes
 
