@@ -420,6 +420,15 @@ def test_large_sets_lose_no_link(spark):
         assert {r["doc_id"] for r in lines.dedup_lines(df, most=most).collect() if r["text"]} == set(label)
 
 
+def test_a_task_holds_one_shard(spark):
+    """Rows that meet are dealt to as many tasks as there are shards; no two shards come to one task."""
+    shards, keys = 24, np.arange(24, dtype=np.uint64) << np.uint64(32)
+    blobs = spark.createDataFrame([(k, bytearray(np.array([7], "<u4").tobytes() + np.array([one], "<u8").tobytes())) for k in range(len(keys)) for one in (2 * k, 2 * k + 1)], "shard int, keys binary")
+    met = meet.meetings(blobs, shards, 8, 64, hashes=False, middle=False)
+    rows = met.select("u", "v", F.spark_partition_id().alias("task")).collect()
+    assert sorted((r["u"], r["v"]) for r in rows) == [(2 * k, 2 * k + 1) for k in range(shards)] and len({r["task"] for r in rows}) == shards
+
+
 def test_links_left_are_as_many_as_they_join(spark, monkeypatch):
     """Lines of a set that are apart are compared in their task, without a row for each pair; what links join is not compared on."""
     rng, scratch = random.Random(11), Scratch(spark)

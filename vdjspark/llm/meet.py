@@ -142,7 +142,8 @@ def meetings(blobs: DataFrame, shards: int, most: int, near: int, hashes: bool,
             blob = [pa.array([x.astype("<u8").tobytes()], pa.binary()) for x in (ones, lows)]
             yield pa.RecordBatch.from_arrays([pa.array(np.array([key], np.uint64).view(np.int64)), pa.nulls(1, pa.int64()), *blob], names)
 
-    return blobs.repartition(shards, "shard").mapInArrow(work, "u long, v long, ones binary, lows binary")
+    # a shard is a partition; by its hash several would meet in one, and a task would hold all of them
+    return blobs.repartitionById(shards, "shard").mapInArrow(work, "u long, v long, ones binary, lows binary")
 
 
 def pairs_of(met: DataFrame) -> DataFrame:
