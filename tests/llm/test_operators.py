@@ -45,6 +45,17 @@ def brute_fingerprint(text):
     return sum(1 << b for b in range(64) if 2 * sum(x >> b & 1 for x in h) > len(h))
 
 
+def test_few_links_take_no_rounds(spark, monkeypatch):
+    """Few links are joined in one task, and give the components that rounds give."""
+    rng = np.random.RandomState(5)
+    links = spark.createDataFrame([tuple(x) for x in rng.randint(0, 300, (200, 2)).tolist()], "u long, v long")
+    scratch = Scratch(spark)
+    few = sorted(map(tuple, graph.connected_components(links, scratch).collect()))
+    assert len(scratch.paths) == 2  # the links and what they join
+    monkeypatch.setattr(graph, "FEW", 0)
+    assert few and sorted(map(tuple, graph.connected_components(links, Scratch(spark)).collect())) == few
+
+
 @pytest.mark.parametrize("parts,most", [(1, 1024), (2, 1024), (2, 0)])
 def test_simhash(spark, docs, parts, most):
     got = simhash.near_duplicates(docs, parts=parts, most=most).collect()
@@ -139,6 +150,22 @@ def test_colliding_by_all_pairs(spark):
         assert sorted({*first, *left}) == want
 
 
+def test_variants_are_made_where_they_meet():
+    """A task makes all variants within two bits of a half out of a row for each upper quarter, once each, and parts share no key."""
+    own = np.random.RandomState(3).randint(0, 2**63, 40).astype(np.uint64)
+    flips, low = simhash._flips(2), np.uint64(0xFFFF)
+    place = np.concatenate([((own >> np.uint64(32 * part + 16) & low)[:, None] ^ flips).ravel() + np.uint64(part << 16) for part in (0, 1)])
+    masks = np.array([sum(1 << b for b in c) for k in range(3) for c in combinations(range(32), k)], np.uint64)
+    halves = [own & np.uint64(0xFFFFFFFF), own >> np.uint64(32)]
+    want = sorted((k, o) for part, half in enumerate(halves) for h, o in zip(half, own.tolist()) for k in simhash.mix64((h ^ masks) + np.uint64(part + 1 << 32)).tolist())
+    assert 3 * len(place) < len(want)  # what is shuffled
+    for most in (50, 1000, 1 << 20):
+        parts = list(simhash.variants(place, np.tile(np.repeat(own, len(flips)), 2), 2, most))
+        keys = [k for a, _ in parts for k in set(a.tolist())]
+        assert sorted((k, o) for a, b in parts for k, o in zip(a.tolist(), b.tolist())) == want and len(keys) == len(set(keys))
+        assert max(len(a) for a, _ in parts) <= 2 * most
+
+
 def test_similar_duplicates_of_one_fingerprint(spark):
     """Texts that share a fingerprint are linked, though the first of them is like none of the others."""
     for i in range(100):  # one pair of words is over half of all pairs

@@ -2,10 +2,16 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from .common import Scratch
 
+FEW = 1 << 18  # most edges that one task joins by itself, in place of rounds
+
 
 def _round(edges: DataFrame) -> DataFrame:
     """A large star and a small star: each node's neighbours move to the smallest of them."""
@@ -17,11 +23,26 @@ def _round(edges: DataFrame) -> DataFrame:
     return rest.where("u > v").unionByName(low.withColumnRenamed("m", "v")).distinct()
 
 
+def _few(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """node, component of all edges (u, v) at once: roots move to the least root across an edge until none does."""
+    edges = [np.stack([c.to_numpy() for c in b.columns]) for b in batches]
+    nodes, ends = np.unique(np.concatenate([np.zeros((2, 0), np.int64), *edges], 1), return_inverse=True)
+    a, b = ends.reshape(2, -1)
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        x, y = root[a], root[b]
+        np.minimum.at(root, np.maximum(x, y), np.minimum(x, y))
+        while (root[root] != root).any():
+            root = root[root]
+    yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(nodes[root])], ["node", "component"])
+
+
 def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
     """node, component of each node of ``edges`` (u, v long); the component is its smallest node.
 
-    Alternating large-star and small-star rounds, each written to the shared folder, until nothing
-    changes; the number of rounds grows with the logarithm of the nodes. Loops, nulls and repeated
+    Up to ``FEW`` edges are joined in one task. More take alternating large-star and small-star rounds,
+    each written to the shared folder, until nothing changes or few edges are left; the number of rounds
+    grows with the logarithm of the nodes. Loops, nulls and repeated
     edges don't matter; nodes without an edge to another aren't returned.
     """
     now = scratch.put(edges.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).where("u > v").distinct())
@@ -30,6 +51,8 @@ def connected_components(edges: DataFrame, scratch: Scratch) -> DataFrame:
         seen = now.agg(F.count("*"), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
         if seen == state or not seen[0]:
             break
+        if seen[0] <= FEW:
+            return scratch.put(now.select("u", "v").coalesce(1).mapInArrow(_few, "node long, component long"))
         state, last = seen, now
         now = scratch.put(_round(last))
         scratch.drop(last)

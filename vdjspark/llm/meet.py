@@ -15,6 +15,7 @@ from pyspark.sql import DataFrame, functions as F
 KNOWN = 1024  # rows of a large set whose pairs are all looked at when the set is met
 BLOCK = 1 << 20  # pairs of hashes that are compared at once
 Own = Callable[[np.ndarray, np.ndarray, np.ndarray], np.ndarray]
+Read = Callable[[Iterator[pa.RecordBatch]], Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]]
 
 
 def dealt(keys: np.ndarray, shards: int) -> np.ndarray:
@@ -93,6 +94,12 @@ def met_on(keys: np.ndarray, one: np.ndarray, low: np.ndarray, most: int, near:
     none = np.zeros((0, 2), np.int64)
     if not len(keys):
         return none, []
+    order = np.argsort(keys)
+    same = np.diff(keys[order]) == 0
+    order = order[np.append(False, same) | np.append(same, False)]  # most keys have one row, which meets none
+    if not len(order):
+        return none, []
+    keys, low, one = keys[order], low[order], one[order]
     order = np.lexsort((one, keys))
     keys, low, one = keys[order], low[order], one[order]
     new = np.append(True, (keys[1:] != keys[:-1]) | (one[1:] != one[:-1]))
@@ -126,21 +133,22 @@ def met_on(keys: np.ndarray, one: np.ndarray, low: np.ndarray, most: int, near:
     return np.unique(np.stack([np.minimum(*ends), np.maximum(*ends)], 1), axis=0), sets
 
 
-def meetings(blobs: DataFrame, shards: int, most: int, near: int, hashes: bool, middle: bool, own: Own | None = None) -> DataFrame:
+def meetings(blobs: DataFrame, shards: int, most: int, near: int, hashes: bool, middle: bool, own: Own | None = None, read: Read | None = None) -> DataFrame:
     """u, v: pairs of rows that meet, of blobs (shard, keys). A pair may come from several shards.
 
     Rows with ``ones`` and ``lows`` instead, and the key as ``u``, are what is left of large sets.
+    ``read``, if given, makes keys, what has them and its hashes of a shard's blobs, in parts that share no key.
     """
     names = ["u", "v", "ones", "lows"]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        keys, one, low = unpacked(batches, hashes)
-        pairs, sets = met_on(keys, one, low if hashes else one, most, near, middle, own)
-        n = len(pairs)
-        yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
-        for key, ones, lows in sets:
-            blob = [pa.array([x.astype("<u8").tobytes()], pa.binary()) for x in (ones, lows)]
-            yield pa.RecordBatch.from_arrays([pa.array(np.array([key], np.uint64).view(np.int64)), pa.nulls(1, pa.int64()), *blob], names)
+        for keys, one, low in read(batches) if read else [unpacked(batches, hashes)]:
+            pairs, sets = met_on(keys, one, low if hashes else one, most, near, middle, own)
+            n = len(pairs)
+            yield pa.RecordBatch.from_arrays([pa.array(pairs[:, 0]), pa.array(pairs[:, 1]), pa.nulls(n, pa.binary()), pa.nulls(n, pa.binary())], names)
+            for key, ones, lows in sets:
+                blob = [pa.array([x.astype("<u8").tobytes()], pa.binary()) for x in (ones, lows)]
+                yield pa.RecordBatch.from_arrays([pa.array(np.array([key], np.uint64).view(np.int64)), pa.nulls(1, pa.int64()), *blob], names)
 
     # a shard is a partition; by its hash several would meet in one, and a task would hold all of them
     return blobs.repartitionById(shards, "shard").mapInArrow(work, "u long, v long, ones binary, lows binary")

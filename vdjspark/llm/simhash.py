@@ -33,14 +33,15 @@ from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 from .common import Scratch, in_chunks, majority, mix64, odd, skewed_join, slices
 from .graph import connected_components, joined
-from .meet import dealt, meetings, packed, pairs_of, rest, sets_of
+from .meet import meetings, packed, pairs_of, rest, sets_of, unpacked
 
 SEED = 42
 WORDS = 4
 BLOCK = 1 << 16  # shingles whose bits are counted at once
 CHUNK = 1 << 18  # characters whose words are hashed at once
-FLUSH = 1 << 19  # variants that a task gathers before it packs them
-WAVES = 8  # parts of the variants that are shuffled one after the other
+FLUSH = 1 << 19  # rows that a task gathers before it packs them
+WAVES = 2  # parts of these rows that are shuffled one after the other
+MADE = 1 << 20  # variants that a task makes at once where they meet
 
 
 def fingerprint(text: str | None, words: int = WORDS) -> int:
@@ -210,8 +211,8 @@ def alike(a: bytes, b: bytes, similarity: float) -> bool:
     return same >= similarity * (n + m - same)
 
 
-def paired_at(radius: int, shards: int):
-    """Whether a key is the one, of all variants that two fingerprints meet on, at which they are paired.
+def paired_at(radius: int, shards: int | None = None):
+    """Whether a key is the one, of all variants that two fingerprints meet on, at which they are paired; ``shards`` make no difference.
 
     That is in the first half with few enough differences, the lesser version of it with the lower half of these flipped.
     """
@@ -227,31 +228,75 @@ def paired_at(radius: int, shards: int):
             bit = differ & (~differ + np.uint64(1))
             value = np.where(k < n, value ^ bit, value)
             differ = differ ^ bit
-        key = mix64(value + ((part + np.uint64(1)) << np.uint64(32)))
-        return (key & low | dealt(key, shards) << np.uint64(32)) == keys
+        return mix64(value + ((part + np.uint64(1)) << np.uint64(32))) == keys
 
     return own
 
 
+def _flips(reach: int) -> np.ndarray:
+    """Masks of all ways to flip up to ``reach`` of 16 bits."""
+    return np.array([sum(1 << b for b in c) for k in range(reach + 1) for c in combinations(range(16), k)], np.uint64)
+
+
+def variants(place: np.ndarray, own: np.ndarray, reach: int, most: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys of the variants and the fingerprint of each, in parts of some ``most`` that share no key.
+
+    place: the number of a half, above 16 bits that the variants' upper quarter has there; what
+    flips have led to it leaves the others to the lower quarter.
+    """
+    sixteen, low = np.uint64(16), np.uint64(0xFFFF)
+    masks = [_flips(k) for k in range(reach + 1)]
+    order = np.argsort(place, kind="stable")
+    place, own = place[order], own[order]
+    part = place >> sixteen
+    half = own >> (part << np.uint64(5)) & np.uint64(0xFFFFFFFF)
+    left = reach - np.bitwise_count(half >> sixteen ^ place & low).astype(np.int64)
+    base = (half & low | (place & low) << sixteen) + ((part + np.uint64(1)) << np.uint64(32))
+    n = np.array([len(m) for m in masks])[left]
+    opens = np.flatnonzero(np.append(True, place[1:] != place[:-1])[: len(place)])
+    size = np.add.reduceat(n, opens) if len(opens) else opens
+    ends, begin = np.append(opens[1:], len(place)), 0
+    while begin < len(opens):
+        end, made = begin + 1, int(size[begin])
+        while end < len(opens) and made + size[end] <= most:
+            made, end = made + int(size[end]), end + 1
+        rows = np.arange(opens[begin], ends[end - 1])
+        turns, step = -(-made // most), max(1, most // len(masks[-1]))  # a place of more is made again in each turn, which keeps a part of the keys
+        for turn in range(turns):
+            out = []
+            for i in range(0, len(rows), step):
+                for k, flips in enumerate(masks):
+                    at = rows[i : i + step]
+                    at = at[left[at] == k]
+                    keys, of = mix64((base[at][:, None] ^ flips).ravel()), np.repeat(own[at], len(flips))
+                    here = keys % np.uint64(turns) == turn if turns > 1 else slice(None)
+                    out.append((keys[here], of[here]))
+            yield tuple(np.concatenate(x) for x in zip(*out))
+        begin = end
+
+
 def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, waves: int = WAVES) -> tuple[DataFrame, DataFrame]:
     """u, v: pairs of fingerprints (``fp``, distinct) within ``radius`` bits that meet on variants of a half, each once; of many that meet, each with a first one. What is left of these sets, for ``rest``.
 
     One of two halves has at most half of the differences; its two versions meet on a value at half
-    their distance. Variants are shuffled in waves, so that only a part of them is on disk at once.
+    their distance. Variants of one upper quarter go to one task, so that a fingerprint is shuffled
+    once for all of them, and the task flips the lower quarter. That is done in waves, so that only a
+    part of the rows is on disk at once.
     """
     shards = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    masks = np.array([sum(1 << b for b in c) for k in range((radius // 2 + 1) // 2 + 1) for c in combinations(range(32), k)], np.uint64)
+    reach = (radius // 2 + 1) // 2
 
     def emit(wave: int):
         def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            found, n = [], 0
+            found, n, masks = [], 0, _flips(reach)
+            mixed = mix64(np.arange(1, (2 << 16) + 1, dtype=np.uint64))
             for b in slices(batches, 1024):
                 own = b.column(0).to_numpy().view(np.uint64)
                 for part in (0, 1):
-                    half = own >> np.uint64(32) if part else own & np.uint64(0xFFFFFFFF)
-                    keys = mix64((half[:, None] ^ masks).ravel() + np.uint64((part + 1) << 32))
-                    at = np.flatnonzero((keys & np.uint64(waves - 1)) == wave)
-                    found.append((keys[at], own[at // len(masks)]))
+                    place = ((own >> np.uint64(32 * part + 16) & np.uint64(0xFFFF))[:, None] ^ masks).ravel() + np.uint64(part << 16)
+                    deal = mixed[place]
+                    at = np.flatnonzero(deal % np.uint64(waves) == wave)
+                    found.append((deal[at] & ~np.uint64(0xFFFFFFFF) | place[at], own[at // len(masks)]))
                     n += len(at)
                     if n >= FLUSH:
                         yield packed(found, shards, ["shard", "keys"], [])
@@ -261,10 +306,15 @@ def colliding(fps: DataFrame, scratch: Scratch, radius: int, most: int = 8, wave
 
         return work
 
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        place, own, _ = unpacked(batches, False)
+        for keys, of in variants(place & np.uint64(0xFFFFFFFF), own, reach, MADE):
+            yield keys, of, of
+
     # dealt by a hash of its own: by fp itself it would be the grouping's exchange, which is coalesced to a few tasks for its few bytes
     spread, out = fps.select("fp").repartition(shards, F.xxhash64("fp")), []
     for wave in range(waves):
-        met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False, own=paired_at(radius, shards)))
+        met = scratch.put(meetings(spread.mapInArrow(emit(wave), "shard int, keys binary"), shards, most, radius, hashes=False, middle=False, own=paired_at(radius), read=read))
         out.append(met)
     met = scratch.put(reduce(DataFrame.unionByName, out))
     for wave in out:
@@ -326,12 +376,13 @@ def similar_duplicates(df: DataFrame, text: str = "text", key: str = "doc_id", s
 
     large = not sets.isEmpty()
     for step in ("met", "nearest", "rest") if large else ("met",):
-        labelled = nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label"))
+        labelled = scratch.put(nodes.join(found, "node", "left").select("fp", "node", F.coalesce("component", "node").alias("label")))  # read several times
         if step == "met":
             wanted = pairs.unionByName(shared)
         else:
-            wanted = rest(sets, labelled.select(F.col("fp").alias("one"), "label").distinct(), radius, paired_at(radius, int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))), step == "nearest")
+            wanted = rest(sets, labelled.select(F.col("fp").alias("one"), "label").distinct(), radius, paired_at(radius), step == "nearest")
         left = scratch.put(crossing(wanted, labelled).join(tried, ["u", "v"], "left_anti"))
+        scratch.drop(labelled)
         if not left.isEmpty():
             found, tried = joined(found, verified(left), scratch), tried.unionByName(left)
     rooted = scratch.put(nodes.join(found, "node", "left").select("node", "low", "n", F.coalesce("component", "node").alias("root")))
