@@ -501,6 +501,35 @@ def test_distances_side_by_side():
     assert lines._side_by_side(x, y, np.array(m)).tolist() == [lines.within(*p) for p in open_]
 
 
+def test_letters_rule_out_far_pairs(monkeypatch):
+    """The bound by letters is never above the edit distance, and most pairs that are too far apart aren't aligned."""
+    rng = random.Random(11)
+    words = ["".join(rng.choice("abcdefghijklmnoprstuäж字") for _ in range(rng.randint(1, 8))) for _ in range(200)]
+
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            last, row[0] = row[0], i
+            for j, y in enumerate(b, 1):
+                last, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, last + (x != y))
+        return row[-1]
+
+    a, b = ["", "a", ""], ["", "", "bc"]
+    for _ in range(700):  # more than are counted at once
+        x = [rng.choice(words) for _ in range(rng.randint(1, 9))]
+        y = [rng.choice(words) if rng.random() < rng.choice((0.1, 0.6)) else w for w in x]
+        a.append(" ".join(x))
+        b.append(" ".join(y)[rng.randint(0, 2) :])
+    true = [distance(x, y) for x, y in zip(a, b)]
+    most = [int(0.2 * max(len(x), len(y)) + 1e-9) for x, y in zip(a, b)]
+    assert len(a) > lines.COUNTED and all(k <= d for k, d in zip(lines.at_least(a, b).tolist(), true))
+    tried, plain = [], lines._plain
+    monkeypatch.setattr(lines, "_plain", lambda *p: tried.append(p) or plain(*p))
+    assert lines.all_within(a, b, most).tolist() == [d <= m for d, m in zip(true, most)]
+    near = sum(d <= m for d, m in zip(true, most))
+    assert near > 100 and len(tried) - near < (len(a) - near) / 2
+
+
 def test_hash_blocks():
     """Hashes within the radius share a block's key, others as a rule don't."""
     rng = np.random.default_rng(3)

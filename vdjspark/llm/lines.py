@@ -49,6 +49,7 @@ NEAR = 9  # most bits in which the lower halves of the SimHashes differ
 CHUNK = 1 << 19
 FLUSH = 1 << 19  # keys that a task gathers before it packs them
 TOGETHER = 4096  # pairs whose distances are asked together
+COUNTED = 512  # pairs whose letters are counted at once
 PART = 4096  # lines of a large set that a task compares with as many others
 FEW, TABLE = 32, 1 << 18  # least pairs whose distances are worked out side by side; words of each letter's places then, at 64 letters a fourth of the most
 PLACES = 1 << 27  # bits of the map that tells which lines are wanted
@@ -323,10 +324,34 @@ def _plain(a: str, b: str, most: int) -> tuple[bool | None, str, str]:
     return (True if _by_words(a.split(" "), b.split(" "), most) else None), a, b
 
 
+def at_least(a: list[str], b: list[str]) -> np.ndarray:
+    """For each pair a distance that the edit distance isn't below, by how often letters and pairs of neighbours occur.
+
+    An edit takes one letter away and brings one at most, and two neighbours of each; letters that share a counter only make the bound lower.
+    """
+    out = np.zeros(len(a), np.int64)
+    for i in range(0, len(a), COUNTED):
+        some = [x[i : i + COUNTED] for x in (a, b)]
+        n = len(some[0])
+        counts, pairs = np.zeros((2, n * 64), np.int32), np.zeros((2, n * 256), np.int32)
+        for k, texts in enumerate(some):
+            codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4")
+            of = np.repeat(np.arange(n, dtype=np.int32), [len(x) for x in texts])
+            counts[k] = np.bincount((of << 6) + (codes & 63).astype(np.int32), minlength=n * 64)
+            inner = of[1:] == of[:-1]
+            pairs[k] = np.bincount(((of[1:] << 8) + ((codes[:-1] * 37 + codes[1:]) & 255).astype(np.int32))[inner], minlength=n * 256)
+        more = (counts[0] - counts[1]).reshape(n, 64)
+        apart = np.abs((pairs[0] - pairs[1]).reshape(n, 256)).sum(1)
+        out[i : i + n] = np.maximum(np.maximum(more, 0).sum(1), np.maximum(-more, 0).sum(1))
+        np.maximum(out[i : i + n], -(-apart // 4), out=out[i : i + n])
+    return out
+
+
 def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
-    """``within`` of many pairs: those that aren't plain side by side, in groups of like length."""
+    """``within`` of many pairs: those that their letters leave possible and that aren't plain side by side, in groups of like length."""
     out, open_ = np.zeros(len(a), bool), []
-    for i, (x, y, m) in enumerate(zip(a, b, most)):
+    for i in np.flatnonzero(at_least(a, b) <= np.array(most, np.int64)).tolist():
+        x, y, m = a[i], b[i], most[i]
         known, x, y = _plain(x, y, m)
         if known is None:
             open_.append((max(len(x), len(y)), i, x, y, m))
