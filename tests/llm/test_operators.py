@@ -656,6 +656,37 @@ def test_vectors(spark):
         assert sorted(exact[q]) == [(k + 1, i, score[i]) for k, i in enumerate(best)]
 
 
+def test_few_vectors_are_verified(monkeypatch):
+    """Windows' counts are those of each row and line; near rows are found among few verified ones."""
+    rng = np.random.default_rng(4)
+    x, q = rng.normal(0, 1, (700, 16)), rng.normal(0, 1, (9, 16))
+    index = ann.Pages(x, 21, 700, 3)
+    at = index.project(q)
+    scaled = x / np.abs(x).max()
+    size = (scaled**2).sum(1)
+    px = scaled @ index.a[:-1] + np.sqrt(size.max() - size)[:, None] * index.a[-1]
+    w = index.length * rng.uniform(0.5, 2, 9)
+    for threshold in (1, 12, 13, 21):
+        want = (np.abs(px[None] - at.T[:, None]) <= w[:, None, None]).sum(2) >= threshold
+        got = np.unpackbits(index.passing(at, w, threshold).view(np.uint8), axis=1, bitorder="little")
+        assert (got[:, :700] == want).all() and not got[:, 700:].any()
+    x = rng.normal(0, 1, (6000, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    collide, verified = ann.collide, []
+
+    def counted(*args):
+        for rows in collide(*args):
+            verified.append(len(rows))
+            yield rows
+
+    monkeypatch.setattr(ann, "collide", counted)
+    found = ann.nearest_in_block(20)(np.arange(6000), x, np.arange(100), x[:100]).groupby("query_id")["vec_id"].agg(set)
+    score = x[:100] @ x.T
+    score[np.arange(100), np.arange(100)] = -9
+    hits = sum(len(found[i] & set(np.argsort(-s)[:20].tolist())) for i, s in enumerate(score))
+    assert hits >= 0.95 * 2000 and np.mean(verified) < 0.2 * 6000
+
+
 def test_vectors_of_any_size(spark):
     """No finite vector is left out, however large, and the search ends."""
     values = [(1, [1.0, 0.0]), (50, [2.0, 0.0]), (2, [300_000.0, 0.0]), (3, [-1e30, 1.0]), (100, [1e25, -3.5]), (4, [1e200, 1e200]), (5, [0.25, 8.0]), (5, [0.25, 8.0])]
