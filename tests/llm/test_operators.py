@@ -10,6 +10,7 @@ from fractions import Fraction
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
@@ -656,6 +657,43 @@ def test_vectors(spark):
         assert sorted(exact[q]) == [(k + 1, i, score[i]) for k, i in enumerate(best)]
 
 
+def test_open_pairs_of_several_batches_meet(monkeypatch):
+    """Pairs that have to be aligned wait for others, and none is lost on the way."""
+    rng = random.Random(8)
+    pairs = []
+    for i in range(120):
+        a = "".join(rng.choice("abcdefgh") for _ in range(100))
+        b = "".join(rng.choice("abcdefgh") if rng.random() < 0.25 else c for c in a)
+        pairs.append((i, -i, a, b, 20))
+    want = {p[0] for p in pairs if lines.within(*p[2:])}
+    within, alone = lines.within, []
+    monkeypatch.setattr(lines, "within", lambda *p: alone.append(p) or within(*p))
+    batch = lambda some: pa.RecordBatch.from_arrays([pa.array(x) for x in zip(*some)], ["u", "v", "a", "b", "most"])
+    got = pa.Table.from_batches(lines._linked(batch(pairs[i : i + 10]) for i in range(0, 120, 10))).to_pylist()
+    assert sorted(r["u"] for r in got) == sorted(want) and all(r["v"] == -r["u"] for r in got) and 10 < len(want) < 110
+    assert not alone  # in batches of ten, each pair was aligned by itself
+    monkeypatch.setattr(lines, "TOGETHER", 4)
+    assert {r["u"] for r in pa.Table.from_batches(lines._linked(iter([batch(pairs)]))).to_pylist()} == want
+
+
+def test_lines_go_from_bytes():
+    """Removing lines from a batch's bytes is removing them from its texts; letters hash alike, whatever else is in the chunk."""
+    rng = random.Random(3)
+    for _ in range(300):
+        texts = [None if rng.random() < 0.1 else "".join(rng.choice("ab é\n\n東") for _ in range(rng.choice([0, 1, 2, 20]))) for _ in range(rng.randint(0, 6))]
+        gone = [None if t is None or rng.random() < 0.3 else rng.sample(range(t.count("\n") + 1), rng.randint(0, t.count("\n") + 1)) for t in texts]
+        some = pa.array(["x\ny", *texts, "z"]).slice(1, len(texts)), pa.array([[1], *gone, None], pa.list_(pa.int32())).slice(1, len(texts))
+        got = [x.to_pylist() for x in lines.without(*some)]
+        split = [[] if t is None else t.split("\n") for t in texts]
+        assert got[0] == [t if not g else "\n".join(x for i, x in enumerate(s) if i not in g) for t, g, s in zip(texts, gone, split)]
+        assert got[1:] == [[len(s) for s in split], [len(g or ()) for g in gone]]
+    text = "Zwei µ²-Wörter, ÀÉ\x85x\n\n" + BASE + "\n--\nend"
+    one, two = lines._hashes([text]), lines._hashes([text, "東京"])
+    n = len(one[0])
+    assert all((x == y[:n]).all() for x, y in zip(one[:5], two[:5])) and (one[5] == two[5][: len(one[5])]).all()
+    assert [bytes(one[5][i:j].astype(np.uint8)).decode("latin-1")[1:] for i, j in zip(one[6], [*one[6][1:], len(one[5])])] == [x for x in map(lines.normalise, text.split("\n")) if x]
+
+
 def test_few_vectors_are_verified(monkeypatch):
     """Windows' counts are those of each row and line; near rows are found among few verified ones."""
     rng = np.random.default_rng(4)

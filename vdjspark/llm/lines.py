@@ -34,6 +34,7 @@ from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, Window, functions as F, types as T
 
@@ -72,9 +73,19 @@ class _Letters(dict):
 _letters = _Letters()
 
 
+@lru_cache(maxsize=1)
+def _blanked() -> bytes:
+    """The first 256 code points, those that aren't letters, marks or digits as blanks."""
+    return bytes(i if x else 32 for i, x in enumerate(_inner()[:256]))
+
+
 def normalise(line: str) -> str:
     """Words of lower-case letters, marks and digits, one blank between them."""
-    return " ".join(line.lower().translate(_letters).split())
+    line = line.lower()
+    try:
+        return b" ".join(line.encode("latin-1").translate(_blanked()).split()).decode("latin-1")
+    except UnicodeEncodeError:
+        return " ".join(line.translate(_letters).split())
 
 
 def _mix32(h: np.ndarray) -> np.ndarray:
@@ -177,22 +188,46 @@ def line_hashes(texts: list[str]) -> tuple[np.ndarray, ...]:
     return _hashes(texts)[:5]
 
 
+@lru_cache(maxsize=1)
+def _inner_bytes() -> bytes:
+    return _inner()[:256].tobytes()
+
+
+def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """What ``codes_of`` returns, codes of texts that have none above 255 as bytes, and which codes are letters, marks or digits."""
+    joined = "\n".join(texts) + "\n" if texts else ""
+    try:
+        raw = joined.encode("latin-1")
+    except UnicodeEncodeError:
+        codes, offsets = codes_of(texts)
+        table = _inner()
+        return codes, offsets, table[np.minimum(codes, len(table) - 1)] & (codes < len(table))
+    offsets = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
+    return np.frombuffer(raw, np.uint8), np.append(0, offsets), np.frombuffer(bytearray(raw.translate(_inner_bytes())), bool)
+
+
 def _hashes(texts: list[str]) -> tuple[np.ndarray, ...]:
     """What ``line_hashes`` returns, the normalised lines' codes with a blank before every word and where lines begin there, their words' hashes and where lines begin there."""
-    codes, offsets = codes_of([t.lower() for t in texts])
-    table = _inner()
-    inner = table[np.minimum(codes, len(table) - 1)] & (codes < len(table))
+    codes, offsets, inner = _codes([t.lower() for t in texts])
     head = inner.copy()
     head[1:] &= ~inner[:-1]
     starts = np.flatnonzero(head)
     if not len(starts):
         return tuple(np.zeros(0, k) for k in (np.int64, np.int32, np.uint64, np.uint64, np.uint64, np.uint32, np.int64, np.uint64, np.int64))
-    letters, first = codes[inner].astype(np.uint64), np.flatnonzero(head[inner])
-    spaced, begins = np.insert(codes[inner].astype(np.uint32), first, np.uint32(32)), first + np.arange(len(first))
-    size = np.diff(np.append(first, len(letters)))
-    place = np.arange(len(letters)) - np.repeat(first, size)
-    letters *= odd(int(size.max()), 0x9E3779B97F4A7C15)[place]
-    words = mix64(np.add.reduceat(letters, first))
+    # each word with what is before it, which becomes the blank; the last code is a line end, so all words end
+    whole = inner.copy()
+    whole[:-1] |= head[1:]
+    spaced = codes[whole] if not head[0] else np.concatenate([codes[:1], codes[whole]])
+    inner[:-1] &= ~inner[1:]
+    size = np.flatnonzero(inner) + 2 - starts
+    begins = np.cumsum(size) - size
+    spaced[begins] = 32
+    place = np.ones(len(spaced), np.int32)
+    place[begins[1:]] -= size[:-1].astype(np.int32)
+    place[0] = 0
+    letters = np.append(np.uint64(0), odd(int(size.max()) - 1, 0x9E3779B97F4A7C15))[np.cumsum(place)]
+    letters *= spaced
+    words = mix64(np.add.reduceat(letters, begins))
     breaks = np.flatnonzero(codes == 10)
     line = np.searchsorted(breaks, starts)
     new = np.concatenate([[True], line[1:] != line[:-1]])
@@ -262,8 +297,8 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         marks = shared.value
         for b in slices(batches):
-            texts, rows = b.column(1).to_pylist(), b.column(0).to_numpy()
-            n = np.array([t.count("\n") + 1 for t in texts], np.int64)
+            texts, rows = b.column(1), b.column(0).to_numpy()
+            n = pc.count_substring(texts, "\n").to_numpy(zero_copy_only=False).astype(np.int64) + 1
             doc = np.repeat(np.arange(len(texts)), n)
             line = np.arange(len(doc)) - np.repeat(np.cumsum(n) - n, n)
             place = ((rows[doc] & (PLACES - 1)) + line * 2654435) & (PLACES - 1)
@@ -271,7 +306,7 @@ def _texts(docs: DataFrame, wanted: DataFrame) -> DataFrame:
             out, last, lines = [], -1, []
             for d, k in zip(doc[hit].tolist(), line[hit].tolist()):
                 if d != last:
-                    last, lines = d, texts[d].split("\n")
+                    last, lines = d, texts[d].as_py().split("\n")
                 out.append(normalise(lines[k]))
             yield pa.RecordBatch.from_arrays([pa.array(rows[doc[hit]]), pa.array(line[hit].astype(np.int32)), pa.array(out, pa.string())], ["row", "line_no", "line"])
 
@@ -347,8 +382,8 @@ def at_least(a: list[str], b: list[str]) -> np.ndarray:
     return out
 
 
-def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
-    """``within`` of many pairs: those that their letters leave possible and that aren't plain side by side, in groups of like length."""
+def screened(a: list[str], b: list[str], most: list[int]) -> tuple[np.ndarray, list[tuple]]:
+    """``within`` of the pairs for which letters or words tell, and for each other its longer length, place, texts without their common ends, most."""
     out, open_ = np.zeros(len(a), bool), []
     for i in np.flatnonzero(at_least(a, b) <= np.array(most, np.int64)).tolist():
         x, y, m = a[i], b[i], most[i]
@@ -357,7 +392,13 @@ def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
             open_.append((max(len(x), len(y)), i, x, y, m))
         else:
             out[i] = known
+    return out, open_
+
+
+def aligned(open_: list[tuple]) -> list[int]:
+    """Places of the pairs within their distance, worked out side by side in groups of like length; takes all pairs out of the list."""
     open_.sort(key=lambda p: p[:2])
+    out: list[int] = []
     while open_:
         longest, n = open_[-1][0], 1
         room = TABLE // (longest // 64 + 2) // 64
@@ -365,11 +406,15 @@ def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
             n += 1
         part = open_[-n:]
         del open_[-n:]
-        at = [p[1] for p in part]
-        if n < FEW:
-            out[at] = [within(*p[2:]) for p in part]
-        else:
-            out[at] = _side_by_side([p[2] for p in part], [p[3] for p in part], np.array([p[4] for p in part]))
+        near = [within(*p[2:]) for p in part] if n < FEW else _side_by_side([p[2] for p in part], [p[3] for p in part], np.array([p[4] for p in part])).tolist()
+        out += [p[1] for p, x in zip(part, near) if x]
+    return out
+
+
+def all_within(a: list[str], b: list[str], most: list[int]) -> np.ndarray:
+    """``within`` of many pairs."""
+    out, open_ = screened(a, b, most)
+    out[aligned(open_)] = True
     return out
 
 
@@ -479,9 +524,24 @@ def _alike(a: str, b: str) -> int:
 
 
 def _linked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """u, v of the pairs (u, v, a, b, most) within their distance."""
+    """u, v of the pairs (u, v, a, b, most) within their distance; pairs that have to be aligned wait until they are many."""
+    wait, ends = [], []
+
+    def verified() -> pa.RecordBatch:
+        found = [ends[i] for i in aligned(wait)]
+        ends.clear()
+        return pa.RecordBatch.from_arrays([pa.array([x[k] for x in found], pa.int64()) for k in (0, 1)], ["u", "v"])
+
     for b in slices(batches, TOGETHER):
-        yield b.select([0, 1]).filter(pa.array(all_within(*(b.column(k).to_pylist() for k in (2, 3, 4)))))
+        known, open_ = screened(*(b.column(k).to_pylist() for k in (2, 3, 4)))
+        yield b.select([0, 1]).filter(pa.array(known))
+        for longest, i, *rest in open_:
+            wait.append((longest, len(ends), *rest))
+            ends.append((b.column(0)[i].as_py(), b.column(1)[i].as_py()))
+        if len(wait) >= TOGETHER:
+            yield verified()
+    if wait:
+        yield verified()
 
 
 def links_left(sets: DataFrame, nodes: DataFrame, texts: DataFrame, similarity: float) -> DataFrame:
@@ -546,7 +606,9 @@ def fuzzy_groups(lines: DataFrame, blobs: DataFrame, docs: DataFrame, scratch: S
     met = scratch.put(meetings(blobs, shards, most, NEAR, hashes=True, middle=True))
     pairs, sets = scratch.put(pairs_of(met).distinct()), sets_of(met)
     ends = pairs.select(F.col("u").alias("k1")).unionByName(pairs.select(F.col("v").alias("k1"))).unionByName(members(sets).select(F.col("one").alias("k1"))).distinct()
-    texts = scratch.put(_texts(docs, lines.join(ends, "k1").dropDuplicates(["k1"])))
+    wanted = scratch.put(lines.join(ends, "k1").dropDuplicates(["k1"]))
+    texts = scratch.put(_texts(docs, wanted))
+    scratch.drop(wanted)
     both = pairs.join(texts.select(F.col("k1").alias("u"), F.col("line").alias("a")), "u").join(texts.select(F.col("k1").alias("v"), F.col("line").alias("b")), "v")
     both = both.withColumn("most", F.floor((1 - similarity) * F.greatest(F.length("a"), F.length("b")) + 1e-9).cast("int"))
     links = scratch.put(both.where(F.abs(F.length("a") - F.length("b")) <= F.col("most")).select("u", "v", "a", "b", "most").mapInArrow(_linked, "u long, v long"))
@@ -576,6 +638,38 @@ def removed_lines(docs: DataFrame, scratch: Scratch, bits: int = BITS, blocks: i
     return skewed_join(seen, by_key, ["k1", "k2"], "n", n_seen).where(~place.eqNullSafe(F.col("kept"))).select("row", "line_no")
 
 
+def without(texts: pa.Array, gone: pa.Array) -> tuple[pa.Array, pa.Array, pa.Array]:
+    """The texts less the lines whose numbers ``gone`` lists, how many lines they had and how many went; all on the texts' bytes."""
+    texts = texts.cast(pa.string())
+    count = pc.fill_null(pc.add(pc.count_substring(texts, "\n"), 1), 0).cast(pa.int32())
+    size = pc.fill_null(pc.list_value_length(gone), 0).cast(pa.int32())
+    at = np.flatnonzero((size.to_numpy() > 0) & (count.to_numpy() > 0))
+    if not len(at):
+        return texts, count, size
+    some, lists = texts.take(pa.array(at)), gone.take(pa.array(at))
+    opens = np.frombuffer(some.buffers()[1], np.int32, len(at) + 1, 4 * some.offset).astype(np.int64)
+    raw = np.frombuffer(some.buffers()[2], np.uint8, int(opens[-1] - opens[0]), int(opens[0])) if opens[-1] > opens[0] else np.zeros(0, np.uint8)
+    opens -= opens[0]
+    n = count.to_numpy()[at].astype(np.int64)
+    last = np.cumsum(n) - 1  # each text's last line, of all lines
+    inner = np.ones(int(n.sum()), bool)
+    inner[last] = False
+    after = np.empty(len(inner), np.int64)  # the byte after a line and its end; a text's last line has no end
+    after[last], after[inner] = opens[1:], np.flatnonzero(raw == 10) + 1
+    stays = np.ones(len(inner), bool)
+    of, line = np.repeat(np.arange(len(at)), size.to_numpy()[at]), lists.flatten().to_numpy()
+    stays[((last - n + 1)[of] + line)[line < n[of]]] = False
+    kept = np.repeat(stays, np.diff(after, prepend=0))
+    left = np.flatnonzero(stays)
+    final = left[np.diff(np.searchsorted(last, left), append=len(last)) > 0]  # the last line that stays of each text
+    kept[after[final[inner[final]]] - 1] = False  # the end of one that lines followed
+    ends = np.append(0, np.cumsum(kept))[opens].astype(np.int32)
+    short = pa.StringArray.from_buffers(len(at), pa.py_buffer(ends), pa.py_buffer(raw[kept].tobytes()))
+    where = np.arange(len(texts))
+    where[at] = len(texts) + np.arange(len(at))
+    return pa.concat_arrays([texts, short]).take(pa.array(where)), count, size
+
+
 def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", bits: int = BITS, blocks: int = BLOCKS, similarity: float = SIMILARITY, most: int = MOST) -> DataFrame:
     """The rows of ``df`` with ``text`` reduced to the lines that stay, and ``n_lines``, ``n_removed`` added."""
     free_of(df, "n_lines", "n_removed", "_row", "_gone", "_text")
@@ -584,22 +678,14 @@ def dedup_lines(df: DataFrame, text: str = "text", key: str = "doc_id", bits: in
     docs = df.select(row.alias("row"), F.col(key).alias("doc_id"), F.col(text).alias("text"))
     gone = scratch.put(removed_lines(docs, scratch, bits, blocks, similarity, most).distinct().groupBy("row").agg(F.collect_list("line_no").alias("_gone")))
     scratch.only(gone)
-    joined = df.withColumn("_row", row).join(gone.withColumnRenamed("row", "_row"), "_row", "left")
+    joined = df.withColumn("_row", row).join(gone.withColumnRenamed("row", "_row").hint("shuffle_hash"), "_row", "left")  # texts aren't sorted
     rest = [c for c in df.columns if c != text]
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in slices(batches):
-            texts, n, dropped = [], [], []
-            for t, gone in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
-                lines = [] if t is None else t.split("\n")
-                if gone:
-                    out = set(gone)
-                    t = "\n".join(x for i, x in enumerate(lines) if i not in out)
-                texts.append(t)
-                n.append(len(lines))
-                dropped.append(len(gone or ()))
-            by = dict(zip(b.schema.names[2:], b.columns[2:])) | {text: pa.array(texts, pa.string())}
-            yield pa.RecordBatch.from_arrays([*(by[c] for c in df_columns), pa.array(n, pa.int32()), pa.array(dropped, pa.int32())], [*df_columns, "n_lines", "n_removed"])
+            texts, n, dropped = without(b.column(0), b.column(1))
+            by = dict(zip(b.schema.names[2:], b.columns[2:])) | {text: texts}
+            yield pa.RecordBatch.from_arrays([*(by[c] for c in df_columns), n, dropped], [*df_columns, "n_lines", "n_removed"])
 
     df_columns = df.columns
     schema = T.StructType([*df.schema.fields, T.StructField("n_lines", T.IntegerType()), T.StructField("n_removed", T.IntegerType())])
