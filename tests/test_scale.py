@@ -70,3 +70,22 @@ def test_umi_of_a_large_barcode(spark):
     df = spark.createDataFrame([("ACGT", s, n) for s, n in {s: n for s, n in sorted(seen)}.items()], UNIQUE)
     got = umi.merge_pairs(df)
     assert got.where("n_to >= 1000").count() == got.count() >= 4_900
+
+
+def test_rejects_in_one_pass(spark):
+    """Reads judged keep their number, ids of rejected sequences come once, and the reads stay where they are."""
+    judged = spark.createDataFrame([("a", "AC", "SHORT"), ("a", "AC", "SHORT"), ("b", "AC", None), ("b", "AC", None), ("b", "GG", None), ("c", "TT", None)], "id string, seq string, reject string")
+    analysed = spark.createDataFrame([("AC", "LATE"), ("GG", "LATE"), ("TT", None)], "seq string, reject string")
+    out = sinks.rejected_reads(judged, analysed)
+    assert sorted(tuple(r) for r in out.collect()) == [("a", "SHORT"), ("a", "SHORT"), ("b", "LATE"), ("b", "LATE")]
+    assert "SortMergeJoin" not in plan(out)
+
+
+def test_read_table_sends_rows_to_reads(spark):
+    columns = "seq string, v_ids array<int>, j_ids array<int>, cdr_begin int, cdr_end int, v_err_pos array<int>, v_outer_len int, j_err_pos array<int>, j_outer_len int, cdr3_nt string, cdr3_aa string, reject string"
+    analysed = spark.createDataFrame([("AC", [1], [2], 3, 9, [-1], 5, None, None, "TGT", "C", None), ("GG", [1], [2], 3, 9, [], 5, [], 1, "TGT", "C", "LATE")], columns)
+    segments = spark.createDataFrame([(1, "V", "1", "01"), (2, "J", "2", "01")], "seg_idx int, seg_type string, seg_id string, allele string")
+    ids = spark.createDataFrame([("AC", "x"), ("AC", "x"), ("AC", "y"), ("GG", "z")], "seq string, id string")
+    out = sinks.read_table(analysed, ids, segments)
+    assert sorted((r["SEQ_ID"], r["V_MATCHES"], r["V_ERRPOS"], r["J_ERRPOS"]) for r in out.collect()) == [("x", "V1*01", "-1", None), ("y", "V1*01", "-1", None)]
+    assert "SortMergeJoin" not in plan(out)

@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, functions as F
+
+FEW = 32_768  # rows
 
 
 def checkpoint(df: DataFrame) -> DataFrame:
@@ -16,3 +18,8 @@ def checkpoint(df: DataFrame) -> DataFrame:
             raise ValueError("spark.checkpoint.dir has to name a folder that all executors share")
         spark.sparkContext.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint()
+
+
+def handed_out(df: DataFrame) -> DataFrame:
+    """A checkpoint's rows, marked to be sent to all tasks if they are few: so the many rows that meet them stay where they are."""
+    return F.broadcast(df) if df.limit(FEW + 1).count() <= FEW else df
