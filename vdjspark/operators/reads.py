@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from ..functions import sequences as S
 from ..options import Options
 
+PLACES = 16  # of an array, summed in one row
+
 
 def split_barcode(reads: DataFrame, n: int, side: str = "seq") -> DataFrame:
     """Moves the first ``n`` bases and qualities of a read to ``bc_seq``, ``bc_qual``; ``bc_short`` marks reads that have none."""
@@ -59,10 +61,17 @@ def quality_control(reads: DataFrame, opts: Options) -> DataFrame:
     return judged
 
 
+def _settled(df: DataFrame, before: DataFrame) -> DataFrame:
+    """``df`` with all that isn't named as in ``before``, and its reads, as rows of a generator: each is worked out once, however often later steps ask."""
+    new = [c for c in df.columns if c not in before.columns or c in ("seq", "qual", "fw_seq", "fw_qual")]
+    return df.select(*[c for c in df.columns if c not in new], F.inline(F.array(F.struct(*new))))
+
+
 def prepare(reads: DataFrame, opts: Options) -> DataFrame:
     """Barcode split, truncation, quality control, orientation, in that order."""
     side = "fw_seq" if "fw_seq" in reads.columns and not opts.barcode_in_vdj else "seq"
-    return oriented(quality_control(truncated(split_barcode(reads, opts.barcode_length, side), opts.truncate), opts), opts.reverse)
+    cut = _settled(truncated(split_barcode(reads, opts.barcode_length, side), opts.truncate), reads)
+    return oriented(_settled(quality_control(cut, opts), cut), opts.reverse)
 
 
 def input_stats(judged: DataFrame) -> DataFrame:
@@ -86,16 +95,26 @@ def unique_reads(judged: DataFrame) -> DataFrame:
     return read_ids(judged).groupBy(*_key(judged)).agg(F.count("*").alias("n_reads"))
 
 
-def mean_qualities(judged: DataFrame, qual: str = "qual") -> DataFrame:
-    """Key, n_reads and the mean quality at each position (``avg_qual``).
+def _place_means(rows: DataFrame, key: list[str], values: str, weight: Column) -> DataFrame:
+    """Key, the sum of the weights (``n``), and the weighted mean at each place of an array (``m``).
 
-    Sums are kept by position, so no group's arrays come together in one place.
+    A row gives one row for each ``PLACES`` places, whose sums lie side by side, so no group's arrays come together in one place.
     """
+    size = F.coalesce(F.size(values), F.lit(0))
+    parts = rows.select(*key, values, weight.alias("_w"), size.alias("_size"), F.explode(F.sequence(F.lit(0), F.floor(F.greatest(size - 1, F.lit(0)) / PLACES).cast("int"))).alias("_part"))
+    at = [F.get(values, F.col("_part") * PLACES + i) for i in range(PLACES)]
+    sums = [F.sum(x * F.col("_w")).alias(f"_s{i}") for i, x in enumerate(at)] + [F.sum(F.when(x.isNotNull(), F.col("_w"))).alias(f"_n{i}") for i, x in enumerate(at)]
+    means = parts.groupBy(*key, "_part").agg(F.sum("_w").alias("n"), F.max("_size").alias("_size"), *sums)
+    means = means.select(*key, "n", "_size", "_part", F.array(*[F.col(f"_s{i}") / F.col(f"_n{i}") for i in range(PLACES)]).alias("m"))
+    whole = F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_part", "m"))), lambda x: x["m"]))
+    return means.groupBy(*key).agg(F.max(F.when(F.col("_part") == 0, F.col("n"))).alias("n"), F.slice(whole, F.lit(1), F.max("_size")).alias("m"))
+
+
+def mean_qualities(judged: DataFrame, qual: str = "qual") -> DataFrame:
+    """Key, n_reads and the mean quality at each position (``avg_qual``); an id counts once for a key."""
     key = _key(judged)
-    rows = judged.where("reject is null").groupBy(*key, "id").agg(F.min(qual).alias("q")).select(*key, F.posexplode_outer("q").alias("pos", "q"))
-    means = rows.groupBy(*key, "pos").agg(F.avg("q").alias("m"), F.count("*").alias("n"))
-    by_place = F.array_sort(F.collect_list(F.when(F.col("pos").isNotNull(), F.struct("pos", "m"))))
-    return means.groupBy(*key).agg(F.max("n").alias("n_reads"), by_place.alias("p")).select(*key, "n_reads", F.transform("p", lambda x: x["m"]).alias("avg_qual"))
+    rows = judged.where("reject is null").groupBy("id", *key).agg(F.min(qual).alias("q"))
+    return _place_means(rows, key, "q", F.lit(1)).select(*key, F.col("n").alias("n_reads"), F.col("m").alias("avg_qual"))
 
 
 def sequence_qualities(qualities: DataFrame, surviving: DataFrame) -> DataFrame:
@@ -104,10 +123,9 @@ def sequence_qualities(qualities: DataFrame, surviving: DataFrame) -> DataFrame:
     Only surviving reads have a say: what joined one of them adds to its weight, not to its qualities.
     """
     key = _key(surviving)
-    rows = surviving.select(*key, "n_reads").join(qualities.select(*key, "avg_qual"), key).drop("bc_seq").select("*", F.posexplode("avg_qual").alias("pos", "q"))
+    rows = surviving.select(*key, "n_reads").join(qualities.select(*key, "avg_qual"), key).where(F.size("avg_qual") > 0)
     key = [c for c in key if c != "bc_seq"]
-    means = rows.groupBy(*key, "pos").agg((F.sum(F.col("q") * F.col("n_reads")) / F.sum("n_reads")).alias("m"))
-    return means.groupBy(*key).agg(F.transform(F.array_sort(F.collect_list(F.struct("pos", "m"))), lambda x: x["m"]).alias("avg_qual"))
+    return _place_means(rows, key, "avg_qual", F.col("n_reads")).select(*key, F.col("m").alias("avg_qual"))
 
 
 def barcode_stats(unique: DataFrame) -> DataFrame:
