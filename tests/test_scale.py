@@ -28,6 +28,36 @@ def distance(a, b):
     return row[-1]
 
 
+def test_dealt_reads(spark):
+    """They are the rows that the SQL makes, for odd keys too, and no shuffle follows the one by id."""
+    keys = [(0, 1, 1), (17, 3, 2), (53, 29, 7), (97, 5, 1), (89, 5, 4), (143, 8, 3), (143, 8, 3), (11, 900, 6), (-11, 40, 2), (-53, -7, -4), (10**12 + 13, 999, 5), (None, 4, 1), (4, None, 2), (22, 3, None), (None, None, None)]
+    rows = spark.createDataFrame(keys, "l_orderkey long, l_suppkey long, l_linenumber int")
+    rows.createOrReplaceTempView("lineitem")
+    want = spark.sql(f"WITH {X.reads(False)} SELECT id, ok, ln, seq, qual FROM reads").collect()
+    dealt = X.dealt_reads(rows)
+    assert dealt.columns == ["id", "ok", "ln", "seq", "qual"]
+    assert sorted(map(repr, dealt.collect())) == sorted(map(repr, want))
+    ids = plan(R.read_ids(R.prepare(dealt, Q.OPTIONS)))
+    assert "lambdafunction(s + x" not in ids and ids.count("Exchange hashpartitioning") == 1
+
+
+def test_quality_is_summed_side_by_side(spark):
+    """Places are summed in rows of several, with empty, short, long and null arrays, and an id counts once."""
+    rng = random.Random(2)
+    rows = [("A", "ACGT" * 10, f"r{i % 7}", [rng.randint(0, 40) for _ in range(n)]) for i, n in enumerate([40] * 9 + [16, 17, 3])]
+    rows += [("C", "AC", "x", []), ("G", "AC", "x", None), ("T", "AC", "x", [5, None]), ("T", "AC", "y", [7, 9]), ("T", "AC", "z", [None, None])]
+    df = spark.createDataFrame([(*r, None) for r in rows], "bc_seq string, seq string, id string, qual array<int>, reject string")
+    got = {r["bc_seq"]: (r["n_reads"], r["avg_qual"]) for r in R.mean_qualities(df).collect()}
+    least = {}
+    for bc, _, i, q in rows:
+        if bc == "A":
+            least[i] = min(least.get(i, q), q)
+    places = [[q[k] for q in least.values() if len(q) > k] for k in range(max(map(len, least.values())))]
+    assert got["A"] == (len(least), [sum(p) / len(p) for p in places])
+    assert got["C"] == (1, []) and got["G"] == (1, []) and got["T"] == (3, [6.0, 9.0])
+    assert "posexplode" not in plan(R.mean_qualities(df))
+
+
 def test_umi_meets_slices(spark):
     """Slices of abundant reads give what all pairs give: edits of all kinds, near ones beyond the first slices, other letters."""
     rng = random.Random(6)
@@ -89,18 +119,3 @@ def test_read_table_sends_rows_to_reads(spark):
     out = sinks.read_table(analysed, ids, segments)
     assert sorted((r["SEQ_ID"], r["V_MATCHES"], r["V_ERRPOS"], r["J_ERRPOS"]) for r in out.collect()) == [("x", "V1*01", "-1", None), ("y", "V1*01", "-1", None)]
     assert "SortMergeJoin" not in plan(out)
-def test_quality_is_summed_side_by_side(spark):
-    """Places are summed in rows of several, with empty, short, long and null arrays, and an id counts once."""
-    rng = random.Random(2)
-    rows = [("A", "ACGT" * 10, f"r{i % 7}", [rng.randint(0, 40) for _ in range(n)]) for i, n in enumerate([40] * 9 + [16, 17, 3])]
-    rows += [("C", "AC", "x", []), ("G", "AC", "x", None), ("T", "AC", "x", [5, None]), ("T", "AC", "y", [7, 9]), ("T", "AC", "z", [None, None])]
-    df = spark.createDataFrame([(*r, None) for r in rows], "bc_seq string, seq string, id string, qual array<int>, reject string")
-    got = {r["bc_seq"]: (r["n_reads"], r["avg_qual"]) for r in R.mean_qualities(df).collect()}
-    least = {}
-    for bc, _, i, q in rows:
-        if bc == "A":
-            least[i] = min(least.get(i, q), q)
-    places = [[q[k] for q in least.values() if len(q) > k] for k in range(max(map(len, least.values())))]
-    assert got["A"] == (len(least), [sum(p) / len(p) for p in places])
-    assert got["C"] == (1, []) and got["G"] == (1, []) and got["T"] == (3, [6.0, 9.0])
-    assert "posexplode" not in plan(R.mean_qualities(df))

@@ -45,11 +45,12 @@ def mean(values: Column) -> Column:
 
 
 def average_below(qual: Column, t: float) -> Column:
-    return F.coalesce(mean(qual) < t, F.lit(False))
+    """Whether the mean is less than ``t``; that is asked of arrays that hold less than ``t`` only."""
+    return F.coalesce(any_below(qual, t) & (mean(qual) < t), F.lit(False))
 
 
 def any_below(qual: Column, t: float) -> Column:
-    return F.exists(qual, lambda q: q < t)
+    return F.array_min(qual) < t
 
 
 def mismatches(a: Column, b: Column) -> Column:

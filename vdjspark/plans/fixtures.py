@@ -7,6 +7,8 @@ barcode of 10. Some have a substitution, a barcode error, an N, low qualities, o
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, functions as F
+
 CODONS = "GCTCGTAATGATTGTCAAGAAGGTCATATTCTTAAAATGTTTCCTTCT"  # by hex digit, none a stop
 
 
@@ -36,19 +38,73 @@ def _flipped(s: str, p: str) -> str:
     return f"substr({s}, 1, {p} - 1) || translate(substr({s}, {p}, 1), 'ACGT', 'CGTA') || substr({s}, {p} + 1)"
 
 
+ROWS = 1 << 17  # of lineitem, whose reads one task makes
+BASE = ["l_orderkey AS ok", "CAST(l_linenumber AS BIGINT) AS ln", "least(l_orderkey % 50, l_suppkey % 30) AS cl"]
+ID = f"'r' || {text('ok')} || '_' || {text('ln')}"
+HASH = f"md5('c' || {text('cl')})"
+PLACES = ["CAST(1 + (13 * ln + ok) % 158 AS INT) AS p", "CAST(1 + ok % 10 AS INT) AS bp"]
+MARKED = [
+    f"CASE WHEN ok % 11 = 0 THEN {_flipped('s', 'p')} ELSE s END AS s",
+    f"CASE WHEN ok % 89 = 0 THEN 'N' || substr(b, 2) WHEN ok % 13 = 0 THEN {_flipped('b', 'bp')} ELSE b END AS b",
+]
+READ = "b || CASE WHEN ok % 97 = 0 THEN substr(s, 1, 60) ELSE s END AS seq"
+LONGEST = 168
+
+
+def _whole() -> str:
+    codons = " || ".join(f"substr('{CODONS}', CAST(3 * instr('0123456789abcdef', substr(h, {k}, 1)) - 2 AS INT), 3)" for k in range(1, 9))
+    return f"{_v('cl % 24')} || {codons} || {_j('cl % 8')}"
+
+
+def _barcode(k: str) -> str:
+    return f"substr({nt(f"'b' || {text(k)}")}, 1, 10)"
+
+
+def _quality(low: str, first: str, level: str, line: str) -> str:
+    return f"CAST(CASE WHEN {low} THEN 22 WHEN {first} AND i = 1 THEN 12 ELSE 33 + {level} - (i * {line}) % 3 END AS INT)"
+
+
+QUALITY = ("ok % 17 = 0", "ok % 53 = 0", "(ok * 7 + ln * 3) % 8", "ln")
+
+
 def reads(duck: bool) -> str:
     """CTEs that end in ``reads`` (id, ok, ln, seq, qual)."""
-    codons = " || ".join(f"substr('{CODONS}', CAST(3 * instr('0123456789abcdef', substr(h, {k}, 1)) - 2 AS INT), 3)" for k in range(1, 9))
-    quality = "CAST(CASE WHEN ok % 17 = 0 THEN 22 WHEN ok % 53 = 0 AND i = 1 THEN 12 ELSE 33 + (ok * 7 + ln * 3) % 8 - (i * ln) % 3 END AS INT)"
     return f"""
-base AS (SELECT l_orderkey AS ok, CAST(l_linenumber AS BIGINT) AS ln, least(l_orderkey % 50, l_suppkey % 30) AS cl FROM lineitem),
-clones AS (SELECT ok, ln, cl, md5('c' || {text('cl')}) AS h FROM base),
-whole AS (SELECT ok, ln, {_v('cl % 24')} || {codons} || {_j('cl % 8')} AS s, substr({nt(f"'b' || {text('ok % 200')}")}, 1, 10) AS b,
-  CAST(1 + (13 * ln + ok) % 158 AS INT) AS p, CAST(1 + ok % 10 AS INT) AS bp FROM clones),
-marked AS (SELECT ok, ln, CASE WHEN ok % 11 = 0 THEN {_flipped('s', 'p')} ELSE s END AS s,
-  CASE WHEN ok % 89 = 0 THEN 'N' || substr(b, 2) WHEN ok % 13 = 0 THEN {_flipped('b', 'bp')} ELSE b END AS b FROM whole),
-reads AS (SELECT 'r' || {text('ok')} || '_' || {text('ln')} AS id, ok, ln, seq, {mapped('CAST(length(seq) AS INT)', quality, duck)} AS qual
-  FROM (SELECT ok, ln, b || CASE WHEN ok % 97 = 0 THEN substr(s, 1, 60) ELSE s END AS seq FROM marked) t)"""
+base AS (SELECT {', '.join(BASE)} FROM lineitem),
+clones AS (SELECT ok, ln, cl, {HASH} AS h FROM base),
+whole AS (SELECT ok, ln, {_whole()} AS s, {_barcode('ok % 200')} AS b,
+  {', '.join(PLACES)} FROM clones),
+marked AS (SELECT ok, ln, {f",{chr(10)}  ".join(MARKED)} FROM whole),
+reads AS (SELECT {ID} AS id, ok, ln, seq, {mapped('CAST(length(seq) AS INT)', _quality(*QUALITY), duck)} AS qual
+  FROM (SELECT ok, ln, {READ} FROM marked) t)"""
+
+
+def dealt_reads(lineitem: DataFrame) -> DataFrame:
+    """The rows of ``reads``, dealt by id, so that what is asked of each id needs no other shuffle.
+
+    Bases and qualities follow from remainders of the keys, so they are worked out once for each remainder and looked up.
+    """
+    spark = lineitem.sparkSession
+    numbers = lambda low, high, name: spark.range(low, high, 1, 1).withColumnRenamed("id", name)
+    wholes = numbers(-49, 50, "cl").selectExpr("cl", f"{HASH} AS h").selectExpr("cl", f"{_whole()} AS s")
+    barcodes = numbers(-199, 200, "b_key").selectExpr("b_key", f"{_barcode('b_key')} AS b")
+    levels = numbers(-7, 8, "level").crossJoin(numbers(-2, 3, "line")).crossJoin(numbers(0, 2, "first")).selectExpr("level * 10 + line + 200 * first AS q_key", "level", "line", "first = 1 AS first", "false AS low")
+    levels = levels.unionByName(spark.range(0, 1, 1, 1).selectExpr("1000L AS q_key", "0L AS level", "0L AS line", "false AS first", "true AS low"))
+    levels = levels.selectExpr("q_key", f"{mapped(str(LONGEST), _quality('low', 'first', 'level', 'line'), False)} AS q")
+    low, first, level, line = QUALITY
+    # the ids of an input of few files are dealt over all cores, those of a large one over tasks of like size
+    tasks = max(2 * spark.sparkContext.defaultParallelism, -(-lineitem.count() // ROWS))
+    out = lineitem.selectExpr(*BASE).selectExpr(f"{ID} AS id", "ok", "ln", "cl").repartition(tasks, "id")
+    out = out.selectExpr("*", "ok % 200 AS b_key", f"CASE WHEN {low} THEN 1000L ELSE {level} * 10 + {line} % 3 + CASE WHEN {first} THEN 200 ELSE 0 END END AS q_key", *PLACES)
+    for table, key in ((wholes, "cl"), (barcodes, "b_key"), (levels, "q_key")):
+        out = out.join(F.broadcast(table), key, "left")
+    out = out.selectExpr("id", "ok", "ln", "q", *MARKED).selectExpr("id", "ok", "ln", "q", READ)
+    n = "CAST(length(seq) AS INT)"
+    # where a key is null, there's nothing to look up
+    qual = f"coalesce(CASE WHEN {n} = {LONGEST} THEN q ELSE slice(q, 1, {n}) END, {mapped(n, _quality(*QUALITY), False)}) AS qual"
+    # rows of a generator are as those of a scan: else the optimizer would copy the recipe into each filter
+    read = out.selectExpr("id", "inline(array(struct(ok, ln, seq, q)))").selectExpr("id", "ok", "ln", "seq", qual)
+    return read.select("id", F.inline(F.array(F.struct("ok", "ln", "seq", "qual"))))
 
 
 def segments(duck: bool = False) -> str:

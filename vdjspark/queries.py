@@ -17,19 +17,19 @@ OPTIONS = Options(barcode_length=10, reverse=True, v_core_length=40, j_core_offs
 V_CORE, J_CORE, ERRORS = 40, 12, 2
 
 
-def _lineitem(spark: SparkSession, sf_dir: str) -> None:
-    spark.read.parquet(f"{sf_dir}/lineitem.parquet").createOrReplaceTempView("lineitem")
+def _lineitem(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = spark.read.parquet(f"{sf_dir}/lineitem.parquet")
+    rows.createOrReplaceTempView("lineitem")
+    return rows
 
 
 def _reads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    _lineitem(spark, sf_dir)
-    # rows of a generator are as those of a scan: else the optimizer would copy the recipe into each filter
-    return spark.sql(f"WITH {X.reads(False)} SELECT id, ok, ln, seq, qual FROM reads").select(F.inline(F.array(F.struct("id", "ok", "ln", "seq", "qual"))))
+    return X.dealt_reads(_lineitem(spark, sf_dir))
 
 
 def _segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     _lineitem(spark, sf_dir)
-    return spark.sql(f"WITH {X.segments()} SELECT * FROM segments").select(F.inline(F.array(F.struct("*"))))
+    return checkpoint(spark.sql(f"WITH {X.segments()} SELECT * FROM segments"))
 
 
 def _toys(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -159,11 +159,10 @@ def cdr3_extract(spark, d):
 
 
 def reject_log(spark, d):
-    from .sources.sinks import reject_log as log
+    from .sources.sinks import rejected_reads
 
     job = _job(spark, d)
-    late = job.analysed.where("reject is not null").select("seq", "reject").join(R.read_ids(job.judged).select("seq", "id").distinct(), "seq")
-    return log(job.judged, late)
+    return rejected_reads(job.judged, job.analysed)
 
 
 def translate_cdr3(spark, d):
@@ -228,8 +227,11 @@ def lq_positions(spark, d):
 
 
 def quality_having(spark, d):
-    job = _job(spark, d)
-    quals = R.sequence_qualities(R.mean_qualities(job.judged), job.unique)
+    job = ClonotypeJob(_reads(spark, d), _segments(spark, d), OPTIONS, gapped=False)
+    means = checkpoint(R.mean_qualities(job.judged))
+    job.__dict__["unique"] = means.select("bc_seq", "seq", "n_reads")  # as there's no barcode correction
+    job.__dict__["sequences"] = checkpoint(R.drop_barcode(job.unique))
+    quals = R.sequence_qualities(means, job.unique)
     return C.drop_low_quality(C.clone_qualities(job.analysed, quals), 35.0).select(_ids("v_ids"), "cdr3", _ids("j_ids"), F.round(S.mean(F.col("avg_qvals")), 6).alias("quality"))
 
 
@@ -251,7 +253,7 @@ def rdt_rows(spark, d):
 
     job = _job(spark, d)
     number = {c: F.col(c).cast("long") for c in ("CDR3_BEGIN", "CDR3_END", "V_MATCHLEN", "J_MATCHLEN")}
-    return read_table(job.analysed, R.read_ids(job.judged), job.segments).withColumns(number)
+    return read_table(job.analysed, job.judged.where("reject is null"), job.segments).withColumns(number)
 
 
 def gapped_match(spark, d):
